@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_crf_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickforge.llm.secrets import scan, span_digest
+
+    return span_digest(scan(_table(spark, sf_dir, "documents")))
+
+
 def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickforge.llm.packing import pack_documents
 
@@ -23,9 +29,17 @@ def op7_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op9_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickforge.llm.langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_crf_secret_scan": op3_crf_secret_scan,
     "op4_sum_of_squares_packing": op4_sum_of_squares_packing,
     "op7_orc_tokens": op7_orc_tokens,
+    "op9_string_kernel_language": op9_string_kernel_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
