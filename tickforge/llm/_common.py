@@ -36,9 +36,9 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the hash base and of its inverse modulo 2**64."""
     if len(_powers.get("up", ())) < n:
-        n = max(n, SLICE_BYTES + (SLICE_BYTES >> 1))
+        size = max(n, SLICE_BYTES + (SLICE_BYTES >> 1))
         for key, base in (("up", BASE), ("down", INVERSE)):
-            p = np.full(n, base, dtype=np.uint64)
+            p = np.full(size, base, dtype=np.uint64)
             p[0] = 1
             _powers[key] = np.cumprod(p)
     return _powers["up"][:n], _powers["down"][:n]

@@ -23,6 +23,12 @@ def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickforge.llm.parity_join import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op7_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickforge.llm.token_store import token_round_trip
 
@@ -38,6 +44,7 @@ def op9_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_crf_secret_scan": op3_crf_secret_scan,
     "op4_sum_of_squares_packing": op4_sum_of_squares_packing,
+    "op5_parity_sketch_join": op5_parity_sketch_join,
     "op7_orc_tokens": op7_orc_tokens,
     "op9_string_kernel_language": op9_string_kernel_language,
 }
