@@ -41,12 +41,19 @@ def op9_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op10_bucket_pointer_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickforge.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_crf_secret_scan": op3_crf_secret_scan,
     "op4_sum_of_squares_packing": op4_sum_of_squares_packing,
     "op5_parity_sketch_join": op5_parity_sketch_join,
     "op7_orc_tokens": op7_orc_tokens,
     "op9_string_kernel_language": op9_string_kernel_language,
+    "op10_bucket_pointer_refinement": op10_bucket_pointer_refinement,
 }
 
 ORACLE_SQL: dict[str, str] = {}
