@@ -29,6 +29,12 @@ def op5_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op6_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickforge.llm.lm_score import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").where("quality = 1"))
+
+
 def op7_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickforge.llm.token_store import token_round_trip
 
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_crf_secret_scan": op3_crf_secret_scan,
     "op4_sum_of_squares_packing": op4_sum_of_squares_packing,
     "op5_parity_sketch_join": op5_parity_sketch_join,
+    "op6_cross_entropy_difference": op6_cross_entropy_difference,
     "op7_orc_tokens": op7_orc_tokens,
     "op8_line_winnowing": op8_line_winnowing,
     "op9_string_kernel_language": op9_string_kernel_language,
