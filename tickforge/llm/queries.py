@@ -11,6 +11,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_norm_sorted_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tickforge.llm.topk_inner import integer_vectors, top_inner_products
+
+    return top_inner_products(integer_vectors(_table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_crf_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickforge.llm.secrets import scan, span_digest
 
@@ -62,6 +70,7 @@ def op10_bucket_pointer_refinement(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_norm_sorted_top_k": op2_norm_sorted_top_k,
     "op3_crf_secret_scan": op3_crf_secret_scan,
     "op4_sum_of_squares_packing": op4_sum_of_squares_packing,
     "op5_parity_sketch_join": op5_parity_sketch_join,
@@ -73,6 +82,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_norm_sorted_top_k": """
+WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NOT NULL AND isfinite(x::DOUBLE)]) = len(embedding)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
     "op8_line_winnowing": """
 WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 c AS (SELECT doc_id, i, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM l),
