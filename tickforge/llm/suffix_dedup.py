@@ -46,7 +46,9 @@ SPAN = 50
 GRAM = 16
 REACH = SPAN - GRAM  # 34: how far before its anchor a string may start
 WIDTH = REACH + SPAN  # 84 bytes around an anchor
-_SLICE = 1 << 20
+_SLICE = 1 << 18
+#: Buckets per group of documents.
+_SPREAD = 4
 _LAST = np.int64(2**63 - 1)
 
 
@@ -72,12 +74,13 @@ class Anchors:
         if n >= SPAN:
             np.cumsum(BYTE_CODE[buf] * up[:n], out=self.total[1:])
             grams = mix((self.total[GRAM:] - self.total[:-GRAM]) * self.down[: n - GRAM + 1])
-            least = _sliding(grams, SPAN - GRAM + 1, np.minimum)  # of each string of 50 bytes
-            left = np.repeat(off[1:], np.diff(off)) - np.arange(n)
-            least[left[: len(least)] < SPAN] = 0
-            pad = np.zeros(REACH, np.uint64)
+            rank = (grams >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+            least = _sliding(rank, SPAN - GRAM + 1, np.minimum)  # of each string of 50 bytes
+            for end in off[1:].tolist():  # strings end with their document
+                least[max(0, end - SPAN + 1) : end] = 0
+            pad = np.zeros(REACH, np.uint32)
             most = _sliding(np.concatenate([pad, least, pad]), REACH + 1, np.maximum)  # over the strings that cover a 16-gram
-            self.at = np.flatnonzero((grams == most[: len(grams)]) & (most[: len(grams)] > 0))
+            self.at = np.flatnonzero(rank == most[: len(rank)])
         self.gram = mix(grams[self.at] ^ np.uint64(0x5851F42D4C957F2D)) if len(self.at) else np.empty(0, np.uint64)
         self.doc = np.searchsorted(off, self.at, side="right") - 1
         self.low = np.maximum(off[self.doc], self.at - REACH)
@@ -154,10 +157,11 @@ def _send_surroundings(buckets: int):
                 continue
             one = (doc[start] == np.maximum.reduceat(doc, start)).astype(np.uint8)
             pick, kind, doc = pick[start], kind[start], doc[start]
-            place = a.at[pick, None] - REACH + np.arange(WIDTH)
-            bad = (place < a.low[pick, None]) | (place >= a.high[pick, None])
-            text = a.buf[np.clip(place, 0, len(a.buf) - 1)]
-            text[bad] = 0
+            padded = np.concatenate([np.zeros(REACH, np.uint8), a.buf, np.zeros(SPAN, np.uint8)])
+            text = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[a.at[pick]]
+            clipped = np.flatnonzero(a.high[pick] - a.low[pick] < WIDTH)
+            place = a.at[pick[clipped], None] - REACH + np.arange(WIDTH)
+            text[clipped] *= (place >= a.low[pick[clipped], None]) & (place < a.high[pick[clipped], None])
             edges = np.stack([a.at[pick] - a.low[pick], a.high[pick] - a.at[pick]], axis=1).astype(np.uint8)
             got.append((kind, doc, _bucket(a.gram[pick], buckets), one, edges, text))
         if not got:
@@ -194,28 +198,45 @@ def refine(pointer: np.ndarray, later: np.ndarray) -> np.ndarray:
     return np.unique((pointer << np.uint64(32)) | later, return_inverse=True)[1].astype(np.uint64)
 
 
+def _shared(name: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which rows have a name that occurs with two documents."""
+    order = np.argsort(name, kind="stable")
+    start = np.flatnonzero(np.append(True, name[order][1:] != name[order][:-1]))
+    two = np.minimum.reduceat(doc[order], start) != np.maximum.reduceat(doc[order], start)
+    out = np.empty(len(name), bool)
+    out[order] = np.repeat(two, np.diff(np.append(start, len(name))))
+    return out
+
+
 def earlier_strings(doc: np.ndarray, edges: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Per surroundings, 35 bits: bit ``k`` is set if the string ``text[k:k+50]`` also starts in a smaller document."""
-    n = len(doc)
-    bits = np.zeros(n, dtype=np.uint64)
-    if n < 2:
+    bits = np.zeros(len(doc), dtype=np.uint64)
+    if len(doc) < 2:
         return bits
-    up, down = powers(WIDTH + 1)
-    total = np.zeros((n, WIDTH + 1), dtype=np.uint64)
-    np.cumsum(BYTE_CODE[text] * up[:WIDTH], axis=1, out=total[:, 1:])
-    grams = (total[:, GRAM:] - total[:, :-GRAM]) * down[: WIDTH - GRAM + 1]
+    # every string holds the 33 bytes that end or those that start with the anchor: surroundings alone in both buckets drop out
+    half, (up, _) = REACH // 2, powers(WIDTH)
+    alone = np.ones(len(doc), bool)
+    for low in (REACH - half, REACH):
+        alone &= ~_shared(BYTE_CODE[text[:, low : low + GRAM + half]] @ up[: GRAM + half], doc)
+    rows = np.flatnonzero(~alone)
+    if not len(rows):
+        return bits
+    doc, edges, text = doc[rows], edges[rows], text[rows]
+    code = BYTE_CODE[text]
+    grams = sum(code[:, k : WIDTH - GRAM + 1 + k] * up[k] for k in range(GRAM))
     pointer = np.unique(grams, return_inverse=True)[1].reshape(grams.shape).astype(np.uint64)
-    pointer = refine(pointer[:, :-GRAM].ravel(), pointer[:, GRAM:].ravel()).reshape(n, -1)  # 32 bytes
+    pointer = refine(pointer[:, :-GRAM].ravel(), pointer[:, GRAM:].ravel()).reshape(len(rows), -1)  # 32 bytes
     k = np.arange(REACH + 1)
-    whole = (k >= REACH - edges[:, :1].astype(int)) & (k <= edges[:, 1:].astype(int) - GRAM)
-    row, col = np.nonzero(whole)
+    row, col = np.nonzero((k >= REACH - edges[:, :1].astype(int)) & (k <= edges[:, 1:].astype(int) - GRAM))
+    if not len(row):
+        return bits
     pair = (pointer[row, col] << np.uint64(32)) | pointer[row, col + (SPAN - 2 * GRAM)]
     order = np.argsort(pair, kind="stable")
     pair, row, col = pair[order], row[order], col[order]
     start = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
     least = np.repeat(np.minimum.reduceat(doc[row], start), np.diff(np.append(start, len(row))))
     hit = least < doc[row]
-    np.bitwise_or.at(bits, row[hit], np.uint64(1) << col[hit].astype(np.uint64))
+    np.bitwise_or.at(bits, rows[row[hit]], np.uint64(1) << col[hit].astype(np.uint64))
     return bits
 
 
@@ -285,8 +306,8 @@ def remove_repeats(docs: DataFrame, groups: int | None = None) -> DataFrame:
     groups = groups or group_count(docs)
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("g", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(groups)).cast("int"))
     by_group = lambda: dealt.groupBy("g")
-    anchors = by_group().applyInArrow(_send_anchors(groups), _BLOB)
+    anchors = by_group().applyInArrow(_send_anchors(groups * _SPREAD), _BLOB)
     active = anchors.groupBy("bucket").applyInArrow(_repeated_anchors, "g int, bucket int, blob binary")
-    around = by_group().cogroup(active.groupBy("g")).applyInArrow(_send_surroundings(groups), _BLOB)
+    around = by_group().cogroup(active.groupBy("g")).applyInArrow(_send_surroundings(groups * _SPREAD), _BLOB)
     answers = around.groupBy("bucket").applyInArrow(_answers, "g int, blob binary")
     return by_group().cogroup(answers.groupBy("g")).applyInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
