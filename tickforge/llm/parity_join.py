@@ -7,17 +7,19 @@ Sketch.  The hashes of a set are dealt into ``m`` blocks and XORed within each:
 an element in both sets cancels, so the number of differing blocks (the
 block-wise Hamming distance) is a lower bound of the symmetric difference.
 Linked sets differ in at most ``d`` elements, hence in at most ``d`` of the
-``m > d`` blocks, and share the rest (pigeonhole).  ``d`` and ``m`` belong to a
-band of set sizes; a set is filed in its own band and, if a linked larger set
-may lie there, in the next one.  With ``m = d + 1 + s`` at least ``s + 1`` blocks
-are shared, so blocks of fewer than three elements need no key unless a set has
-more than ``s`` of them; that keeps empty and tiny blocks from joining everything.
-
-Join.  Block keys travel as sorted numpy arrays, one row per batch and bucket;
-a batch sends each key once, with the smallest document that has it, and links
-its other documents to that one itself, so a hot key costs one entry a batch.
-Documents that share a key form candidate clusters (:func:`components` over
-star edges, never all pairs).  Equal sets are one class before that.
+``m = d + 1 + s`` blocks, and share at least ``s + 1`` (pigeonhole).  ``d`` and ``m``
+belong to a band of set sizes; a set is filed in its own band and, if a linked
+larger set may lie there, in the next one.
+
+Join.  Block keys travel as packed numpy arrays to the bucket of their hash.  A key
+that more than ``RARE`` sets have is hot: it stems from a passage that many share,
+or from a large family of copies.  Other keys give pairs, counted per pair.  A
+set with ``e`` empty and ``h`` hot blocks must share ``s + 1 - e - h`` others with
+a linked one, so pairs with fewer are dropped; sets for which that number is not
+positive (and only those) are joined over their hot keys, each with the smallest
+such set of the key, never in all pairs.  This loses no link, and common passages
+do not chain documents together.  What is left makes candidate clusters
+(:func:`components`).  Equal sets are one class before that.
 
 Verify.  Inside a cluster each set meets, most similar sketch first, only sets
 that are not in its component yet and whose sketch distance allows a link; the
@@ -45,7 +47,8 @@ CLUSTER_ROWS = 1500
 #: Up to so many ids (8 bytes each) are broadcast to pick texts; beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 BAND_RATIO = 1.5
-_LIGHT = 3
+#: A key of more sets than this is hot.
+RARE = 12
 _SKETCH = 512
 _C = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -83,113 +86,173 @@ def band_end(k: int) -> int:
 
 
 def band_blocks(k: int, percent: int) -> tuple[int, int]:
-    """``(m, s)`` of a band: at most ``d`` elements differ, ``m = d + 1 + s``."""
+    """``(m, s)`` of a band: at most ``d`` elements differ, ``m = d + 1 + s``; ``m = 0`` if only equal sets link."""
     # 100 I >= p U and U = A + B - I give (100 + p)(A + B - 2I) <= (100 - p)(A + B)
     d = (100 - percent) * 2 * band_end(k) // (100 + percent)
-    s = 2 + d // 9
-    return d + 1 + s, s
+    s = max(2, d // 2)
+    return (d + 1 + s, s) if d else (0, 0)
 
 
-def block_keys(items: np.ndarray, percent: int) -> np.ndarray:
-    """The pigeonhole keys of one set; none if only an equal set can link with it."""
-    size, keys = len(items), []
+def block_keys(items: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
+    """Per band ``(band, s less the empty blocks, keys)`` of one set."""
+    size, out = len(items), []
     if size == 0:
-        return np.empty(0, np.uint64)
-    own = band_of(size)
-    largest = 100 * size // percent
+        return out
     scrambled = mix(items ^ _C[1])
-    for band in range(own, band_of(largest) + 1):
-        if (100 - percent) * 2 * band_end(band) // (100 + percent) == 0:
-            continue
+    for band in range(band_of(size), band_of(100 * size // percent) + 1):
         m, s = band_blocks(band, percent)
+        if not m:
+            continue
         block = ((scrambled >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
         order = np.argsort(block, kind="stable")
         block, value = block[order], scrambled[order]
         start = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-        weight = np.diff(np.append(start, size))
         names, parity = block[start], np.bitwise_xor.reduceat(mix(value), start)
-        heavy = weight >= _LIGHT
-        if m - int(heavy.sum()) > s:
+        spare = s - (m - len(names))
+        if spare < 0:  # too many empty blocks: they count like others
             empty = np.setdiff1d(np.arange(m, dtype=np.uint64), names)
             names, parity = np.append(names, empty), np.append(parity, np.zeros(len(empty), np.uint64))
-        else:
-            names, parity = names[heavy], parity[heavy]
-        keys.append(mix(parity + mix(names * _C[2] + np.uint64(band + 1))))
-    return np.concatenate(keys) if keys else np.empty(0, np.uint64)
+            spare = s
+        out.append((band, spare, mix(parity + mix(names * _C[2] + np.uint64(band + 1)))))
+    return out
+
+
+def set_table(docs: DataFrame, n: int) -> DataFrame:
+    """One pass over the texts: ``(doc_id, n_shingles, h1, h2)``; the hashes name the set."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = text_buffers(batch.column(1))
+            for i, j in slices(off):
+                sets = document_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, _names(sets))], names=["doc_id", "n_shingles", "h1", "h2"])
 
-def _stars(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of sorted ``(key, doc)`` rows: the place of each key's first row, and unique edges (first doc, other doc)."""
-    first = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.empty(0, bool)
-    lead = docs[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))] if len(keys) else docs
-    other = lead != docs
-    edges = np.unique(np.stack([lead[other], docs[other]], axis=1), axis=0) if other.any() else np.empty((0, 2), np.int64)
-    return np.flatnonzero(first), edges[:, 0], edges[:, 1]
+    return _rows(docs).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
 
 
-_SKETCHED = "kind int, a long, b long, h1 long, h2 long, bucket int, blob binary"
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+
+
+def _names(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    h1 = np.array([s.sum(dtype=np.uint64) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
+    h2 = np.array([np.bitwise_xor.reduce(mix(s ^ _C[0])) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
+    return size, h1, h2
+
+
+_SKETCHED = "bucket int, blob binary"
 
 
 def sketch(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
-    """One pass over the texts: a row per document (kind 0), star edges inside a batch (1), key blobs (2)."""
+    """One pass over the texts: packed block keys per bucket; bucket -1 holds each set's spare blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
-        ids: list[np.ndarray] = []
-        held = 0
+        owner: list[np.ndarray] = []
+        ids: list[int] = []
+        spare: list[tuple[int, int, int]] = []
 
         def flush() -> pa.RecordBatch:
-            k, d = (np.concatenate(keys), np.concatenate(ids)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            order = np.lexsort((d, k))
-            k, d = k[order], d[order]
-            first, a, b = _stars(k, d)
-            k, d = k[first], d[first]
+            k = np.concatenate([np.empty(0, np.uint64), *keys])
+            o = np.concatenate([np.empty(0, np.uint32), *owner])
+            order = np.argsort(k)
+            k, o = k[order], o[order]
             bucket = (k >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
             cut = np.searchsorted(bucket, np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(cut))
-            blobs = [np.concatenate([k[cut[i] : cut[i + 1]], d[cut[i] : cut[i + 1]].view(np.uint64)]).tobytes() for i in full]
-            e, f = len(a), len(full)
-            zero = np.zeros(e + f, np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat([1, 2], [e, f]).astype(np.int32)), pa.array(np.append(a, zero[:f])), pa.array(np.append(b, zero[:f])), pa.array(zero), pa.array(zero), pa.array(np.append(zero[:e], full).astype(np.int32)), pa.array([None] * e + blobs, pa.binary())],
-                names=["kind", "a", "b", "h1", "h2", "bucket", "blob"],
-            )
+            table = np.array(ids, dtype=np.int64)
+            blobs = []
+            for i in full:
+                kk, oo = k[cut[i] : cut[i + 1]], o[cut[i] : cut[i + 1]]
+                used, place = np.unique(oo >> np.uint32(8), return_inverse=True)
+                blobs.append(b"".join((np.array([len(used), len(kk)], np.int64).tobytes(), table[used].tobytes(), (kk & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((kk >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes(), place.astype(np.uint16).tobytes(), (oo & np.uint32(0xFF)).astype(np.uint8).tobytes())))
+            blobs.append(np.array(spare, dtype=np.int64).reshape(-1, 3).T.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([*full.tolist(), -1], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
+        held = 0
         for batch in batches:
             buf, off = text_buffers(batch.column(1))
             names = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for i, j in slices(off):
                 sets = document_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], n)
-                size = np.array([len(s) for s in sets], dtype=np.int64)
-                h1 = np.array([s.sum(dtype=np.uint64) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
-                h2 = np.array([np.bitwise_xor.reduce(mix(s ^ _C[0])) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
-                empty = pa.array([None] * len(sets), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), pa.array(names[i:j]), pa.array(size), pa.array(h1), pa.array(h2), pa.array(np.zeros(len(sets), np.int32)), empty], names=["kind", "a", "b", "h1", "h2", "bucket", "blob"])
                 seen: set[tuple[int, int]] = set()
-                for doc, s, x, y in zip(names[i:j].tolist(), sets, h1.tolist(), h2.tolist()):
+                for doc, s, x, y in zip(names[i:j].tolist(), sets, *(h.tolist() for h in _names(sets)[1:])):
                     if (x, y) in seen:  # an equal set of this slice stands for it
                         continue
                     seen.add((x, y))
-                    k = block_keys(s, percent)
-                    if len(k):
+                    for band, left, k in block_keys(s, percent):
                         keys.append(k)
-                        ids.append(np.full(len(k), doc, np.int64))
+                        owner.append(np.full(len(k), len(ids) << 8 | band, np.uint32))
+                        spare.append((doc, band, left))
                         held += len(k)
-            if held > 2_000_000:
+                    ids.append(doc)
+                    if len(ids) == 60_000:
+                        yield flush()
+                        keys, owner, ids, spare, held = [], [], [], [], 0
+            if held > 1_500_000:
                 yield flush()
-                keys, ids, held = [], [], 0
+                keys, owner, ids, spare, held = [], [], [], [], 0
         yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return rows.mapInArrow(run, _SKETCHED)
+    return _rows(docs).mapInArrow(run, _SKETCHED)
+
 
+_MATCHED = "kind int, a long, b long, band int, n long"
 
-def _bucket_edges(table: pa.Table) -> pa.Table:
-    parts = [np.frombuffer(b.as_py(), np.uint64).reshape(2, -1) for b in table.column("blob")]
-    k, d = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).view(np.int64)
+
+def _match(key: tuple, table: pa.Table) -> pa.Table:
+    """A bucket's pairs of sets over rare keys (kind 1, counted) and its hot keys' members (kind 2); of bucket -1 the spare blocks (kind 0)."""
+    if key[0].as_py() < 0:
+        doc, band, left = (np.concatenate(x) for x in zip(*(np.frombuffer(b.as_py(), np.int64).reshape(3, -1) for b in table.column("blob"))))
+        return pa.table([pa.array(np.zeros(len(doc), np.int32)), pa.array(doc), pa.array(doc), pa.array(band.astype(np.int32)), pa.array(left)], names=["kind", "a", "b", "band", "n"])
+    names, docs, bands = [], [], []
+    for blob in table.column("blob"):
+        b = blob.as_py()
+        used, n = np.frombuffer(b, np.int64, 2).tolist()
+        at = np.cumsum([16, 8 * used, 4 * n, n, 2 * n])
+        ids = np.frombuffer(b, np.int64, used, at[0])
+        names.append(np.frombuffer(b, np.uint32, n, at[1]).astype(np.uint64) | (np.frombuffer(b, np.uint8, n, at[2]).astype(np.uint64) << np.uint64(32)))
+        docs.append(ids[np.frombuffer(b[at[3] : at[4]], np.uint16)])
+        bands.append(np.frombuffer(b, np.uint8, n, at[4]))
+    k, d, band = np.concatenate(names), np.concatenate(docs), np.concatenate(bands)
+    k = (k << np.uint64(8)) | band  # a key belongs to one band
     order = np.lexsort((d, k))
-    _, a, b = _stars(k[order], d[order])
-    return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
+    k, d, band = k[order], d[order], band[order]
+    one = np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]))
+    k, d, band = k[one], d[one], band[one].astype(np.int32)
+    start = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.empty(0, np.int64)
+    count = np.repeat(np.diff(np.append(start, len(k))), np.diff(np.append(start, len(k))))
+    hot = count > RARE
+    pairs: list[np.ndarray] = []
+    some = np.flatnonzero((count > 1) & ~hot)
+    k2, d2, b2 = k[some], d[some], band[some]
+    for step in range(1, RARE):
+        i = np.flatnonzero(k2[step:] == k2[:-step]) if len(k2) > step else np.empty(0, np.int64)
+        if not len(i):
+            break
+        pairs.append(np.stack([d2[i], d2[i + step], b2[i].astype(np.int64)], axis=1))
+    found, n = np.unique(np.concatenate([np.empty((0, 3), np.int64), *pairs]), axis=0, return_counts=True)
+    h = np.flatnonzero(hot)
+    name = (k[h] | (np.uint64(key[0].as_py()) << np.uint64(48))).view(np.int64)
+    return pa.table(
+        [pa.array(np.repeat([1, 2], [len(found), len(h)]).astype(np.int32)), pa.array(np.append(found[:, 0], d[h])), pa.array(np.append(found[:, 1], name)), pa.array(np.append(found[:, 2].astype(np.int32), band[h])), pa.array(np.append(n, np.ones(len(h), np.int64)))],
+        names=["kind", "a", "b", "band", "n"],
+    )
+
+
+def candidates(matched: DataFrame) -> DataFrame:
+    """Edges ``(a, b)`` that lose no link, from the rows of :func:`_match`."""
+    hot = matched.where("kind = 2").select(F.col("a").alias("doc"), F.col("b").alias("name"), "band")
+    spare = matched.where("kind = 0").groupBy(F.col("a").alias("doc"), "band").agg(F.max("n").alias("left"))
+    rest = spare.join(hot.groupBy("doc", "band").agg(F.count("*").alias("hot")), ["doc", "band"], "left").select("doc", "band", (F.col("left") - F.coalesce("hot", F.lit(0))).alias("left"))
+    pairs = matched.where("kind = 1").groupBy("a", "b", "band").agg(F.sum("n").alias("n")).where("a <> b")
+    for side in ("a", "b"):
+        pairs = pairs.join(rest.select(F.col("doc").alias(side), "band", F.col("left").alias(f"left_{side}")), [side, "band"])
+    near = pairs.where(F.col("n") > F.greatest("left_a", "left_b")).select("a", "b")
+    open_ = hot.join(rest.where("left < 0"), ["doc", "band"]).select("name", "doc")
+    lead = open_.groupBy("name").agg(F.min("doc").alias("lead"))
+    return near.unionAll(open_.join(lead, "name").where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b"))).distinct()
 
 
 def _word_sketch(items: np.ndarray) -> np.ndarray:
@@ -229,14 +292,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, buckets:
     """``(doc_id, n_shingles, component_id)`` for every document with an id."""
     if buckets is None:  # about a million keys each
         buckets = max(8, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (16 << 20)))
-    base = written(sketch(docs, n, percent, buckets), "sketches")
-    sets = base.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), "h1", "h2")
+    sets = written(set_table(docs, n), "sets")
     classes = sets.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     many = classes.where("copies > 1")
     same = written(sets.join(many, ["h1", "h2", "n_shingles"]).where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
-    stars = base.where("kind = 2").groupBy("bucket").applyInArrow(_bucket_edges, "a long, b long").unionAll(base.where("kind = 1").select("a", "b"))
+    matched = written(sketch(docs, n, percent, buckets).groupBy("bucket").applyInArrow(_match, _MATCHED), "matched")
+    stars = candidates(matched)
     for side in ("a", "b"):
-        stars = stars.distinct().join(same.select(F.col("doc_id").alias(side), F.col("rep").alias("rep")), side, "left").withColumn(side, F.coalesce("rep", side)).drop("rep")
+        stars = stars.join(same.select(F.col("doc_id").alias(side), F.col("rep").alias("rep")), side, "left").withColumn(side, F.coalesce("rep", side)).drop("rep")
     cluster = components(stars.select("a", "b"))
     sizes = cluster.groupBy("component").count()
     members = written(cluster.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", F.ceil(F.col("count") / CLUSTER_ROWS).cast("int").alias("cuts")), "members")
