@@ -23,13 +23,13 @@ def ingest_line_protocol(spark, sf_dir):
     return protocols.measurement(protocols.line_protocol(lines), "events", ["user_id", "event_type"], {"id": "bigint", "value": "double"})
 
 
-@query("ingest_opentsdb_telnet", "SELECT epoch_ms(ts) * 1000000 AS time, user_id::VARCHAR AS user_id, value FROM events")
+@query("ingest_opentsdb_telnet", "SELECT epoch_us(ts) // 1000 * 1000000 AS time, user_id::VARCHAR AS user_id, value FROM events")
 def ingest_opentsdb_telnet(spark, sf_dir):
     lines = table(spark, sf_dir, "events").select(F.expr("concat('put events ', unix_millis(CAST(ts AS TIMESTAMP_LTZ)), ' ', value, ' user_id=', user_id)").alias("value"))
     return protocols.measurement(protocols.opentsdb_telnet(lines), "events", ["user_id"], {"value": "double"})
 
 
-@query("ingest_opentsdb_json", "SELECT epoch_ms(ts) * 1000000 AS time, event_type, value FROM events")
+@query("ingest_opentsdb_json", "SELECT epoch_us(ts) // 1000 * 1000000 AS time, event_type, value FROM events")
 def ingest_opentsdb_json(spark, sf_dir):
     point = F.struct(F.lit("events").alias("metric"), F.expr("unix_millis(CAST(ts AS TIMESTAMP_LTZ))").alias("timestamp"), "value", F.struct("event_type").alias("tags"))
     lines = table(spark, sf_dir, "events").select(F.to_json(point).alias("value"))
@@ -49,7 +49,7 @@ def ingest_bulk(spark, sf_dir):
     return protocols.bulk_logs(table(spark, sf_dir, "events").select(request.alias("value"))).select("action", "index", "id", F.col("fields")["kind"].alias("kind"))
 
 
-@query("prom_read", "SELECT event_id, ts, value FROM events WHERE event_type = (SELECT min(event_type) FROM events) AND regexp_matches(user_id::VARCHAR, '^1') AND epoch_ms(ts) BETWEEN 1704200000000 AND 1705200000000")
+@query("prom_read", "SELECT event_id, ts, value FROM events WHERE event_type = (SELECT min(event_type) FROM events) AND regexp_matches(user_id::VARCHAR, '^1') AND epoch_us(ts) // 1000 BETWEEN 1704200000000 AND 1705200000000")
 def prom_read(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("user_id", F.col("user_id").cast("string"))
     kind = e.agg(F.min("event_type")).first()[0]

@@ -59,7 +59,7 @@ def first_last(spark, sf_dir):
 sql("first_last_sql", "SELECT event_type, first(ts, value) AS f, last(ts, value) AS l FROM events GROUP BY event_type", "SELECT event_type, arg_min(value, ts) AS f, arg_max(value, ts) AS l FROM events GROUP BY event_type")
 
 
-@query("mode", "SELECT user_id, event_type AS mode FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS k FROM events GROUP BY ALL) WHERE k = 1")
+@query("mode", "SELECT user_id, k AS mode FROM (SELECT user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, k) AS i FROM (SELECT user_id, event_type AS k, count(*) AS n FROM events GROUP BY user_id, event_type)) WHERE i = 1")
 def mode(spark, sf_dir):
     return series_agg.mode(_events(spark, sf_dir), ["user_id"], "event_type")
 
