@@ -30,7 +30,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickforge.llm._common import group_count, mix, slices, text_buffers, word_hashes
+from tickforge.llm._common import group_count, mix, slices, text_buffers, trim, word_hashes
 
 MIX = 0.6
 _UNKNOWN, _START = np.uint64(1), np.uint64(2)
@@ -42,6 +42,7 @@ class Group:
     """The words of a group of documents: hashes, places of documents, target flags."""
 
     def __init__(self, table: pa.Table) -> None:
+        trim()
         quality = table.column("target").combine_chunks()
         ids = table.column("doc_id").combine_chunks()
         is_doc = table.column("is_doc").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
@@ -65,6 +66,22 @@ class Group:
         return mix(mix(v) * np.uint64(3) + w)
 
 
+def _names(keys: np.ndarray) -> bytes:
+    """48 bits of each hash; with the bucket's own bits, two items of a corpus hardly ever share a name."""
+    return (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + ((keys >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts as a plane of low bytes and a plane of the rest, which is nearly all zeros and compresses to nothing."""
+    return (counts & 0xFF).astype(np.uint8).tobytes() + (counts >> 8).astype(np.uint32).tobytes()
+
+
+def _unpacked(blob: bytes, start: int = 0) -> np.ndarray:
+    n = (len(blob) - start) // 10
+    low = np.frombuffer(blob, np.uint8, 2 * n, start)
+    return (low + (np.frombuffer(blob, np.uint8, 8 * n, start + 2 * n).copy().view(np.uint32).astype(np.uint64) << np.uint64(8))).reshape(2, n)
+
+
 def _counted(keys: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     distinct, inverse = np.unique(keys, return_inverse=True)
     both = np.bincount(inverse, minlength=len(distinct)).astype(np.uint32)
@@ -72,10 +89,10 @@ def _counted(keys: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _send(kind: int, g: int, keys: np.ndarray, counts: np.ndarray, buckets: int, sums: list[int] | None) -> pa.Table:
-    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # of the high bits: ascends with the keys
     cut = np.searchsorted(bucket, np.arange(buckets + 1))
     full = np.flatnonzero(np.diff(cut))
-    blobs = [keys[cut[i] : cut[i + 1]].tobytes() + counts[:, cut[i] : cut[i + 1]].tobytes() for i in full]
+    blobs = [_names(keys[cut[i] : cut[i + 1]]) + _packed(counts[:, cut[i] : cut[i + 1]]) for i in full]
     n = len(full)
     extra = [] if sums is None else [sums]
     return pa.table(
@@ -98,13 +115,13 @@ def _total(kind: int):
         for blob in table.column("blob"):
             b = blob.as_py()
             n = len(b) // 16
-            keys.append(np.frombuffer(b, np.uint64, n))
-            counts.append(np.frombuffer(b, np.uint32, 2 * n, 8 * n).reshape(2, n))
+            keys.append(np.frombuffer(b, np.uint32, n) | (np.frombuffer(b, np.uint8, 2 * n, 4 * n).copy().view(np.uint16).astype(np.uint64) << np.uint64(32)))
+            counts.append(_unpacked(b, 6 * n))
         distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         every = np.concatenate(counts, axis=1)
         total = np.stack([np.bincount(inverse, weights=c, minlength=len(distinct)) for c in every]).astype(np.uint64)
         edge = np.cumsum([0, *map(len, keys)])
-        blobs = [total[:, inverse[a:b]].tobytes() for a, b in zip(edge[:-1], edge[1:])]
+        blobs = [_packed(total[:, inverse[a:b]]) for a, b in zip(edge[:-1], edge[1:])]
         rare = total[1] < 2
         words = total.sum(axis=1)
         sums = [int((~rare).sum()), int(words[0]), int(words[1]), int(total[0][rare].sum()), int(total[1][rare].sum()), 0, 0]
@@ -127,7 +144,7 @@ def _total(kind: int):
 def _answered(answer: pa.Table, kind: int) -> np.ndarray:
     """Counts of one kind in the group's own order (buckets ascend as hashes do)."""
     rows = sorted((b, x) for k, b, x in zip(answer.column("kind").to_pylist(), answer.column("bucket").to_pylist(), answer.column("blob").to_pylist()) if k == kind)
-    return np.concatenate([np.zeros((2, 0), np.uint64), *(np.frombuffer(x, np.uint64).reshape(2, -1) for _, x in rows)], axis=1)
+    return np.concatenate([np.zeros((2, 0), np.uint64), *(_unpacked(x) for _, x in rows)], axis=1)
 
 
 def _send_words(buckets: int):
