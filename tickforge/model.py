@@ -82,7 +82,7 @@ def _columns(df: DataFrame, predicate: str) -> set[str]:
     out = set()
     for c in df.columns:
         try:
-            df.drop(c).where(predicate).schema  # noqa: B018
+            df.drop(c).select(F.expr(predicate)).schema  # noqa: B018
         except Exception:  # the analyser has several kinds of error here
             out.add(c)
     return out

@@ -85,8 +85,8 @@ sql("strings_2", "SELECT p_partkey, octet_length(p_name) AS ol, replace(p_name,
     "SELECT p_partkey, octet_length(encode(p_name))::INTEGER AS ol, replace(p_name, 'a', '_') AS rp, reverse(p_name) AS rv, right(p_name, 4) AS r4, right(p_name, -3) AS r3, rpad(p_brand, 12, '.') AS rd, split_part(p_type, ' ', 1) AS sp, starts_with(p_name, 'a') AS sw, repeat('ab', 3) AS rt, instr(p_name, 'e') AS po, substr(p_name, 2) AS s2, substr(p_name, 1, 3) AS s04, lower(to_hex(p_partkey)) AS hx, translate(p_name, 'abc', 'xyz') AS tr, upper(p_name) AS up, chr(65 + p_size) AS ch FROM part")
 sql("digests", "SELECT p_partkey, lower(hex(sha256(p_name))) AS a, lower(hex(digest(p_name, 'md5'))) AS m FROM part", "SELECT p_partkey, sha256(p_name) AS a, md5(p_name) AS m FROM part")
 sql("regexp_replace", "SELECT p_partkey, regexp_replace(p_brand, '([A-Za-z]+).*', 'x$1') AS r FROM part", "SELECT p_partkey, regexp_replace(p_brand, '([A-Za-z]+).*', 'x\\1') AS r FROM part")
-sql("math_1", "SELECT event_id, abs(value) AS a, round(acos(value / 1e9), 10) AS ac, round(asin(value / 1e9), 10) AS si, round(atan(value), 10) AS at, round(atan2(value, 2.0), 10) AS a2, round(cbrt(value), 8) AS cb, ceil(value) AS ce, floor(value) AS fl, round(cos(value), 8) AS co, round(sin(value), 8) AS sn, round(tan(value / 1e6), 10) AS tn, signum(value) AS sg, trunc(value) AS tc, round(sqrt(abs(value)), 8) AS sq FROM events",
-    "SELECT event_id, abs(value) AS a, round(acos(value / 1e9), 10) AS ac, round(asin(value / 1e9), 10) AS si, round(atan(value), 10) AS at, round(atan2(value, 2.0), 10) AS a2, round(cbrt(value), 8) AS cb, ceil(value) AS ce, floor(value) AS fl, round(cos(value), 8) AS co, round(sin(value), 8) AS sn, round(tan(value / 1e6), 10) AS tn, sign(value)::DOUBLE AS sg, trunc(value) AS tc, round(sqrt(abs(value)), 8) AS sq FROM events")
+sql("math_1", "SELECT event_id, abs(value) AS a, round(acos(value / 1e9), 10) AS ac, round(asin(value / 1e9), 10) AS si, round(atan(value), 10) AS atn, round(atan2(value, 2.0), 10) AS a2, round(cbrt(value), 8) AS cb, ceil(value) AS ce, floor(value) AS fl, round(cos(value), 8) AS co, round(sin(value), 8) AS sn, round(tan(value / 1e6), 10) AS tn, signum(value) AS sg, trunc(value) AS tc, round(sqrt(abs(value)), 8) AS sq FROM events",
+    "SELECT event_id, abs(value) AS a, round(acos(value / 1e9), 10) AS ac, round(asin(value / 1e9), 10) AS si, round(atan(value), 10) AS atn, round(atan2(value, 2.0), 10) AS a2, round(cbrt(value), 8) AS cb, ceil(value) AS ce, floor(value) AS fl, round(cos(value), 8) AS co, round(sin(value), 8) AS sn, round(tan(value / 1e6), 10) AS tn, sign(value)::DOUBLE AS sg, trunc(value) AS tc, round(sqrt(abs(value)), 8) AS sq FROM events")
 sql("math_2", "SELECT p_partkey, round(ln(p_retailprice), 9) AS l, round(log(p_retailprice), 9) AS l10, round(log2(p_retailprice), 9) AS l2, round(log(2.0, p_retailprice), 9) AS lb, round(exp(p_size / 10.0), 6) AS e, round(pi(), 10) AS p, round(radians(p_size), 10) AS rd, round(degrees(p_size / 10.0), 8) AS dg, round(power(p_size, 2.0), 4) AS pw, gcd(p_partkey, p_size) AS g, lcm(p_partkey, p_size) AS m, round(sinh(p_size / 10.0), 6) AS sh, round(cosh(p_size / 10.0), 6) AS ch, round(tanh(p_size / 10.0), 10) AS th, round(asinh(p_size), 10) AS ah, round(acosh(p_size + 1), 10) AS ach, round(atanh(p_size / 100.0), 10) AS ath FROM part",
     "SELECT p_partkey, round(ln(p_retailprice), 9) AS l, round(log10(p_retailprice), 9) AS l10, round(log2(p_retailprice), 9) AS l2, round(ln(p_retailprice) / ln(2.0), 9) AS lb, round(exp(p_size / 10.0), 6) AS e, round(pi(), 10) AS p, round(radians(p_size), 10) AS rd, round(degrees(p_size / 10.0), 8) AS dg, round(power(p_size, 2.0), 4) AS pw, gcd(p_partkey, p_size)::BIGINT AS g, lcm(p_partkey, p_size)::BIGINT AS m, round(sinh(p_size / 10.0), 6) AS sh, round(cosh(p_size / 10.0), 6) AS ch, round(tanh(p_size / 10.0), 10) AS th, round(asinh(p_size), 10) AS ah, round(acosh(p_size + 1), 10) AS ach, round(atanh(p_size / 100.0), 10) AS ath FROM part")
 sql("dates", "SELECT event_id, date_part('year', ts) AS y, date_part('dow', ts) AS dw, date_part('hour', ts) AS h, date_part('doy', ts) AS dy, date_trunc('hour', ts) AS th, date_trunc('week', ts) AS tw, date_bin(INTERVAL '15 minutes', ts) AS b, ts + INTERVAL '1' DAY AS nx FROM events",
