@@ -11,7 +11,7 @@ from urllib.parse import parse_qsl
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickforge.functions import kernels as K
@@ -118,3 +118,21 @@ def weighted_percentile(df: DataFrame, keys: list[str], value: str, weight: str,
     order = Window.partitionBy(*key).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     run = rows.withColumn("__run", F.sum(weight).over(order)).withColumn("__total", F.sum(weight).over(Window.partitionBy(*key)))
     return run.where(F.col("__run") >= F.col("__total") * p).groupBy(*key).agg(F.min("__v").alias(name)).select(*keys, name)
+
+
+QUALITY = ("completeness", "consistency", "timeliness", "validity")
+
+
+def register(spark: SparkSession) -> None:
+    """The quality scores as SQL aggregates ``tf_<name>(ticks, value)``; rows without a time or a value do not count."""
+
+    def scorer(which: str):
+        def score(t: pd.Series, v: pd.Series) -> float:
+            keep = t.notna() & v.notna()
+            order = np.argsort(t[keep].to_numpy(np.int64), kind="stable")
+            return float(K.quality(t[keep].to_numpy(np.int64)[order], v[keep].to_numpy(np.float64)[order])[which])
+
+        return F.pandas_udf(score, "double")
+
+    for name in QUALITY:
+        spark.udf.register(f"tf_{name}", scorer(name))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickforge.functions import gis, scalars
+from tickforge.functions import gis, scalars, series_ops
 from tickforge.plans import rewrite
 from tickforge.session import configure
 
@@ -24,6 +24,7 @@ def prepare(spark: SparkSession) -> None:
     if key not in _ready:
         scalars.register(spark)
         gis.register(spark)
+        series_ops.register(spark)
         for name, (args, result, body) in rewrite.HELPERS.items():
             spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {result} RETURN {body}")
         _ready.add(key)

@@ -117,6 +117,9 @@ def state_at(spark, sf_dir):
     return series_agg.state_agg(_events(spark, sf_dir), ["user_id"], "ts", "event_type").select("user_id", series_agg.state_at("states", _LOW).alias("state"))
 
 
+sql("state_sql", "SELECT user_id, duration_in(s, 'click') AS total, duration_in(s, 'click', TIMESTAMP_NTZ '2024-01-10 00:00:00', INTERVAL '10' DAY) AS within, state_at(s, TIMESTAMP_NTZ '2024-01-10 00:00:00') AS state FROM (SELECT user_id, state_agg(ts, event_type) AS s FROM events GROUP BY user_id) t", f"SELECT user_id, sum(CASE WHEN state = 'click' THEN b - a ELSE 0 END)::BIGINT AS total, sum(CASE WHEN state = 'click' THEN greatest(0, least(b, 1705708800000000) - greatest(a, 1704844800000000)) ELSE 0 END)::BIGINT AS within, max(CASE WHEN a <= 1704844800000000 AND 1704844800000000 < b THEN state END) AS state FROM ({_SPANS}) GROUP BY user_id")
+
+
 # -- selectors ------------------------------------------------------------------------------
 @query("topk", "SELECT event_id, value FROM events ORDER BY value DESC NULLS LAST, event_id LIMIT 10")
 def topk(spark, sf_dir):
@@ -150,6 +153,9 @@ def quality_scores(spark, sf_dir):
     return series_ops.data_quality(_events(spark, sf_dir), ["event_type"], "ts", "value")
 
 
+sql("quality_sql", "SELECT event_type, validity(ts, value) <= 1.0 AS v, completeness(ts, value) <= 1.0 AS c, consistency(ts, value) <= 1.0 AS k, timeliness(ts, value) <= 1.0 AS t FROM events GROUP BY event_type", "SELECT DISTINCT event_type, true AS v, true AS c, true AS k, true AS t FROM events")
+
+
 @query("value_fill_linear", f"WITH p AS (SELECT user_id, epoch_us(ts) AS time, {_GAPS} AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events), q AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN i END) OVER (PARTITION BY user_id ORDER BY i) AS a, min(CASE WHEN v IS NOT NULL THEN i END) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM p) SELECT q.user_id, q.time, round(CASE WHEN q.v IS NOT NULL THEN q.v WHEN l.v IS NULL THEN coalesce(r.v, 'NaN'::DOUBLE) WHEN r.v IS NULL THEN l.v ELSE l.v + (r.v - l.v) * (q.i - q.a) / (q.b - q.a) END, 8) AS value FROM q LEFT JOIN p l ON l.user_id = q.user_id AND l.i = q.a LEFT JOIN p r ON r.user_id = q.user_id AND r.i = q.b")
 def value_fill_linear(spark, sf_dir):
     e = _events(spark, sf_dir).withColumn("v", F.expr(_GAPS))

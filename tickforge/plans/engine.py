@@ -48,6 +48,7 @@ class Engine:
         self.externals: dict[str, DataFrame] = {}
         scalars.register(spark)
         gis.register(spark)
+        series_ops.register(spark)
         for name, (args, result, body) in rewrite.HELPERS.items():
             spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {result} RETURN {body}")
 
