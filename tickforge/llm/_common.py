@@ -1,12 +1,13 @@
 """Kernels and small helpers shared by the operators of this subpackage.
 
 Text reaches Python as Arrow batches; the kernels here work on the raw UTF-8
-buffer of a batch, in slices of a few megabytes, so that no Python object is
+buffer of a batch, in slices of half a megabyte, so that no Python object is
 made per word or per character and memory stays bounded by ``SLICE_BYTES``.
 """
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 #: Text per group when documents are dealt into groups that fit one Python call.
 GROUP_BYTES = 8 << 20
 
@@ -44,6 +45,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers are reused, and what one stage held should not count in the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of 64-bit words (the splitmix64 finaliser)."""
     x = x ^ (x >> np.uint64(30))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickforge.llm._common import slices, text_buffers
+from tickforge.llm._common import slices, text_buffers, trim
 
 DIMENSIONS = 1 << 14
 SIZES = (2, 3, 4)
@@ -170,6 +170,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None
                         score[k + r] = min(1.0, max(0.0, (float(values[r, best[r]]) + 1) / 2))
             arrays = [batch.column(rows_names.index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(pred, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+        trim()
 
     rows_names = rows.columns
     return rows.mapInArrow(run, schema)

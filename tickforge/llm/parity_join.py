@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickforge.llm._common import components, mix, slices, text_buffers, word_hashes, written
+from tickforge.llm._common import components, mix, slices, text_buffers, trim, word_hashes, written
 
 CLUSTER_ROWS = 1500
 #: Up to so many ids (8 bytes each) are broadcast to pick texts; beyond, the join shuffles.
@@ -126,6 +126,7 @@ def set_table(docs: DataFrame, n: int) -> DataFrame:
             for i, j in slices(off):
                 sets = document_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, _names(sets))], names=["doc_id", "n_shingles", "h1", "h2"])
+        trim()
 
     return _rows(docs).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
 
@@ -190,10 +191,11 @@ def sketch(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
                     if len(ids) == 60_000:
                         yield flush()
                         keys, owner, ids, spare, held = [], [], [], [], 0
-            if held > 1_500_000:
+            if held > 1_000_000:
                 yield flush()
                 keys, owner, ids, spare, held = [], [], [], [], 0
         yield flush()
+        trim()
 
     return _rows(docs).mapInArrow(run, _SKETCHED)
 
@@ -203,6 +205,7 @@ _MATCHED = "kind int, a long, b long, band int, n long"
 
 def _match(key: tuple, table: pa.Table) -> pa.Table:
     """A bucket's pairs of sets over rare keys (kind 1, counted) and its hot keys' members (kind 2); of bucket -1 the spare blocks (kind 0)."""
+    trim()
     if key[0].as_py() < 0:
         doc, band, left = (np.concatenate(x) for x in zip(*(np.frombuffer(b.as_py(), np.int64).reshape(3, -1) for b in table.column("blob"))))
         return pa.table([pa.array(np.zeros(len(doc), np.int32)), pa.array(doc), pa.array(doc), pa.array(band.astype(np.int32)), pa.array(left)], names=["kind", "a", "b", "band", "n"])
@@ -290,8 +293,8 @@ def cluster_links(sets: list[np.ndarray], side: list[int], percent: int) -> list
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, buckets: int | None = None) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every document with an id."""
-    if buckets is None:  # about a million keys each
-        buckets = max(8, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (16 << 20)))
+    if buckets is None:  # about half a million keys each
+        buckets = max(8, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (8 << 20)))
     sets = written(set_table(docs, n), "sets")
     classes = sets.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     many = classes.where("copies > 1")
@@ -315,6 +318,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, buckets:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(found, pa.binary()), batch.column(2).slice(i, j - i), batch.column(3).slice(i, j - i)], names=["doc_id", "items", "component", "cuts"])
 
     def verify(table: pa.Table) -> pa.Table:
+        trim()
         found: dict[int, tuple[np.ndarray, int]] = {}
         for d, x, p, q, r in zip(*(table.column(c).to_pylist() for c in ("doc_id", "items", "part", "one", "two"))):
             found.setdefault(d, (np.frombuffer(x, np.uint64), 0 if q == r else 1 if p == q else 2))

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickforge.llm._common import BYTE_CODE, group_count, mix, powers, slices, text_buffers
+from tickforge.llm._common import BYTE_CODE, group_count, mix, powers, slices, text_buffers, trim
 
 SPAN = 50
 GRAM = 16
@@ -94,6 +94,7 @@ class Anchors:
 
 
 def _anchored(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray, Anchors]]:
+    trim()
     buf, off = text_buffers(table.column("text"))
     ids = table.column("doc_id").combine_chunks().fill_null(int(_LAST)).to_numpy(zero_copy_only=False).astype(np.int64)
     for i, j in slices(off, _SLICE):
@@ -241,6 +242,7 @@ def earlier_strings(doc: np.ndarray, edges: np.ndarray, text: np.ndarray) -> np.
 
 
 def _answers(table: pa.Table) -> pa.Table:
+    trim()
     groups = table.column("g").to_pylist()
     parts = [_unpack(b.as_py()) for b in table.column("blob")]
     kind, doc, one = (np.concatenate([p[i] for p in parts]) for i in range(3))

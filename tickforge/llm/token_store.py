@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickforge.llm._common import shared_dir
+from tickforge.llm._common import shared_dir, trim
 from tickforge.llm.tokens import encoder, public_file
 
 _STORED = "doc_id long, part int, local_start long, ids array<int>"
@@ -46,6 +46,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), flat)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(at + ends - sizes), lists], names=["doc_id", "part", "local_start", "ids"])
                 at += int(ends[-1])
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     files = max(1, -(-docs.count() // rows_per_file))
