@@ -226,12 +226,12 @@ def scan_text(text: str, crf: Crf) -> tuple[list[tuple[int, int, int]], list[tup
 def scan(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
     """Spans of every text: ``(doc_id, spans array<struct<kind, start, end>>, n_base)``; offsets in code points."""
     model = crf or train(docs)
-    kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+    shape = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in scan_text(cell.as_py() or "", model)[1]] for cell in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(kind))], names=["doc_id", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(shape))], names=["doc_id", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
@@ -243,7 +243,8 @@ def span_digest(found: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select(
         "doc_id",
-        *map(count, KINDS),
+        *map(count, KINDS[:3]),
         F.sha2(text(F.filter("spans", lambda x: x["kind"] != "crf")), 256).alias("base_sha256"),
         text(F.col("spans")).alias("spans"),
+        count("crf"),
     )
