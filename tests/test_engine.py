@@ -161,3 +161,21 @@ def test_geometry_rejections():
     for text in ("POINT(1 2)", "MULTIPOLYGON(((0 0,1 0,1 1,0 0)))", "GEOMETRYCOLLECTION(POINT(1 2),LINESTRING(0 0,1 1.5))"):
         g = gis.parse_wkt(text)
         assert gis.to_wkt(gis.parse_wkb(gis.to_wkb(g))) == text == gis.to_wkt(g)
+
+
+def test_stream_table(engine):
+    engine.sql("CREATE STREAM TABLE src WITH (db = 'public', table = 'test', event_time_column = 'time', watermark_delay = '1 day') ENGINE = files")
+    engine.sql("CREATE TABLE counts(n BIGINT, TAGS(t0))")
+    with pytest.raises(SqlError):
+        engine.sql("SELECT * FROM src")
+    with pytest.raises(ValueError, match="sorting"):
+        engine.sql("INSERT INTO counts(time, t0, n) SELECT time, t0, f0 FROM src ORDER BY time")
+    engine.once = True
+    job = engine.sql("INSERT INTO counts(time, t0, n) SELECT w.start, t0, n FROM (SELECT time_window(time, INTERVAL '1 minute') AS w, t0, count(*) AS n FROM src GROUP BY w, t0)")
+    (key,) = rows(job)[0]
+    for q in engine.spark.streams.active:
+        if q.id == key:
+            q.awaitTermination()
+    assert sorted(rows(engine.sql("SELECT t0, n FROM counts")), key=str) == [("", 1), ("a", 3), (None, 3)]
+    with pytest.raises(SqlError):
+        engine.sql("CREATE STREAM TABLE bad WITH (table = 'test') ENGINE = files")

@@ -21,6 +21,7 @@ from tickforge.plans import rewrite
 from tickforge.plans.tokens import SqlError, Token, arguments, closing, join, tokenize, unquote
 from tickforge.session import configure
 from tickforge.sources import files
+from tickforge.streaming import jobs
 
 # SQL type names of native columns.
 TYPES = {"BIGINT": "bigint", "BIGINT UNSIGNED": "decimal(20,0)", "DOUBLE": "double", "STRING": "string", "BOOLEAN": "boolean"}
@@ -46,6 +47,8 @@ class Engine:
         self.databases: dict[str, dict[str, Stored]] = {database: {}}
         self.options: dict[str, dict[str, str]] = {database: {}}
         self.externals: dict[str, DataFrame] = {}
+        self.streams: dict[str, jobs.StreamTable] = {}
+        self.once = False  # whether stream jobs handle what is there and stop
         scalars.register(spark)
         gis.register(spark)
         series_ops.register(spark)
@@ -129,7 +132,9 @@ class Engine:
             ("DESCRIBE TABLE", self._describe),
             ("DESCRIBE DATABASE", lambda t: self._rows(sorted(self.options[unquote(t[2]).lower()].items()), "option string, value string")),
             ("CREATE EXTERNAL TABLE", self._create_external),
+            ("CREATE STREAM TABLE", self._create_stream),
             ("CREATE STREAM ", self._no_stream),
+            ("KILL QUERY", self._kill),
             ("CREATE TABLE", self._create_table),
             ("DROP TABLE", self._drop_table),
             ("ALTER TABLE", self._alter_table),
@@ -149,8 +154,10 @@ class Engine:
     def _no_stream(self, tokens: list[Token]) -> DataFrame:
         raise SqlError("this statement is not supported; see tickforge.streaming")
 
-    def query(self, text: str) -> DataFrame:
+    def query(self, text: str, streaming: bool = False) -> DataFrame:
         """A query in the engine's dialect."""
+        if not streaming and any(unquote(t).lower() in self.streams for t in tokenize(text)):
+            raise SqlError("a stream table is read by INSERT ... SELECT only")
         special = self._generating(tokenize(text)) or self._selecting(tokenize(text))
         if special is not None:
             return special
@@ -196,6 +203,43 @@ class Engine:
         out = pick(self.query(join(rest)), "__selected", int(args[1][0]))
         return out.withColumnRenamed("__selected", column.strip("`\""))
 
+    def _create_stream(self, tokens: list[Token]) -> DataFrame:
+        """``CREATE STREAM TABLE s [(columns)] WITH (db = …, table = …, event_time_column = …[, watermark_delay = …]) ENGINE = …``."""
+        i = 6 if tokens[3].isword("IF") else 3
+        name = unquote(tokens[i])
+        if name.lower() in self.streams and i == 3:
+            raise SqlError(f"table exists: {name}")
+        at = next((k for k, t in enumerate(tokens) if t.isword("WITH")), None)
+        if at is None:
+            raise SqlError("a stream table names its source")
+        options = {a[0].lower(): unquote(a[2]) for a in arguments(tokens, at + 1)[0]}
+        if not {"table", "event_time_column"} <= set(options):
+            raise SqlError("a stream table needs table and event_time_column")
+        s = self.databases[options.get("db", self.database)].get(options["table"].lower())
+        if s is None:
+            raise SqlError(f"table not found: {options['table']}")
+        schema = self.spark.createDataFrame([], self._schema(s.table)).schema
+        if tokens[i + 1] == "(":
+            missing = [unquote(c[0]) for c in arguments(tokens, i + 1)[0] if unquote(c[0]) not in schema.names]
+            if missing:
+                raise SqlError(f"column not found: {missing[0]}")
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(s.path)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+        stream = jobs.StreamTable(s.path, schema, options["event_time_column"], options.get("watermark_delay", "0 seconds"))
+        self.streams[name.lower()] = stream
+        stream.read(self.spark).createOrReplaceTempView(name)
+        return self._done()
+
+    def _start_stream(self, name: str, rows: DataFrame, columns: list[str]) -> DataFrame:
+        """Run INSERT ... SELECT from a stream table as a job; returns its id.  Results are upserted by series and time."""
+        query = jobs.start(rows.toDF(*columns), lambda batch, _: self.insert(name, batch, columns), f"{self.root}/jobs/{uuid.uuid4().hex}", self.once)
+        return self._rows([(query.id,)], "query_id string")
+
+    def _kill(self, tokens: list[Token]) -> DataFrame:
+        jobs.kill_query(self.spark, unquote(tokens[2]))
+        return self._done()
+
     def _create_database(self, tokens: list[Token]) -> DataFrame:
         i = 5 if tokens[2].isword("IF") else 2
         name = unquote(tokens[i]).lower()
@@ -317,6 +361,8 @@ class Engine:
                 raise SqlError("an insert names the time")
         else:
             columns = [t.time, *t.tags, *t.fields] if t.tags else [t.time, *t.fields]
+        if any(unquote(x).lower() in self.streams for x in tokens[i:]):
+            return self._start_stream(t.name, self.query(join(tokens[i:]), streaming=True), columns)
         rows = self.query(join(tokens[i:])) if not tokens[i].isword("VALUES") else self.spark.sql(rewrite.select(join(tokens[i:])))
         at = columns.index(t.time)
         kind = rows.schema.fields[at].dataType.typeName()

@@ -53,7 +53,7 @@ REFUSED = {"Join": "joins", "GlobalLimit": "limits", "LocalLimit": "limits", "So
 def check_stream(df: DataFrame) -> None:
     """Refuse what a stream job may not hold: joins, limits, sorting, more than one aggregation."""
     plan = df._jdf.queryExecution().analyzed().toString()
-    nodes = [line.lstrip(" :+-").split(" ")[0] for line in plan.split("\n")]
+    nodes = [line.lstrip(" :+-~").split(" ")[0] for line in plan.split("\n")]
     for node in nodes:
         if node in REFUSED:
             raise ValueError(f"{REFUSED[node]} are not supported on streams")
