@@ -53,20 +53,25 @@ _SKETCH = 512
 _C = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
+def _step(k: int) -> np.uint64:
+    """What sets the word at place ``k`` of an n-gram apart from the others."""
+    return np.uint64(int(_C[k % 3]) * (2 * k + 1) % 2**64)
+
+
 def document_sets(buf: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of each document of a slice."""
     h, doc = word_hashes(buf, off)
     edge = np.searchsorted(doc, np.arange(len(off)))
     grams = np.zeros(max(0, len(h) - n + 1), dtype=np.uint64)
     for k in range(n):
-        grams += mix(h[k : k + len(grams)] + _C[k % 3] * np.uint64(2 * k + 1))
+        grams += mix(h[k : k + len(grams)] + _step(k))
     grams = mix(grams)
     out = []
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
         if b - a >= n:
             out.append(np.unique(grams[a : b - n + 1]))
         elif b > a:
-            whole = np.uint64(0x1234567 + b - a) + sum((mix(h[i : i + 1] + _C[(i - a) % 3] * np.uint64(2 * (i - a) + 1)) for i in range(a, b)), np.zeros(1, np.uint64))
+            whole = np.uint64(0x1234567 + b - a) + sum((mix(h[i : i + 1] + _step(i - a)) for i in range(a, b)), np.zeros(1, np.uint64))
             out.append(mix(mix(whole)))
         else:
             out.append(np.empty(0, np.uint64))
