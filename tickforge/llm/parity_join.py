@@ -103,8 +103,11 @@ def block_keys(items: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarr
     size, out = len(items), []
     if size == 0:
         return out
+    largest = 100 * size // percent
+    if (100 - percent) * (size + largest) < 100 + percent:  # no element may differ
+        return out
     scrambled = mix(items ^ _C[1])
-    for band in range(band_of(size), band_of(100 * size // percent) + 1):
+    for band in range(band_of(size), band_of(largest) + 1):
         m, s = band_blocks(band, percent)
         if not m:
             continue
@@ -114,10 +117,9 @@ def block_keys(items: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarr
         start = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
         names, parity = block[start], np.bitwise_xor.reduceat(mix(value), start)
         spare = s - (m - len(names))
-        if spare < 0:  # too many empty blocks: they count like others
+        if spare < 0:  # more empty blocks than a link must share: they get keys too
             empty = np.setdiff1d(np.arange(m, dtype=np.uint64), names)
             names, parity = np.append(names, empty), np.append(parity, np.zeros(len(empty), np.uint64))
-            spare = s
         out.append((band, spare, mix(parity + mix(names * _C[2] + np.uint64(band + 1)))))
     return out
 
