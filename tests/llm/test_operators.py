@@ -107,6 +107,20 @@ def test_parity_join_hot_families(spark):
     assert got == brute_components(rows, 3, 80)
 
 
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_parity_join_small_sets(spark, percent):
+    """Very small sets, in which many blocks are empty, in families larger than a rare key."""
+    r = random.Random(percent)
+    rows = []
+    for i in range(220):
+        base = [f"w{i % 4}_{k}" for k in range(2 + i % 19)]
+        if r.random() < 0.5:
+            base[r.randrange(len(base))] = f"x{r.randrange(30)}"
+        rows.append((i, " ".join(base), None, "", 0))
+    got = {tuple(x) for x in parity_join.jaccard_components(spark.createDataFrame(rows, SCHEMA), 1, percent, buckets=3).collect()}
+    assert got == brute_components(rows, 1, percent)
+
+
 def test_parity_join_empty_and_repeated(spark, none):
     assert parity_join.jaccard_components(none).count() == 0
     twice = spark.createDataFrame([(1, "a b c d e f", None, "", 0)] * 2 + [(None, "a b c d e f", None, "", 0)], SCHEMA)
