@@ -142,6 +142,10 @@ def _repeated_anchors(table: pa.Table) -> pa.Table:
     return pa.table([table.column("g"), table.column("bucket"), pa.array(out, pa.binary())], names=["g", "bucket", "blob"])
 
 
+def _squeezed(text: np.ndarray) -> bytes:
+    return pa.Codec("zstd", 1).compress(text.tobytes(), asbytes=True)
+
+
 def _send_surroundings(buckets: int):
     def run(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
         active = np.sort(np.concatenate([np.empty(0, np.uint64), *((np.uint64(b) << np.uint64(32)) | np.frombuffer(x.as_py(), np.uint32).astype(np.uint64) for b, x in zip(answer.column("bucket").to_pylist(), answer.column("blob")))]))
@@ -164,33 +168,37 @@ def _send_surroundings(buckets: int):
             place = a.at[pick[clipped], None] - REACH + np.arange(WIDTH)
             text[clipped] *= (place >= a.low[pick[clipped], None]) & (place < a.high[pick[clipped], None])
             edges = np.stack([a.at[pick] - a.low[pick], a.high[pick] - a.at[pick]], axis=1).astype(np.uint8)
-            got.append((kind, doc, _bucket(a.gram[pick], buckets), one, edges, text))
+            got.append((kind, doc, a.gram[pick], one, edges, text))
         if not got:
             return pa.table([pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.binary())], names=["bucket", "g", "blob"])
-        kind, doc, bucket, one, edges, text = (np.concatenate(x) for x in zip(*got))
-        order = np.lexsort((doc, kind, bucket))
-        kind, doc, bucket, one = kind[order], doc[order], bucket[order], one[order]
+        kind, doc, gram, one, edges, text = (np.concatenate(x) for x in zip(*got))
+        order = np.lexsort((doc, kind, gram))  # ascends with the buckets; equal anchors side by side compress well
+        kind, doc, bucket, one = kind[order], doc[order], _bucket(gram[order], buckets), one[order]
         start = np.flatnonzero(np.append(True, kind[1:] != kind[:-1]))
         one = np.minimum.reduceat(one, start) * (doc[start] == np.maximum.reduceat(doc, start))
         kind, doc, bucket, order = kind[start], doc[start], bucket[start], order[start]
         edges, text = edges[order], text[order]
         cut = np.searchsorted(bucket, np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(cut))
-        blobs = [b"".join(x[cut[i] : cut[i + 1]].tobytes() for x in (kind, doc, one.astype(np.uint8), edges, text)) for i in full]
+        blobs = []
+        for i in full:
+            part = slice(cut[i], cut[i + 1])
+            head = b"".join(x[part].tobytes() for x in (kind, doc, one.astype(np.uint8), edges))
+            blobs.append(np.int64(cut[i + 1] - cut[i]).tobytes() + head + _squeezed(text[part]))
         return pa.table([pa.array(full.astype(np.int32)), pa.array([key[0].as_py()] * len(full), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "g", "blob"])
 
     return run
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    n = len(blob) // (8 + 8 + 1 + 2 + WIDTH)
-    at = np.cumsum([0, 8 * n, 8 * n, n, 2 * n])
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    at = np.cumsum([8, 8 * n, 8 * n, n, 2 * n])
     return (
         np.frombuffer(blob, np.uint64, n, at[0]),
         np.frombuffer(blob, np.int64, n, at[1]),
         np.frombuffer(blob, np.uint8, n, at[2]),
         np.frombuffer(blob, np.uint8, 2 * n, at[3]).reshape(n, 2),
-        np.frombuffer(blob, np.uint8, WIDTH * n, at[4]).reshape(n, WIDTH),
+        np.frombuffer(pa.Codec("zstd").decompress(blob[at[4] :], decompressed_size=WIDTH * n, asbytes=True), np.uint8).reshape(n, WIDTH),
     )
 
 
