@@ -1,5 +1,7 @@
 """The pipeline on a small corpus, stage by stage against brute force."""
 
+import random
+
 import corpus_pipeline
 from tests.llm.test_operators import SCHEMA, brute_components, brute_lines, corpus
 
@@ -34,3 +36,15 @@ def test_registered_queries():
     names = set(entry.queries())
     assert {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in names} and "pipeline" in names
     assert set(entry.oracle_sql()) <= names
+
+
+def test_language_stage_rejects_unlearnt_languages(spark):
+    r = random.Random(8)
+    parts = {"aa": ["th", "er", "on", "an", "re"], "bb": ["ung", "sch", "ich", "ein"], "cc": ["eau", "que", "oi", "ment"], None: ["zy", "wk", "vu", "xo"]}
+    prose = lambda lang, k: " ".join("".join(r.choice(parts[lang]) for _ in range(3)) for _ in range(k))
+    rows = [(i, prose(lang := ["aa", "bb", "cc"][i % 3], r.randint(3, 60)), lang, "", 0) for i in range(600)]
+    rows += [(1000 + i, prose(["aa", "bb", "cc"][i % 3], 2), None, "", 0) for i in range(12)]
+    rows += [(2000 + i, prose(None, 40), None, "", 0) for i in range(12)] + [(2100, "日本語のテキスト" * 20, None, "", 0)]
+    kept = {x.doc_id for x in corpus_pipeline.language_id(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert {d for d in kept if d >= 1000} == set(range(1000, 1012))
+    assert len(kept) >= 0.99 * 600 + 12

@@ -33,6 +33,8 @@ SIZES = (2, 3, 4)
 SAMPLE_DOCS = 1600
 LANDMARKS = 128
 MAX_LANGUAGES = 200
+#: Lengths in characters for which the least score of a known language is learnt, and the held-out texts this takes.
+CUTS, LEAST_TEXTS = (16, 64, 256, 1024), 20
 _ROWS = 96
 
 _ASCII = np.arange(256, dtype=np.uint8)
@@ -176,6 +178,26 @@ def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None
     return rows.mapInArrow(run, schema)
 
 
+def floors(docs: DataFrame, model: LanguageModel, sample_docs: int = SAMPLE_DOCS) -> dict[int, float]:
+    """The least score of a known language per length of :data:`CUTS`, learnt from a bounded sample of the held-out texts cut to that length.
+
+    The values of a text unlike every language sum to 2 less the number of languages, so at chance the score is one part
+    in that number.  The floor lies halfway between chance and the score that 99 of 100 held-out texts reach.
+    Shorter texts, lengths with few held-out texts, and a model of one language have no floor.
+    """
+    chance = 1 / len(model.languages)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h")).where(F.col("lang").isin(model.languages) & held_out())
+    each = max(8, sample_docs // len(model.languages))
+    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= each)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(first.select("doc_id", "lang")), ["doc_id", "lang"])
+    cuts = F.filter(F.array(*map(F.lit, CUTS)), lambda c: c <= F.length("text"))
+    starts = texts.select("text", F.explode(cuts).alias("cut")).select("cut", F.expr("substring(text, 1, cut)").alias("text"))
+    found: dict[int, list[float]] = {}
+    for r in predict(starts, model, keep=["cut", "text"]).where("lang_pred <> 'und'").select("cut", "score").collect():
+        found.setdefault(r.cut, []).append(r.score)
+    return {c: (chance + float(np.quantile(v, 0.01))) / 2 for c, v in found.items() if len(v) >= LEAST_TEXTS and len(model.languages) > 1}
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Train on ``docs`` and predict each of its rows: ``(doc_id, held_out, lang_pred, score)``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
