@@ -436,3 +436,16 @@ def test_decontamination_runs_no_python(spark, docs):
     items.write.mode("overwrite").saveAsTable("items_for_plan")
     plan = decontaminate.contaminated(docs.limit(0), spark.table("items_for_plan"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan.replace("docs", ""))
+
+
+def _found(spark, item, *texts):
+    docs = spark.createDataFrame([(i, t, None, "", 0) for i, t in enumerate(texts)], SCHEMA)
+    return {r.doc_id: r for r in decontaminate.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+
+
+def test_decontamination_cuts_at_slot_conflicts(spark):
+    """A conflict on a diagonal ends a run; the consistent parts count."""
+    got = _found(spark, ITEM, ITEM.replace("Maria", "Olga", 1))
+    assert got[0].longest_run == 19 and got[0].n_changed == 1
+    fruit = "Ben buys 2 apples and 2 pears at the old market for 8 dollars, what is the price of one pear"
+    assert set(_found(spark, fruit, fruit.replace("2 apples", "3 apples").replace("2 pears", "5 pears"), "Ben buys pears at the old market")) == {0}

@@ -5,21 +5,26 @@ numbers with a unit ``<qty>``, names (capitalised words inside a sentence)
 ``<name>``; all other words are lower-cased.  What a placeholder stands for is its
 slot value.
 
-Join.  Windows of ``window`` canonical tokens with at least ``literals`` words
-that are no placeholders are hashed; the benchmark's windows are joined with those of
+Join.  Windows of ``window`` tokens are hashed in three forms: the lower-cased
+words, the canonical tokens, and the canonical tokens with capitalised words that begin a
+sentence as names too.  The first form finds verbatim passages in any case and
+however many numbers they hold; the second needs ``literals`` words that are no
+placeholders, the third one less of its own.  An item of fewer than ``window`` tokens is one window,
+found as a whole under the same rules.  The benchmark's windows are joined with those of
 every text.  The benchmark side is broadcast only if it has at most
 ``BROADCAST_WINDOWS`` windows (counted first); else the join shuffles.
 
 Slots.  Windows of one text and item on one diagonal (equal distance of places)
 must map slot values consistently: a value of the item always to the same value of
 the text.  Copies do so trivially, re-parameterised questions by their new
-numbers and names; chance matches do not and are dropped.
+numbers and names.  Where windows contradict each other the diagonal is cut and
+its consistent parts count; a window that contradicts itself is dropped.
 
 A text is contaminated by an item if consistent windows cover ``share`` of the
 item's tokens or ``run`` tokens in a row.
 
-Defined cases: null and empty texts and items match nothing; items of fewer than
-``window`` tokens are too short to tell from chance and are left out; rows with
+Defined cases: null and empty texts and items match nothing; an item of one or two words
+is found in every text that holds them in a row; rows with
 equal ids and texts are one document; ids may be null; repeated items are
 reported once each id; an empty table on either side gives no row; other columns
 are ignored.
@@ -31,6 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, LITERALS, RUN, SHARE = 8, 5, 13, 0.5
+#: The forms of a text whose windows are hashed.
+FORMS = ("words", "tokens", "named")
 #: Windows (about 100 bytes each) up to which the benchmark side is broadcast.
 BROADCAST_WINDOWS = 300_000
 
@@ -65,53 +72,93 @@ def _canonical(x: Column, i: Column) -> Column:
 
 
 def template(rows: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``raw`` (tokens) and ``tokens`` (their canonical form)."""
-    return rows.withColumn("raw", F.regexp_extract_all(F.col(text), F.lit(_TOKEN), F.lit(0))).withColumn("tokens", F.transform("raw", _canonical))
+    """Add ``raw`` (tokens), ``words`` (lower-cased), ``tokens`` (canonical) and ``named`` (canonical, sentence-initial capitals as names too)."""
+    name = lambda x: (F.length(x) > 1) & (x != F.lower(x)) & (F.substring(x, 2, 1 << 30) == F.lower(F.substring(x, 2, 1 << 30)))
+    rows = rows.withColumn("raw", F.regexp_extract_all(F.col(text), F.lit(_TOKEN), F.lit(0)))
+    rows = rows.withColumns({"words": F.transform("raw", lambda x: F.lower(_bare(x))), "tokens": F.transform("raw", _canonical)})
+    return rows.withColumn("named", F.zip_with("raw", "tokens", lambda x, t: F.when((x == t) | F.startswith(t, F.lit("<")), t).when(name(_bare(x)), "<name>").otherwise(t)))
 
 
-def _windows(rows: DataFrame, window: int) -> DataFrame:
-    n = F.size("tokens") - (window - 1)
-    hashes = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice("tokens", i, window)))
-    # the outer form below keeps the optimizer from computing the hashes twice, for a filter and for the rows
-    return rows.withColumn("hashes", F.when(n > 0, hashes))
+def _hashes(form: str, size: int | Column, short: int | Column = 0) -> Column:
+    """Hashes of the windows of ``size`` tokens, one per token but the last ``short``.  (Naming ``form`` twice keeps the optimizer from computing it per window.)"""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(form) - short, F.lit(1))), lambda i: F.xxhash64(F.slice(form, i, size)))
 
 
-def _slot_values(place: str | Column, window: int) -> Column:
-    """The slot values of a window; null where the token is a word."""
-    raw, tokens = F.slice("raw", place, window), F.slice("tokens", place, window)
-    return F.zip_with(raw, tokens, lambda r, t: F.when(F.startswith(t, F.lit("<")), F.lower(_bare(r))))
+def _token_hashes(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({f"h_{f}": F.transform(f, lambda t: F.xxhash64(t)) for f in FORMS})
+
+
+def _item_windows(benchmark: DataFrame, window: int, literals: int) -> DataFrame:
+    """A row per item, place and form of window: ``(item_id, n, w, at, h, item_values)``; items shorter than a window are one window."""
+    items = template(benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null").distinct())
+    sized = _token_hashes(items).withColumn("n", F.size("tokens")).withColumn("w", F.least("n", F.lit(window)))
+    forms = F.arrays_zip(*(_hashes(f"h_{f}", F.col("w"), F.col("w") - 1).alias(f"h_{f}") for f in FORMS))
+    placed = sized.withColumn("all", F.when(F.col("n") > 0, forms)).select("item_id", "n", "w", "words", "tokens", "named", F.posexplode_outer("all").alias("at", "x")).where("x is not null")
+    cut = lambda form: F.slice(form, F.col("at") + 1, F.col("w"))
+    count = lambda form: F.size(F.filter(cut(form), lambda t: ~F.startswith(t, F.lit("<"))))
+    template_ok = count("tokens") >= literals
+    chosen = F.array(F.col("x.h_words"), F.when(template_ok, F.col("x.h_tokens")), F.when(template_ok & (count("named") >= literals - 1), F.col("x.h_named")))
+    values = F.zip_with(cut("words"), cut("tokens"), lambda a, t: F.struct(a.alias("a"), F.startswith(t, F.lit("<")).alias("slot")))
+    return placed.select("item_id", "n", "w", "at", F.explode(F.array_distinct(F.array_compact(chosen))).alias("h"), values.alias("item_values"))
+
+
+def _parts(windows: Column, w: Column) -> Column:
+    """Follow the windows of a diagonal; ``longest`` is the longest run of tokens in which slot values are consistent.
+
+    ``live`` are the windows of the run so far.  A window that contradicts some of them starts the run anew after the last of those.
+    """
+    zero = F.struct(F.filter(windows, lambda _: F.lit(False)).alias("live"), F.lit(0).alias("longest"))
+    bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  (computes ``value`` once)
+    clash = lambda x, y: F.exists(x["pairs"], lambda p: F.exists(y["pairs"], lambda q: (p["a"] == q["a"]) & (p["b"] != q["b"])))
+
+    def step(s: Column, x: Column) -> Column:
+        far = x["at"] - w
+        bad = F.aggregate(s["live"], F.lit(-1), lambda last, y: F.when((y["at"] < far) & (F.element_at(s["live"], -1)["at"] < far) | clash(x, y), y["at"]).otherwise(last))
+        live = bound(bad, lambda last: F.concat(F.filter(s["live"], lambda y: y["at"] > last), F.array(x)))
+        return bound(live, lambda now: F.struct(now.alias("live"), F.greatest(s["longest"], x["at"] + w - F.element_at(now, 1)["at"]).alias("longest")))
+
+    return F.aggregate(windows, zero, step)["longest"]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, run: int = RUN, share: float = SHARE) -> DataFrame:
     """Pairs ``(doc_id, text_hash, item_id, n_item_tokens, n_covered, longest_run, n_slots, n_changed)``."""
-    items = template(benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null").distinct())
-    placed = _windows(items.withColumn("n", F.size("tokens")), window).select("item_id", "n", "raw", "tokens", F.posexplode_outer("hashes").alias("at", "h")).where("h is not null")
-    word = lambda t: ~F.startswith(t, F.lit("<"))
-    side = placed.where(F.size(F.filter(F.slice("tokens", F.col("at") + 1, window), word)) >= literals).select("item_id", "n", "at", "h", _slot_values(F.col("at") + 1, window).alias("item_values"))
+    side = _item_windows(benchmark, window, literals)
     few = side.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    sizes = sorted({window, *(r.w for r in side.where(F.col("w") < window).select("w").distinct().collect())})
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").withColumn("text_hash", F.xxhash64("text"))
-    found = _windows(template(texts).drop("text"), window).select("doc_id", "text_hash", "raw", "tokens", F.posexplode_outer("hashes").alias("place", "h"))
-    hits = found.join(F.broadcast(side) if few else side, "h").select(
-        "doc_id", "text_hash", "item_id", "n", "at", (F.col("place") - F.col("at")).alias("diagonal"), F.filter(F.zip_with("item_values", _slot_values(F.col("place") + 1, window), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["a"].isNotNull()).alias("pairs")
-    )
-    runs = hits.groupBy("doc_id", "text_hash", "item_id", "n", "diagonal").agg(F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    steady = runs.where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))))
-    pair = steady.groupBy("doc_id", "text_hash", "item_id", "n").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("at")))).alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    zero = F.struct(F.lit(-window).alias("last"), F.lit(0).alias("total"), F.lit(0).alias("length"), F.lit(0).alias("longest"))
+    # windows at the end of a text are shorter and then match at most short items; the outer form below keeps the
+    # optimizer from computing the hashes twice, for a filter and for the rows
+    hashes = F.when(F.size("words") > 0, F.concat(*(_hashes(f"h_{form}", size) for size in sizes for form in FORMS)))
+    found = _token_hashes(template(texts).drop("text")).withColumn("hashes", hashes).select("doc_id", "text_hash", "words", F.posexplode_outer("hashes").alias("pos", "h"))
+    place = F.col("pos") % F.size("words")
+    zipped = F.zip_with("item_values", F.slice("words", place + 1, F.col("w")), lambda a, b: F.struct(a["a"].alias("a"), b.alias("b"), (a["slot"] | (a["a"] != b)).alias("slot")))
+    pairs = F.array_distinct(F.transform(F.filter(zipped, lambda p: p["slot"]), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"))))
+    hits = found.join(F.broadcast(side) if few else side, "h").select("doc_id", "text_hash", "item_id", "n", "w", "at", (place - F.col("at")).alias("diagonal"), pairs.alias("pairs"))
+    steady = lambda p: F.size(p) == F.size(F.array_distinct(F.transform(p, lambda x: x["a"])))
+    # windows that contradict themselves go after the grouping: pushed into the join, the test would take it out of generated code
+    runs = hits.groupBy("doc_id", "text_hash", "item_id", "n", "w", "diagonal").agg(F.array_sort(F.collect_set(F.struct("at", "pairs"))).alias("windows"))
+    runs = runs.withColumn("windows", F.filter("windows", lambda x: steady(x["pairs"])))
+    runs = runs.select("doc_id", "text_hash", "item_id", "n", "w", "windows", F.col("windows.at").alias("at"), F.array_distinct(F.flatten("windows.pairs")).alias("pairs"))
+    whole = steady(F.col("pairs"))
+    runs = runs.select("doc_id", "text_hash", "item_id", "n", "w", "at", "pairs", F.when(whole, F.col("at")).alias("whole"), F.when(~whole, _parts(F.col("windows"), F.col("w"))).alias("longest"))
+    together = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    pair = runs.groupBy("doc_id", "text_hash", "item_id", "n", "w").agg(together("at").alias("at"), together("whole").alias("whole"), F.max("longest").alias("longest"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    zero = F.struct((-F.col("w")).alias("last"), F.lit(0).alias("total"), F.lit(0).alias("length"), F.lit(0).alias("longest"))
+    w = F.col("w")
 
     def step(s: Column, at: Column) -> Column:
-        new = F.least(F.lit(window), at - s["last"])
-        length = F.when(at - s["last"] <= window, s["length"] + new).otherwise(F.lit(window))
+        new = F.least(w, at - s["last"])
+        length = F.when(at - s["last"] <= w, s["length"] + new).otherwise(w)
         return F.struct(at.alias("last"), (s["total"] + new).alias("total"), length.alias("length"), F.greatest(s["longest"], length).alias("longest"))
 
-    measured = pair.withColumn("m", F.aggregate("at", zero, step))
-    return measured.where((F.col("m.longest") >= run) | (F.col("m.total") >= share * F.col("n"))).select(
+    measured = pair.select("doc_id", "text_hash", "item_id", "n", "pairs", F.aggregate("at", zero, step)["total"].alias("total"), F.greatest(F.aggregate("whole", zero, step)["longest"], "longest").alias("longest"))
+    return measured.where((F.col("longest") >= run) | (F.col("total") >= share * F.col("n"))).select(
         "doc_id",
         "text_hash",
         "item_id",
         F.col("n").cast("long").alias("n_item_tokens"),
-        F.col("m.total").cast("long").alias("n_covered"),
-        F.col("m.longest").cast("long").alias("longest_run"),
+        F.col("total").cast("long").alias("n_covered"),
+        F.col("longest").cast("long").alias("longest_run"),
         F.size("pairs").cast("long").alias("n_slots"),
         F.size(F.filter("pairs", lambda p: p["a"] != p["b"])).cast("long").alias("n_changed"),
     )
