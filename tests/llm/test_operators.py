@@ -449,3 +449,10 @@ def test_decontamination_cuts_at_slot_conflicts(spark):
     assert got[0].longest_run == 19 and got[0].n_changed == 1
     fruit = "Ben buys 2 apples and 2 pears at the old market for 8 dollars, what is the price of one pear"
     assert set(_found(spark, fruit, fruit.replace("2 apples", "3 apples").replace("2 pears", "5 pears"), "Ben buys pears at the old market")) == {0}
+
+
+def test_decontamination_names_at_sentence_starts_and_in_any_case(spark):
+    assert _found(spark, ITEM, "so " + ITEM.lower() + " then")[0].n_covered == 24
+    item = "Tom has 5 apples. Ann has 7 pears. Bob has 9 plums. How many pieces of fruit have they?"
+    other = "Well. Jim has 3 apples. Sue has 4 pears. Max has 6 plums. How many pieces of fruit have they?"
+    assert _found(spark, item, other)[0].n_covered == 19
