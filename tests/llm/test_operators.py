@@ -456,3 +456,10 @@ def test_decontamination_names_at_sentence_starts_and_in_any_case(spark):
     item = "Tom has 5 apples. Ann has 7 pears. Bob has 9 plums. How many pieces of fruit have they?"
     other = "Well. Jim has 3 apples. Sue has 4 pears. Max has 6 plums. How many pieces of fruit have they?"
     assert _found(spark, item, other)[0].n_covered == 19
+
+
+def test_decontamination_of_short_and_dense_items(spark):
+    short = "What is the capital of France?"
+    assert set(_found(spark, short, "He asked: what is the capital of France? Paris.", "the capital of trade is what it is", "")) == {0}
+    dense = "Solve 3 x + 4 y = 12 and 5 x - 2 y = 7"
+    assert set(_found(spark, dense, "Now " + dense.lower() + " for me", "Solve 8 x + 1 y = 2 and 3 x - 9 y = 4")) == {0}
