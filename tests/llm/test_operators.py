@@ -329,37 +329,127 @@ def test_base_spans():
     assert secrets.base_spans("token=token=abcdefgh")[0][:2] == (0, 20)
 
 
+def brute_base(text):
+    """The base rules character by character, without regular expressions."""
+    key = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    low, out = text.translate(LOWER), []
+
+    def run(i, allowed):
+        while i < len(text) and text[i] in allowed:
+            i += 1
+        return i
+
+    i = 0
+    while i < len(text):
+        end = None
+        for word in ("password", "passwd", "secret", "token", "apikey", "api_key"):
+            if low.startswith(word, i):
+                ends = set()
+                for quote in (1, 0):
+                    j = i + len(word)
+                    j += 1 if quote and text[j : j + 1] in ("'", '"') and j < len(text) else 0
+                    j = run(j, {" "})
+                    if text[j : j + 1] in (":", "=") and j < len(text):
+                        k = run(j + 1, {" "})
+                        for m in (k + 1 if text[k : k + 1] in ("'", '"') and k < len(text) else k, k):
+                            if run(m, key) > m:
+                                ends.add((m, run(m, key)))
+                                break
+                if ends:
+                    end = max(ends)
+                    break
+        if end:
+            if end[1] - end[0] >= 8:
+                out.append((i, end[1], 0))
+            i = end[1]
+        else:
+            i += 1
+    i = 0
+    while i < len(text):
+        if text.startswith("AKIA", i) and (j := run(i + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))) > i + 4:
+            out += [(i, j, 1)] * (j - i >= 16)
+            i = j
+        else:
+            i += 1
+    i = 0
+    while i < len(text):
+        j = run(i, set("0123456789abcdef"))
+        out += [(i, j, 2)] * (j - i >= 32)
+        i = max(j, i + 1)
+    return sorted(out, key=lambda s: (s[0], s[2]))
+
+
+def test_base_spans_equal_brute_force():
+    r = random.Random(12)
+    parts = ["password", "PassWd", "secret", "Token", "api_key", "APIkey", "'", '"', " ", "  ", ":", "=", "a", "f00", "AKIA", "QWER9", "TYUIOPAS", "é", "\n", "0123456789abcdef", "+/", "."]
+    for _ in range(6000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 14)))
+        assert secrets.base_spans(text) == brute_base(text), text
+
+
+def _generated(r, n, alphabet="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"):
+    return "".join(r.choice(alphabet) for _ in range(n))
+
+
 def test_secret_scan(spark, docs, none):
+    """Base spans as by brute force; the field adds keys no pattern knows and leaves clean text alone."""
     r = random.Random(1)
-    key = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
-    rows = [(i, f'some words here token = "{key(40)}" and more {i} of it 4111111111111111 v1.2.3-beta', None, "", 0) for i in range(60)] + [(900, None, None, "", 0), (901, "", None, "", 0)]
+    prose = [f"the river ran past {w} and its mill, where {v} people met in {y} and paid {c}.50 for bread" for w in ("Aston", "Brook", "Cole") for v, y, c in ((12, 1901, 3), (4800, 1999, 12))]
+    clean = ["call +44 161 4960000 or write to jo.smith@mail.example.com on 2024-05-06", "see https://www.example.com/news/item-20441.html and version v1.2.3-beta", "card 4111 1111 1111 1111 from host 192.168.10.4", "the secret of the town is a token of its past", "for (i = 0; i < n; i++) { total += price_list[i]; }"]
+    rows = [(i, f'{prose[i % 6]}\nsome words token = "{_generated(r, 40, "0123456789abcdef")}" and more of it\n{clean[i % 5]}', None, "", 0) for i in range(60)]
+    rows += [(100 + i, prose[i % 6] + "\n" + clean[i % 5] + " and " + prose[(i + 1) % 6], None, "", 0) for i in range(60)]
+    new = [lambda k: f"client_key={k}", lambda k: f"we saw ghp_{k} there", lambda k: f"the credential was {k} then", lambda k: f"auth: Bearer {k}", lambda k: f'pwd = "{k}"']
+    keys = [_generated(r, 36) for _ in range(20)]
+    rows += [(200 + i, prose[i % 6] + "\nÉté " + new[i % 5](k) + "\n" + clean[i % 5], None, "", 0) for i, k in enumerate(keys)]
+    rows += [(900, None, None, "", 0), (901, "", None, "", 0), (902, rows[0][1], None, "", 0), (902, rows[0][1], None, "", 0), (903, "word " * 40000 + "client_key=" + keys[0], None, "", 0)]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = {x.doc_id: x for x in secrets.span_digest(secrets.scan(df)).collect()}
+    found = secrets.scan(df)
+    got = {x.doc_id: x for x in secrets.span_digest(found).collect()}
     for doc, text, *_ in rows:
-        base = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, b, k in secrets.base_spans(text or ""))
+        base = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, b, k in brute_base(text or ""))
         assert got[doc].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
-        assert got[doc].n_assign == got[doc].n_hex == int(doc < 900) and set(base.split(",")) <= set(got[doc].spans.split(","))
+        assert got[doc].n_assign == got[doc].n_hex == int(doc < 100 or doc == 902) and set(filter(None, base.split(","))) <= set(got[doc].spans.split(","))
+    spans = {x.doc_id: [(s.start, s.end) for s in x.spans if s.kind == "crf"] for x in found.collect()}
+    texts = {d: t or "" for d, t, *_ in rows}
+    caught = sum(any(keys[d - 200] in texts[d][a:b] for a, b in spans[d]) for d in range(200, 220))
+    assert caught >= 16 and any(keys[0] in texts[903][a:b] for a, b in spans[903])
+    assert sum(map(len, (spans[d] for d in range(160) if d in spans))) <= 3 and spans[900] == spans[901] == []
+    assert found.where("doc_id = 902").count() == 2 and got[902].spans == got[0].spans
     assert secrets.scan(none).count() == 0
 
 
 def test_crf_decoding_is_best_path():
+    """Whole lines, decoded by cutting at sure tokens, against all tag sequences."""
     rng = np.random.default_rng(3)
-    crf = secrets.Crf(rng.normal(size=(3, secrets.N_FEATURES)), rng.normal(size=(3, 3)) + np.array([[0, 0, -1e9], [0, 0, 0], [0, 0, 0]]))
-    for n in (1, 2, 5):
-        x = rng.normal(size=(n, secrets.N_FEATURES))
-        score = lambda y: sum(crf.emit[t] @ x[i] for i, t in enumerate(y)) + sum(crf.move[a, b] for a, b in zip((0, *y), y))
-        assert tuple(crf.decode(x)) == max(itertools.product(range(3), repeat=n), key=score)
-
-
-def test_crf_learns_context():
-    def sample(secret):
-        text = f"token = {'9f8e7d6c5b4a3f2e1d0c9b8a' if secret else 'x'} and call 555123456789 now"
-        spans = secrets.candidates(text)
-        return secrets.token_features(text, spans), [int(secret and i == 0) for i in range(len(spans))]
-
-    crf = secrets.fit_crf([sample(i % 2 == 0) for i in range(60)])
-    text = "key: 1a2b3c4d5e6f7a8b9c0d1e2f call 555987654321"
-    assert crf.decode(secrets.token_features(text, secrets.candidates(text)))[0] == 1
+    for trial in range(60):
+        move = rng.normal(size=(3, 3))
+        move[0, 2] = -1e9
+        crf = secrets.Crf([], move, np.zeros(1 << 16))
+        n = int(rng.integers(1, 7))
+        e = rng.normal(size=(n, 3)) * rng.choice([1, 8], size=(n, 1))
+        score = lambda y: sum(e[i, t] for i, t in enumerate(y)) + sum(move[a, b] for a, b in zip((0, *y), (*y, 0)))
+        assert tuple(crf.decode(e, np.zeros(n))) == max(itertools.product(range(3), repeat=n), key=score)
+    two = np.concatenate([e, e])
+    assert crf.decode(two, np.repeat([0, 1], n)).tolist() == crf.decode(e, np.zeros(n)).tolist() * 2
+
+
+def test_crf_gradient():
+    """The fitted field makes its own training tags likely: it reads them back."""
+    lines = [(f"alpha beta token = {_generated(random.Random(i), 40, '0123456789abcdef')} gamma", 0) for i in range(40)]
+    chains, surprise = secrets.training_chains(lines)
+    crf = secrets.fit_crf(chains, surprise)
+    right = sum((crf.decode(crf.scores(x), np.zeros(len(y))) == y).sum() for x, y in chains)
+    assert right / sum(len(y) for _, y in chains) > 0.97
+
+
+def test_tokens_of_texts():
+    texts = ["a.b-c. d=e", "P@ss, x", "", "é+/ -z"]
+    raw = [t.encode() for t in texts]
+    t = secrets.Tokens(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), np.zeros(1 << 16))
+    whole = b"".join(raw)
+    assert [whole[a:b].decode() for a, b in zip(t.start, t.end)] == ["a.b-c", ".", "d", "=", "e", "P", "@", "ss", ",", "x", "é+/", "-", "z"]
+    assert t.doc.tolist() == [0] * 5 + [1] * 5 + [3] * 3 and len(set(t.line.tolist())) == 3
+    assert (t.x >= 0).all() and (t.x < np.array(secrets.SIZES)).all()
 
 
 # -- languages ------------------------------------------------------------------------------------------
