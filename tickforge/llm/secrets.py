@@ -400,7 +400,7 @@ def training_chains(lines: list[tuple[str, int]], seed: int = 7) -> tuple[list[t
     off = np.cumsum([0, *map(len, raw)])
     tokens = Tokens(np.frombuffer(b"".join(raw), np.uint8), off, surprise, np.array([c for _, _, c in texts], np.int32))
     edge = np.searchsorted(tokens.doc, np.arange(len(texts) + 1))
-    unsure = _keylike(tokens.start, tokens.end, _KIND[np.frombuffer(b"".join(raw), np.uint8)]) & np.repeat([k % 4 == 0 for k in range(len(texts))], np.diff(edge))
+    unsure = _keylike(tokens.start, tokens.end, _KIND[np.frombuffer(b"".join(raw), np.uint8)]) & np.repeat(np.arange(len(texts)) % 4 == 0, np.diff(edge))
     for k, (text, spans, _) in enumerate(texts):
         a, b = edge[k], edge[k + 1]
         place = {s: (len(text[:s].encode()), len(text[:e].encode())) for s, e in spans}
