@@ -176,7 +176,7 @@ def test_remove_repeats_edges(spark, none):
 
 
 # -- lines -----------------------------------------------------------------------------------
-def brute_lines(rows, window):
+def brute_lines(rows, window, long=200):
     seen, out = set(), {}
     for doc, text, *_ in sorted(rows, key=lambda r: r[0]):
         if text is None:
@@ -185,19 +185,42 @@ def brute_lines(rows, window):
         lines = text.split("\n")
         full = [(i, x.strip(" \t\r\f\v")) for i, x in enumerate(lines) if x.strip(" \t\r\f\v")]
         gone = set()
-        for k in range(len(full) - window + 1):
-            gram = tuple(x for _, x in full[k : k + window])
-            if gram in seen:
-                gone |= {i for i, _ in full[k : k + window]}
-            seen.add(gram)
+        for k in range(len(full)):
+            for n in range(1, window + 1):
+                gram = tuple(x for _, x in full[k : k + n])
+                if len(gram) == n and (n == window or sum(map(len, gram)) >= long):
+                    if gram in seen:
+                        gone |= {i for i, _ in full[k : k + n]}
+                    seen.add(gram)
         out[doc] = (len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone))
     return out
 
 
-@pytest.mark.parametrize("window", [1, 3])
-def test_line_dedup(docs, rows, window):
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.drop_lines(docs, window).collect()}
-    assert got == brute_lines(rows, window)
+@pytest.mark.parametrize(("window", "long"), [(1, 200), (3, 200), (3, 10**9), (4, 60)])
+def test_line_dedup(docs, rows, window, long):
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.drop_lines(docs, window, long).collect()}
+    assert got == brute_lines(rows, window, long)
+
+
+def test_line_dedup_hot_lines_and_passages(spark, monkeypatch):
+    """A line, a run of lines and a long line that most documents share; fingerprints and windows are hot."""
+    r = random.Random(4)
+    line, passage = "All rights reserved.", "\n".join(f"shared line {i}" for i in range(5))
+    long = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, "\n".join(r.sample([line, passage, long, f"own {i}", f"other {r.randrange(9)}", line, ""], r.randint(1, 7))), None, "", 0) for i in range(150)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    wanted = brute_lines(rows, 3)
+    plain, seen = line_dedup._meet, []
+    monkeypatch.setattr(line_dedup, "_meet", lambda a, b, on, n: (seen.append(b.where("n > 20").count()), plain(a, b, on, -line_dedup.HOT_KEYS * 980))[1])
+    assert {x.doc_id: (x.n_lines, x.n_removed, x.text) for x in line_dedup.drop_lines(df).collect()} == wanted
+    assert min(seen) > 0
+
+
+def test_line_dedup_runs(spark):
+    """Matches are joined into whole runs, with their earlier place."""
+    rows = [(1, "a\nb\nc\nd\ne", None, "", 0), (2, "x\nb\n\nc\nd\ne\ny", None, "", 0), (3, "q" * 250 + "\nz", None, "", 0), (4, "s\n" + "q" * 250, None, "", 0)]
+    got = {(r.doc, tuple(r["at"]), r.from_doc, r.from_k, r.k) for r in line_dedup.repeated_runs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(2, (1, 3, 4, 5), 1, 1, 1), (4, (1,), 3, 0, 1)}
 
 
 def test_line_dedup_edges(none, spark):
@@ -205,6 +228,8 @@ def test_line_dedup_edges(none, spark):
     assert line_dedup.drop_lines(none).count() == 0
     twice = spark.createDataFrame([(1, "a\nb\nc", None, "", 0)] * 2 + [(None, "a\nb\nc", None, "", 0)], SCHEMA)
     assert sorted((str(r.doc_id), r.n_removed) for r in line_dedup.drop_lines(twice).collect()) == [("1", 3), ("1", 3), ("None", 0)]
+    clash = spark.createDataFrame([(1, "a\nb\nc", 5, 6, 7), (2, "a\nb\nc\nd", 8, 9, 10)], "doc_id long, text string, n_removed long, x long, sub long")
+    assert sorted(tuple(r) for r in line_dedup.drop_lines(clash, counts="c").drop("c").collect()) == [(1, "a\nb\nc", 5, 6, 7), (2, "d", 8, 9, 10)]
 
 
 # -- scoring ------------------------------------------------------------------------------------

@@ -1,26 +1,28 @@
 """Operator 8: removal of repeated runs of lines, found by winnowing.
 
 Lines are compared without surrounding white space; blank lines do not count
-and stay.  A line goes if it lies in a run of at least ``window`` counted lines
+and stay.  A run of counted lines is long enough if it has ``window`` lines or, being
+shorter, ``long`` characters.  A line goes if it lies in a long enough run
 that also occurs earlier, in a smaller document or higher up in the same one.
 
-1. Winnowing.  In every window of ``window`` consecutive line hashes the smallest
-   is the fingerprint (all ties count); equal runs have equal fingerprints at
-   equal places, so none is missed.
-2. Join.  Fingerprints that occur once are dropped by a join with the repeated
-   ones.  The earliest place of each window around a repeated fingerprint is a
-   minimum, combined before the shuffle, so a line that a third of all
-   documents share costs one row per task and no pairs are made.
-3. Extension.  A window that has an earlier place is deleted as a whole;
-   windows one line apart overlap, so a repeated run is followed both ways to
-   its last line.
-
-Only ids, places and hashes are
-shuffled, then once the texts of documents that lose lines.
+1. Winnowing.  Each line is hashed to 64 bits.  Of every window (the shortest long
+   enough runs) the smallest hash is the fingerprint, so equal runs have equal
+   fingerprints at equal places, and none is missed.  Neighbouring windows mostly share
+   theirs, so a document keeps a row per distinct fingerprint with the places of
+   its windows, about half as many as lines.
+2. Join.  Fingerprints that occur once drop out.  The places of the others are matched:
+   each window, named by two further 64-bit hashes of its lines, meets its earliest
+   place, a minimum that is combined before the shuffle; no pairs are made.
+3. Extension.  Matches on one diagonal (same two documents, same distance) whose
+   windows touch are joined both ways into one run, and the later of the two is deleted.
+
+Hot fingerprints and hot windows (a line or passage that a third of all documents share)
+are told by their counts.  At most ``HOT_KEYS`` of them can exist; these are
+broadcast, so their rows are matched where they lie instead of meeting in one task.
 
 Defined cases: null text stays null and has no lines; rows with equal ids are
 told apart by a hash of their text, equal rows count as one; a null id counts as the
-smallest; an empty table gives no row; other columns are kept as they are.
+smallest; an empty table gives no row; other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,87 +31,141 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickforge.llm._common import written
 
-WINDOW = 3
-#: Up to so many documents with deletions (a few dozen bytes each) are broadcast; beyond, the join shuffles.
-BROADCAST_DOCS = 200_000
+WINDOW, LONG = 3, 200
+#: Keys with more than one part in this of all rows are hot, so there are at most this many.
+HOT_KEYS = 10_000
+#: Up to so many bytes of line flags are broadcast; beyond, the join shuffles.
+BROADCAST_BYTES = 32 << 20
+_BLANK = " \t\r\f\x0b"
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``(doc, sub, text)``: ``doc`` and ``sub`` tell rows apart, the id (null: the smallest) and a hash of the text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).alias("sub"), text.alias("text"))
 
 
-def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """A row per window of counted lines: ``(doc, sub, at, gram, print)``; places are line numbers."""
-    blank = F.lit(" \t\r\f\x0b")
-    hashes = F.transform(F.split(F.col("text"), "\n", -1), lambda x, i: F.struct(F.xxhash64(F.btrim(x, blank)).alias("h"), i.alias("i")))
-    lines = docs.where("text is not null").select("doc", "sub", F.filter(hashes, lambda x: x["h"] != F.xxhash64(F.lit(""))).alias("lines")).where(F.size("lines") >= window)
+def fingerprints(texts: DataFrame, window: int, long: int) -> DataFrame:
+    """A row per document and distinct fingerprint: ``(doc, sub, print, twice, windows)``; a window is ``(k, n, at, a, b)``: its first counted line, its size, its line numbers and its name."""
+    line = lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(x, F.lit(1)).alias("g"), F.length(x).alias("size"), i.alias("i"))
+    hashes = F.transform(F.transform(F.split(F.col("text"), "\n", -1), lambda x: F.btrim(x, F.lit(_BLANK))), line)
+    lines = texts.where("text is not null").select("doc", "sub", F.filter(hashes, lambda x: x["size"] > 0).alias("lines"))
+    if long > 0:
+        lines = lines.where((F.size("lines") >= window) | (F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + x["size"]) >= long))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2)
             off = lists.offsets.to_numpy().astype(np.int64)
-            flat = lists.values
-            h, at = (flat.field(f).to_numpy() for f in ("h", "i"))
-            base = off[0]
-            h, at, off = h[base : off[-1]].astype(np.int64), at[base : off[-1]], off - base
-            n = len(h) - window + 1
-            if n <= 0:
-                continue
+            part = slice(off[0], off[-1])
+            h, g, size, at = (lists.values.field(f).to_numpy()[part] for f in ("h", "g", "size", "i"))
+            off = off - off[0]
+            total = np.append(0, np.cumsum(size.astype(np.int64)))
             row = np.repeat(np.arange(batch.num_rows), np.diff(off))
-            ok = row[:n] == row[window - 1 :]
-            least, gram = h[:n].copy(), np.zeros(n, np.uint64)
-            for k in range(window):
-                least = np.minimum(least, h[k : k + n])
-                gram = (gram ^ h[k : k + n].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                gram ^= gram >> np.uint64(29)
-            own = np.flatnonzero(ok)
-            places = np.stack([at[own + k] for k in range(window)], axis=1).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, places.size + 1, window, dtype=np.int32)), pa.array(places.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[own])), batch.column(1).take(pa.array(row[own])), lists, pa.array(gram.view(np.int64)[own]), pa.array(least[own])], names=["doc", "sub", "at", "gram", "print"])
-
-    return lines.mapInArrow(cut, "doc long, sub long, at array<int>, gram long, print long")
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``doc`` and ``sub`` tell rows apart: the id (null: the smallest) and a hash of the text."""
-    return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "sub": F.xxhash64(F.col("text"))})
-
-
-def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+            found = []
+            for n in range(1, window + 1):
+                m = len(h) - n + 1
+                if m <= 0:
+                    break
+                k = np.flatnonzero((row[:m] == row[n - 1 :]) & ((n == window) | (total[n:] - total[:m] >= long)))
+                least, a, b = h[k], np.full(len(k), n, np.uint64), np.full(len(k), n, np.uint64)
+                for j in range(n):
+                    least = np.minimum(least, h[k + j])
+                    a = (a ^ h[k + j].view(np.uint64)) * _MIX[0]
+                    a ^= a >> np.uint64(29)
+                    b = (b ^ g[k + j].view(np.uint64)) * _MIX[1]
+                    b ^= b >> np.uint64(31)
+                found.append((row[k], least, k, np.full(len(k), n, np.int64), a.view(np.int64), b.view(np.int64)))
+            if not found or not sum(len(f[0]) for f in found):
+                continue
+            doc, least, k, n, a, b = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((k, least, doc))
+            doc, least, k, n, a, b = (x[order] for x in (doc, least, k, n, a, b))
+            start = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (least[1:] != least[:-1])))
+            group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(doc))))
+            same = np.lexsort((b, a, group))
+            again = (group[same][1:] == group[same][:-1]) & (a[same][1:] == a[same][:-1]) & (b[same][1:] == b[same][:-1])
+            twice = np.zeros(len(start), bool)
+            twice[group[same][1:][again]] = True
+            own = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(k, n)
+            places = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(at[own].astype(np.int32)))
+            rank = k - off[doc]
+            windows = pa.StructArray.from_arrays([pa.array(rank.astype(np.int32)), pa.array(n.astype(np.int32)), places, pa.array(a), pa.array(b)], names=["k", "n", "at", "a", "b"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(doc[start])), batch.column(1).take(pa.array(doc[start])), pa.array(least[start]), pa.array(twice), pa.ListArray.from_arrays(pa.array(np.append(start, len(doc)).astype(np.int32)), windows)],
+                names=["doc", "sub", "print", "twice", "windows"],
+            )
+
+    return lines.mapInArrow(cut, "doc long, sub long, print long, twice boolean, windows array<struct<k: int, n: int, at: array<int>, a: long, b: long>>")
+
+
+def _meet(rows: DataFrame, keyed: DataFrame, on: list[str], n_rows: int) -> DataFrame:
+    """Join ``rows`` with ``keyed(on…, n, …)`` (one row a key, ``n`` its number of rows): hot keys by a broadcast of at most ``HOT_KEYS``, the rest by a shuffle."""
+    floor = n_rows // HOT_KEYS + 1000
+    hot = keyed.where(F.col("n") > floor)  # more than one part in HOT_KEYS each
+    by_place = rows.join(F.broadcast(hot.drop("n")), on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keyed.where(F.col("n") <= floor).drop("n"), on)
+    return by_place.unionByName(rest)
+
+
+def repeated_runs(docs: DataFrame, window: int = WINDOW, long: int = LONG) -> DataFrame:
+    """The later places of repeated runs: ``(doc, sub, at, from_doc, from_sub, from_k, k)``; ``at`` are the run's line numbers, ``k`` and ``from_k`` its first counted line and that of its earlier place."""
+    found = written(fingerprints(_keyed(docs), window, long), "fingerprints")
+    prints = written(found.groupBy("print").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").drop("twice"), "prints")
+    active = written(_meet(found, prints, ["print"], found.count()).select("doc", "sub", F.explode("windows").alias("w")).select("doc", "sub", "w.*"), "active")
+    place = F.struct("doc", "sub", "k")
+    first = written(active.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first <> last").select("a", "b", "first", "n"), "places")
+    later = _meet(active, first, ["a", "b"], active.count()).where(place > F.col("first"))
+    # a run is what touches on one diagonal
+    diagonal = Window.partitionBy("doc", "sub", "first.doc", "first.sub", "off").orderBy("k", "n")
+    rows = later.withColumn("off", F.col("k") - F.col("first.k"))
+    reach = F.max(F.col("k") + F.col("n")).over(diagonal.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("run", F.sum(F.when(F.col("k") <= reach, 0).otherwise(1)).over(diagonal))
+    return rows.groupBy("doc", "sub", F.col("first.doc").alias("from_doc"), F.col("first.sub").alias("from_sub"), "off", "run").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"), F.min("first.k").alias("from_k"), F.min("k").alias("k")
+    ).drop("off", "run")
+
+
+def repeated_lines(docs: DataFrame, window: int = WINDOW, long: int = LONG) -> DataFrame:
     """``(doc, sub, gone, n_gone)``: per document that loses lines, a flag per line up to the last one that goes."""
-    texts = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("doc", "sub", "text")
-    found = written(_windows(texts, window), "windows")
-    place = F.struct("doc", "sub", F.element_at("at", 1).alias("i"))
-    prints = found.groupBy("print").agg(F.min(place).alias("one"), F.max(place).alias("two")).where("one <> two").select("print")
-    active = found.join(prints, "print", "left_semi")
-    first = active.groupBy("gram").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("gram", "first")
-    later = active.join(first, "gram").where(place > F.col("first"))
-    places = later.select("doc", "sub", F.explode("at").alias("i")).groupBy("doc", "sub").agg(F.collect_set("i").alias("at"))
+    places = repeated_runs(docs, window, long).groupBy("doc", "sub").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
 
     def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, count = [], []
             for at in batch.column(2):
-                at = np.array(at.as_py())
-                out.append(np.isin(np.arange(at.max() + 1), at))
+                at = at.values.to_numpy()
+                flag = np.zeros(at.max() + 1, bool)
+                flag[at] = True
+                out.append(flag)
                 count.append(len(at))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.bool_())), pa.array(count, pa.int32())], names=["doc", "sub", "gone", "n_gone"])
 
     return places.mapInArrow(flags, "doc long, sub long, gone array<boolean>, n_gone int")
 
 
-def drop_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with repeated runs of lines cut out of ``text`` and with ``n_lines`` and ``n_removed`` added."""
-    gone = written(repeated_lines(docs, window), "gone")
-    few = gone.count() <= BROADCAST_DOCS
-    columns = docs.columns
-    rows = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__sub": F.xxhash64(F.col("text").cast("string"))})
-    side = gone.select(F.col("doc").alias("__id"), F.col("sub").alias("__sub"), F.col("gone").alias("__gone"), F.col("n_gone").alias("__r"))
-    both = rows.join(F.broadcast(side) if few else side, ["__id", "__sub"], "left")
-    lines = F.split(F.col("text").cast("string"), "\n", -1)
-    drop: Column = F.col("__gone")
+def drop_lines(docs: DataFrame, window: int = WINDOW, long: int = LONG, counts: str | None = None) -> DataFrame:
+    """``docs`` with repeated runs of lines cut out of ``text``.
+
+    Adds ``n_lines`` and ``n_removed``; with ``counts`` one struct column of that name that holds both.
+    """
+    gone = written(repeated_lines(docs, window, long), "gone")
+    size = gone.agg(F.sum(F.size("gone") + 40)).first()[0] or 0
+    side = gone.select("doc", "sub", F.struct("gone", "n_gone").alias("x"))
+    # all columns of the input travel in one struct, so none can clash
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("sub"))
+    both = rows.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, ["doc", "sub"], "left")
+    lines = F.split(F.col("row.text").cast("string"), "\n", -1)
+    drop: Column = F.col("x.gone")
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.coalesce(F.get(drop, i), F.lit(False))), "\n")
-    return both.withColumns({"__text": F.when(drop.isNull(), F.col("text")).otherwise(kept), "__n": F.coalesce(F.size(lines), F.lit(0))}).select(
-        *(F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in columns), F.when(F.col("text").isNull(), 0).otherwise(F.col("__n")).cast("long").alias("n_lines"), F.coalesce("__r", F.lit(0)).cast("long").alias("n_removed")
-    )
+    text = F.when(drop.isNull(), F.col("row.text").cast("string")).otherwise(kept).alias("text")
+    n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines")
+    n_removed = F.coalesce("x.n_gone", F.lit(0)).cast("long").alias("n_removed")
+    added = [F.struct(n_lines, n_removed).alias(counts)] if counts else [n_lines, n_removed]
+    return both.select(*(text if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns), *added)

@@ -100,9 +100,12 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 c AS (SELECT doc_id, i, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM l),
 n AS (SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM c WHERE line <> ''),
-w AS (SELECT doc_id, k, line || chr(10) || lead(line) OVER o || chr(10) || lead(line, 2) OVER o AS gram FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
-r AS (SELECT doc_id, k, row_number() OVER (PARTITION BY gram ORDER BY doc_id, k) AS seen FROM w WHERE gram IS NOT NULL),
-g AS (SELECT DISTINCT n.doc_id, n.i FROM r JOIN n ON n.doc_id = r.doc_id AND n.k BETWEEN r.k AND r.k + 2 WHERE r.seen > 1),
+v AS (SELECT doc_id, k, line, lead(line) OVER o AS two, lead(line, 2) OVER o AS three FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+w AS (SELECT doc_id, k, 1 AS size, line AS gram FROM v WHERE length(line) >= 200 UNION ALL
+      SELECT doc_id, k, 2, line || chr(10) || two FROM v WHERE length(line) + length(two) >= 200 UNION ALL
+      SELECT doc_id, k, 3, line || chr(10) || two || chr(10) || three FROM v WHERE three IS NOT NULL),
+r AS (SELECT doc_id, k, size, row_number() OVER (PARTITION BY size, gram ORDER BY doc_id, k) AS seen FROM w),
+g AS (SELECT DISTINCT n.doc_id, n.i FROM r JOIN n ON n.doc_id = r.doc_id AND n.k BETWEEN r.k AND r.k + r.size - 1 WHERE r.seen > 1),
 k AS (SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL) AS kept FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
 SELECT d.doc_id, coalesce(k.n_lines, 0)::BIGINT AS n_lines, coalesce(k.n_removed, 0)::BIGINT AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE sha256(coalesce(k.kept, '')) END AS kept_sha256
 FROM documents d LEFT JOIN k USING (doc_id)
