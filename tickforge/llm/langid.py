@@ -2,17 +2,20 @@
 
 The kernel of two texts counts the byte n-grams (2 to 4, blended) that both
 hold, presence only, divided by the geometric mean of the texts' own counts.
+N-grams are compared as such, none is hashed.
 A Nystroem map onto the kernel rows of a few landmark texts makes it finite, and
 one-versus-rest kernel ridge regression on that map gives one value per
-language.  Scoring is a chain of batched matrix products: presence x landmarks,
-times the fitted coefficients.
+language.  A text's kernel row needs only those of its n-grams that some landmark holds
+(and the number of all), so scoring is a batched matrix product: presence of the landmarks'
+n-grams, times the product of landmarks and fitted coefficients.
 
-Fitting uses at most ``sample_docs`` labelled texts, dealt evenly over the
-languages (those with the smallest hashes of their ids), all of them outside
+Fitting uses at most ``sample_docs`` labelled texts (eight a language, if there are more
+than ``sample_docs / 8`` of them), dealt evenly over all
+languages (texts of up to ``SAMPLE_BYTES`` first, then by the hash of the id), all of them outside
 the held-out third.  Prediction reads every whole text and nothing else.
 
 Defined cases: null text, or a text without a letter, gives ``und`` with score
-0, as does every text when no labelled text exists; an empty table gives no
+0, as does every text when no labelled text exists; ties go to the first language by name; an empty table gives no
 row; repeated rows are predicted each; other columns are ignored.
 """
 
@@ -25,17 +28,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tickforge.llm._common import slices, text_buffers, trim
+from tickforge.llm._common import slices, text_buffers, trim, written
 
-DIMENSIONS = 1 << 14
 SIZES = (2, 3, 4)
-SAMPLE_DOCS = 1600
+SAMPLE_DOCS, SAMPLE_BYTES = 1600, 1 << 16
 LANDMARKS = 128
-MAX_LANGUAGES = 200
 #: Lengths in characters for which the least score of a known language is learnt, and the held-out texts this takes.
 CUTS, LEAST_TEXTS = (16, 64, 256, 1024), 20
-_ROWS = 96
+_ROWS = 64
+_SLICE = 1 << 18
 
 _ASCII = np.arange(256, dtype=np.uint8)
 _ASCII[65:91] += 32
@@ -52,25 +55,33 @@ def _plain(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-def presence(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """A 0/1 matrix: which hashed n-grams each document holds."""
+def grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of each document of a slice: sorted keys, and the edges of the documents."""
     docs = len(off) - 1
-    out = np.zeros((docs, DIMENSIONS), dtype=np.float32)
-    if len(buf) == 0:
-        return out
-    text = _plain(buf).astype(np.uint32)
-    base = np.repeat(np.arange(docs, dtype=np.int64) * DIMENSIONS, np.diff(off))
+    text = _plain(buf).astype(np.uint64)
+    place = np.repeat(np.arange(docs, dtype=np.uint64) << np.uint64(35), np.diff(off))
     left = np.repeat(off[1:], np.diff(off)) - np.arange(len(buf))
-    gram, flat = text.copy(), out.reshape(-1)
+    gram, out = text, [np.empty(0, np.uint64)]
     for n in range(2, max(SIZES) + 1):
         m = len(buf) - n + 1
         if m <= 0:
             break
-        gram = (gram[:m] << np.uint32(8)) | text[n - 1 :]
+        gram = (gram[:m] << np.uint64(8)) | text[n - 1 :]
         if n in SIZES:
-            slot = ((gram ^ np.uint32(n * 0x9E37)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - 14)
-            ok = left[:m] >= n
-            flat[(base[:m] + slot)[ok]] = 1.0
+            out.append((place[:m] | np.uint64((n - 1) << 32) | gram)[left[:m] >= n])
+    keys = np.sort(np.concatenate(out))
+    keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+    edge = np.searchsorted(keys, np.arange(docs + 1, dtype=np.uint64) << np.uint64(35))
+    return keys & np.uint64((1 << 35) - 1), edge
+
+
+def found_in(vocabulary: np.ndarray, keys: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """A 0/1 matrix: which n-grams of the vocabulary each document holds."""
+    out = np.zeros((len(edge) - 1, len(vocabulary)), dtype=np.float32)
+    if len(vocabulary) and len(keys):
+        at = np.minimum(np.searchsorted(vocabulary, keys), len(vocabulary) - 1)
+        hit = np.flatnonzero(vocabulary[at] == keys)
+        out[np.searchsorted(edge, hit, side="right") - 1, at[hit]] = 1.0
     return out
 
 
@@ -81,32 +92,35 @@ def has_letter(text: str) -> bool:
 @dataclass
 class LanguageModel:
     languages: list[str]
-    landmarks: np.ndarray  # (landmarks, DIMENSIONS), presence over own norm
-    coefficients: np.ndarray  # (landmarks, languages)
+    vocabulary: np.ndarray  # the n-grams of all landmarks, sorted
+    weights: np.ndarray  # (vocabulary, languages): landmarks over their norms, times the coefficients
     offset: np.ndarray
 
-    def values(self, x: np.ndarray) -> np.ndarray:
-        """One regression value per row and language: K(x, landmarks) times the coefficients."""
-        norm = np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-        return (x @ self.landmarks.T) / norm @ self.coefficients + self.offset
+    def values(self, keys: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """One regression value per document and language: K(x, landmarks) times the coefficients."""
+        norm = np.sqrt(np.maximum(np.diff(edge), 1))[:, None]
+        return found_in(self.vocabulary, keys, edge) @ self.weights / norm + self.offset
 
 
-def fit(x: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = 1e-2) -> LanguageModel:
-    """Nystroem landmarks (dealt round the languages) and ridge regression on targets +1 and -1."""
+def landmark_rows(marks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The vocabulary of landmark texts (n-gram keys each) and their presence over own norm, ``(landmarks, vocabulary)``."""
+    vocabulary = np.unique(np.concatenate([np.empty(0, np.uint64), *marks]))
+    scaled = found_in(vocabulary, np.concatenate([np.empty(0, np.uint64), *marks]), np.cumsum([0, *map(len, marks)]))
+    return vocabulary, scaled / np.sqrt(np.maximum([[len(m)] for m in marks], 1)).astype(np.float32)
+
+
+def fit(kernel: np.ndarray, labels: list[str], vocabulary: np.ndarray, marks: np.ndarray, ridge: float = 1e-2) -> LanguageModel:
+    """Nystroem map of the kernel rows ``(texts, landmarks)`` and ridge regression on targets +1 and -1."""
     languages = sorted(set(labels))
     y = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
-    scaled = x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-    turn = {lang: [i for i, v in enumerate(labels) if v == lang] for lang in languages}
-    chosen = [turn[lang][k] for k in range(max(map(len, turn.values()))) for lang in languages if k < len(turn[lang])][: max(landmarks, len(languages))]
-    marks = scaled[chosen]
     value, vector = np.linalg.eigh((marks @ marks.T).astype(float))
     keep = value > 1e-6 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])
-    z = (scaled @ marks.T).astype(float) @ root
+    z = kernel.astype(float) @ root
     mean_z, mean_y = z.mean(axis=0), y.mean(axis=0)
     zc = z - mean_z
     w = np.linalg.solve(zc.T @ zc + ridge * len(z) * np.eye(z.shape[1]) / z.shape[1], zc.T @ (y - mean_y))
-    return LanguageModel(languages, marks.astype(np.float32), (root @ w).astype(np.float32), (mean_y - mean_z @ w).astype(np.float32))
+    return LanguageModel(languages, vocabulary, marks.T @ (root @ w).astype(np.float32), (mean_y - mean_z @ w).astype(np.float32))
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -114,29 +128,57 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, landmarks: int = LANDMARKS) -> LanguageModel | None:
-    """Fit on a bounded sample of labelled documents outside the held-out third."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+def sample(docs: DataFrame, held: bool, sample_docs: int, languages: list[str] | None = None) -> DataFrame | None:
+    """Labelled texts in or outside the held-out third, dealt evenly over the languages, ``(doc_id, lang, text)``.
+
+    A bound on the hash, from the label's count, thins each language before anything is ordered.
+    """
+    short = (F.octet_length(F.col("text").cast("string")) > SAMPLE_BYTES).cast("int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), F.col("text").cast("string").alias("text"), short.alias("big"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (held_out() if held else ~held_out()))
+    if languages is not None:
+        rows = rows.where(F.col("lang").isin(languages))
+    known = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(1 - F.col("big")).alias("n_short")).collect()  # a row per language
     if not known:
         return None
     each = max(8, sample_docs // len(known))
-    first = rows.where(F.col("lang").isin([r.lang for r in known])).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= each)
-    # at most max(sample_docs, 8 * MAX_LANGUAGES) ids, so small enough to broadcast
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(first.select("doc_id", "lang")), ["doc_id", "lang"])
+    bound = docs.sparkSession.createDataFrame([(r.lang, r.n_short < each, min(1.0, 8 * each / max(r.n_short if r.n_short >= each else r.n, 1))) for r in known], "lang string, any boolean, share double")
+    # at least ``each`` texts pass the bound but with a chance below 1e-9 a language
+    passed = rows.join(F.broadcast(bound), "lang").where(((F.col("big") == 0) | F.col("any")) & (F.shiftrightunsigned("h", 11) <= F.col("share") * float(1 << 53)))
+    order = Window.partitionBy("lang").orderBy("big", "h", "doc_id", F.xxhash64("text"))
+    return passed.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).select("doc_id", "lang", "k", "text")
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, landmarks: int = LANDMARKS) -> LanguageModel | None:
+    """Fit on a bounded sample of labelled documents outside the held-out third."""
+    texts = sample(docs, False, sample_docs)
+    if texts is None:
+        return None
+    texts = written(texts, "languages")
+    languages = texts.select("lang").distinct().count()
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                keys, _ = grams(*text_buffers(batch.column(2).slice(r, 1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(r, 1), batch.column(1).slice(r, 1), pa.array([keys.tobytes()], pa.binary())], names=["doc_id", "lang", "keys"])
+
+    chosen = texts.where(F.col("k") <= max(1, landmarks // max(1, languages))).select("doc_id", "lang", "text")
+    got = sorted(chosen.mapInArrow(keys_of, "doc_id long, lang string, keys binary").collect(), key=lambda r: (r.lang, r.doc_id, bytes(r.keys)))
+    vocabulary, marks = landmark_rows([np.frombuffer(bytes(r["keys"]), np.uint64) for r in got])
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, marks))
+
+    def kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, marks = shared.value
         for batch in batches:
             for k in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(k, _ROWS)
-                bits = np.packbits(presence(*text_buffers(part.column(2))).astype(bool), axis=1)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([b.tobytes() for b in bits], pa.binary())], names=["doc_id", "lang", "bits"])
+                keys, edge = grams(*text_buffers(part.column(2)))
+                rows = found_in(vocabulary, keys, edge) @ marks.T / np.sqrt(np.maximum(np.diff(edge), 1))[:, None]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.astype(np.float32).tobytes() for r in rows], pa.binary())], names=["doc_id", "lang", "row"])
 
-    got = sorted(texts.mapInArrow(extract, "doc_id long, lang string, bits binary").collect(), key=lambda r: (r.doc_id, r.lang, bytes(r.bits)))[: 2 * each * len(known)]
-    if not got:
-        return None
-    x = np.unpackbits(np.frombuffer(b"".join(bytes(r.bits) for r in got), np.uint8).reshape(len(got), -1), axis=1).astype(np.float32)
-    return fit(x, [r.lang for r in got], landmarks)
+    rows = sorted(texts.select("doc_id", "lang", "text").mapInArrow(kernels, "doc_id long, lang string, row binary").collect(), key=lambda r: (r.doc_id, r.lang, bytes(r["row"])))
+    return fit(np.stack([np.frombuffer(bytes(r["row"]), np.float32) for r in rows]), [r.lang for r in rows], vocabulary, marks)
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None = None) -> DataFrame:
@@ -146,7 +188,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None
     at = kept.index("text")
     out_fields = [f for f in rows.schema.fields if keep is not None or f.name != "text"]
     names = [f.name for f in out_fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out_fields) + ", lang_pred string, score double"
+    schema = StructType([*out_fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +197,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None
             column = batch.column(at)
             buf, off = text_buffers(column)
             pred, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
-            for i, j in slices(off):
+            for i, j in slices(off, _SLICE):
                 for k in range(i, j, _ROWS):
                     top = min(k + _ROWS, j)
                     part, edge = buf[off[k] : off[top]], off[k : top + 1] - off[k]
@@ -165,7 +207,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None
                         letters[r] = has_letter(column[k + int(r)].as_py() or "")
                     if m is None or not letters.any():
                         continue
-                    values = m.values(presence(part, edge))
+                    values = m.values(*grams(part, edge))
                     best = values.argmax(axis=1)
                     for r in np.flatnonzero(letters):
                         pred[k + r] = m.languages[best[r]]
@@ -186,10 +228,9 @@ def floors(docs: DataFrame, model: LanguageModel, sample_docs: int = SAMPLE_DOCS
     Shorter texts, lengths with few held-out texts, and a model of one language have no floor.
     """
     chance = 1 / len(model.languages)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h")).where(F.col("lang").isin(model.languages) & held_out())
-    each = max(8, sample_docs // len(model.languages))
-    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= each)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(first.select("doc_id", "lang")), ["doc_id", "lang"])
+    texts = sample(docs, True, sample_docs, model.languages)
+    if texts is None:
+        return {}
     cuts = F.filter(F.array(*map(F.lit, CUTS)), lambda c: c <= F.length("text"))
     starts = texts.select("text", F.explode(cuts).alias("cut")).select("cut", F.expr("substring(text, 1, cut)").alias("text"))
     found: dict[int, list[float]] = {}
