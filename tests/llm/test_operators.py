@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.accumulators import AccumulatorParam
 
 from tickforge.llm import _common, decontaminate, langid, line_dedup, lm_score, packing, parity_join, secrets, suffix_dedup, token_store, tokens, topk_inner
 
@@ -318,6 +319,32 @@ def test_packing_rounds(spark):
     assert len(used) <= 1.05 * sum(lengths) / 2048
 
 
+@pytest.mark.parametrize(("low", "high", "most"), [(1100, 1101, 1.0), (1100, 2049, 1.0), (700, 760, 1.01), (1, 300, 1.01)])
+def test_packing_keeps_groups_small(spark, monkeypatch, low, high, most):
+    """Pieces of which no two fit together, or that fill no bin, never pile up in one group."""
+    lengths = np.random.default_rng(5).integers(low, high, 6000).tolist()
+    sizes = spark.sparkContext.accumulator([], _Sizes())
+    plain = packing.sum_of_squares
+    monkeypatch.setattr(packing, "sum_of_squares", lambda x, c=packing.CAPACITY: (sizes.add([len(x)]), plain(x, c))[1])
+    pieces = spark.createDataFrame([(i, 0, n) for i, n in enumerate(lengths)], "row_id long, piece int, length long")
+    got = packing.pack(pieces, group_rows=500).collect()
+    used = collections.Counter()
+    for r in got:
+        used[r.sequence_id] += r.length
+    assert len(got) == 6000 and max(used.values()) <= 2048
+    per_bin = 2048 // low if high - low < 100 else None
+    assert len(used) <= most * (6000 / per_bin + 12 if per_bin else 6000 if low > 1024 else sum(lengths) / 2048 + 24)
+    assert max(sizes.value) < 700
+
+
+class _Sizes(AccumulatorParam):
+    def zero(self, value):
+        return []
+
+    def addInPlace(self, a, b):
+        return a + b
+
+
 def test_sum_of_squares_rule():
     """Each placement minimises the sum of squared counts of open bins per gap, checked by trying all."""
     rng = np.random.default_rng(4)

@@ -6,10 +6,10 @@ bounded size by a hash of a unique row number, and each group is packed by the
 sum-of-squares rule: a piece goes to the open bin (or a new one) for which
 the sum of the squared counts of open bins per residual gap becomes smallest.
 Sequences that stay badly filled are opened again and packed anew in fewer
-groups, until one group holds them; there they are also tried longest first, by
-the same rule and by plain best fit, and the packing with the fewest bins stays
-(measured over the lower bound: 0.03 % to 0.5 % for lengths like those of documents,
-3.6 % for 3,000 uniform lengths).
+groups, until one group holds them or a round fills too few (as with pieces of 1,100
+tokens, of which no two fit together).  Then each group, of about ``group_rows`` pieces
+still, also tries them longest first, by the same rule, and keeps the packing with the
+fewest bins.  No group ever grows beyond that size, whatever the lengths.
 
 Defined cases: null and empty texts are documents of the end id alone; repeated
 rows are documents of their own; an empty table gives no row; columns other
@@ -19,7 +19,6 @@ than ``doc_id`` and ``text`` are ignored.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,32 +98,14 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     return bins, offsets
 
 
-def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
-    """Bin number and offset of each length, longest first, each into the fullest bin that holds it."""
-    bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-    gaps: list[tuple[int, int]] = []
-    made = 0
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        s = int(lengths[i])
-        k = bisect_left(gaps, (s, -1))
-        if k < len(gaps):
-            gap, b = gaps.pop(k)
-        else:
-            gap, b, made = capacity, made, made + 1
-        bins[i], offsets[i] = b, capacity - gap
-        if gap > s:
-            insort(gaps, (gap - s, b))
-    return bins, offsets
-
-
 def polished(lengths: np.ndarray, bins: np.ndarray, offsets: np.ndarray, capacity: int, full: float) -> tuple[np.ndarray, np.ndarray]:
-    """The same packing with its badly filled bins packed anew, longest first, by whichever rule needs fewer bins."""
+    """The same packing with its badly filled bins packed anew, longest first, if that needs fewer."""
     used = np.bincount(bins, weights=lengths)
     loose = np.flatnonzero(used[bins] < full * capacity)
     if not len(loose):
         return bins, offsets
     loose = loose[np.argsort(-lengths[loose], kind="stable")]
-    new, at = min((rule(lengths[loose], capacity) for rule in (sum_of_squares, best_fit)), key=lambda r: r[0].max())
+    new, at = sum_of_squares(lengths[loose], capacity)
     if new.max() + 1 >= (used < full * capacity).sum():
         return bins, offsets
     bins, offsets = bins.copy(), offsets.copy()
@@ -137,8 +118,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_RO
 
     A group places its pieces in corpus order, as the rule is an online one
     (descending order measured slightly worse).  Bins filled below ``full`` go to
-    the next round; the last group, one of at most ``group_rows`` pieces, tries them
-    again longest first.  The number of rounds is the logarithm of the group count.
+    the next round; the groups of the last round try them again longest first.  A round
+    that closes less than three in ten pieces makes the next one the last, so the number of
+    rounds is the logarithm of the group count at most.
     """
     keys = ["row_id", "piece", "length"]
     schema = "row_id long, piece int, length long, sequence_id long, offset long, done boolean"
@@ -158,19 +140,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_RO
 
         return one
 
-    rest, parts, first, old = pieces.select(*keys), [], 0, None
-    n = rest.count()
+    rest, parts, first = pieces.select(*keys), [], 0
+    n, last = rest.count(), False
     while True:
         groups = max(1, -(-n // group_rows))
+        last = last or groups == 1
         dealt = rest.withColumn("g", F.pmod(F.xxhash64("row_id", "piece"), F.lit(groups)))
-        out = written(dealt.groupBy("g").applyInArrow(packed(first, groups == 1), schema), "packed")
+        out = written(dealt.groupBy("g").applyInArrow(packed(first, last), schema), "packed")
         parts.append(out.where("done"))
-        if groups == 1:
+        if last:
             break
         first += groups
         rest = out.where("not done").select(*keys)
         left = rest.count()
-        n = left if left < 0.7 * n else min(left, group_rows)  # always ends: the last group takes what is left
+        last, n = left > 0.7 * n, left
     placed = parts[0]
     for p in parts[1:]:
         placed = placed.unionAll(p)
