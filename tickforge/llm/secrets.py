@@ -456,7 +456,10 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = S
 
     h = F.shiftrightunsigned(F.xxhash64(F.col("doc_id")), 1)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null and text <> ''")
-    chosen = rows.withColumn("h", F.when(F.col("text").rlike(_LIKELY), F.shiftrightunsigned(h, 4)).otherwise(h)).orderBy("h").limit(sample_docs).select("text")
+    # a bound on the hash lets 4 to 64 times the sample through, so little is ordered at any size
+    bound = min(1.0, 4 * sample_docs / max(1, rows.count())) * float(1 << 63)
+    rows = rows.withColumn("h", F.when(F.col("text").rlike(_LIKELY), F.shiftrightunsigned(h, 4)).otherwise(h))
+    chosen = rows.where(F.col("h") <= bound).orderBy("h", F.xxhash64("text")).limit(sample_docs).select("text")
     got = sorted((r.line, r.code) for r in chosen.mapInArrow(extract, "line string, code int").collect())
     return fit_crf(*training_chains(got))
 
