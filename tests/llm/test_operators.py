@@ -125,7 +125,11 @@ def test_parity_join_small_sets(spark, percent):
 def test_parity_join_empty_and_repeated(spark, none):
     assert parity_join.jaccard_components(none).count() == 0
     twice = spark.createDataFrame([(1, "a b c d e f", None, "", 0)] * 2 + [(None, "a b c d e f", None, "", 0)], SCHEMA)
-    assert sorted(map(tuple, parity_join.jaccard_components(twice).collect())) == [(1, 2, 1), (1, 2, 1)]
+    assert sorted(map(tuple, parity_join.jaccard_components(twice).collect()), key=str) == [(1, 2, 1), (1, 2, 1), (None, 2, 1)]
+    ids = spark.createDataFrame([(7, "a b c d e f", "x", "", 0), (7, "one two three four five six", "y", "", 0), (9, "one two three four five six", None, "", 0), (None, "u v w x y z", None, "", 0), (None, "u v w x y z", None, "", 0), (None, None, None, "", 0)], SCHEMA)
+    assert sorted(map(tuple, parity_join.jaccard_components(ids).collect()), key=str) == [(7, 2, 7), (7, 2, 7), (9, 2, 7), (None, 0, None), (None, 2, None), (None, 2, None)]
+    kept = sorted(((r.doc_id, r.text) for r in parity_join.one_of_each(ids).collect()), key=str)
+    assert kept == [(7, "a b c d e f"), (7, "one two three four five six"), (None, "u v w x y z"), (None, None)]
 
 
 def test_sketch_distance_is_a_lower_bound():

@@ -28,8 +28,9 @@ a grid of blocks, each pair of blocks being one task; no partner is left out.
 
 Defined cases: null text, or text without words, is an empty set, linked with
 nothing; texts of fewer words than ``n`` have one element, the whole sequence;
-repeated rows fall into one class (per distinct ``doc_id``); an empty table
-gives no row; other columns are ignored.
+rows are told apart by their place, so rows with equal ids or none are documents of their
+own, which link by their texts; the class of rows without an id is the smallest id among them
+all, null if there is none; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -124,22 +125,8 @@ def block_keys(items: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarr
     return out
 
 
-def set_table(docs: DataFrame, n: int) -> DataFrame:
-    """One pass over the texts: ``(doc_id, n_shingles, h1, h2)``; the hashes name the set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, off = text_buffers(batch.column(1))
-            for i, j in slices(off):
-                sets = document_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, _names(sets))], names=["doc_id", "n_shingles", "h1", "h2"])
-        trim()
-
-    return _rows(docs).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
-
-
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def _names(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,13 +140,14 @@ _SKETCHED = "bucket int, blob binary"
 
 
 def sketch(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
-    """One pass over the texts: packed block keys per bucket; bucket -1 holds each set's spare blocks."""
+    """One pass over the texts: packed block keys per bucket; a negative bucket, one of as many, holds the sizes and names of the sets and their spare blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         owner: list[np.ndarray] = []
         ids: list[int] = []
         spare: list[tuple[int, int, int]] = []
+        named: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> pa.RecordBatch:
             k = np.concatenate([np.empty(0, np.uint64), *keys])
@@ -175,8 +163,12 @@ def sketch(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
                 kk, oo = k[cut[i] : cut[i + 1]], o[cut[i] : cut[i + 1]]
                 used, place = np.unique(oo >> np.uint32(8), return_inverse=True)
                 blobs.append(b"".join((np.array([len(used), len(kk)], np.int64).tobytes(), table[used].tobytes(), (kk & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((kk >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes(), place.astype(np.uint16).tobytes(), (oo & np.uint32(0xFF)).astype(np.uint8).tobytes())))
-            blobs.append(np.array(spare, dtype=np.int64).reshape(-1, 3).T.tobytes())
-            return pa.RecordBatch.from_arrays([pa.array([*full.tolist(), -1], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+            left = np.array(spare, dtype=np.int64).reshape(-1, 3)
+            sets = np.stack([np.concatenate(x) for x in zip(*named)], axis=1) if named else np.empty((0, 4), np.int64)
+            part = [(mix(x[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64) for x in (left, sets)]
+            some = np.unique(np.concatenate(part))
+            blobs += [np.int64((part[0] == i).sum()).tobytes() + left[part[0] == i].T.tobytes() + sets[part[1] == i].T.tobytes() for i in some]
+            return pa.RecordBatch.from_arrays([pa.array([*full.tolist(), *(-1 - some).tolist()], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
         held = 0
         for batch in batches:
@@ -185,7 +177,9 @@ def sketch(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
             for i, j in slices(off):
                 sets = document_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], n)
                 seen: set[tuple[int, int]] = set()
-                for doc, s, x, y in zip(names[i:j].tolist(), sets, *(h.tolist() for h in _names(sets)[1:])):
+                size, h1, h2 = _names(sets)
+                named.append((names[i:j], size, h1, h2))
+                for doc, s, x, y in zip(names[i:j].tolist(), sets, h1.tolist(), h2.tolist()):
                     if (x, y) in seen:  # an equal set of this slice stands for it
                         continue
                     seen.add((x, y))
@@ -195,27 +189,30 @@ def sketch(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
                         spare.append((doc, band, left))
                         held += len(k)
                     ids.append(doc)
-                    if len(ids) == 60_000:
-                        yield flush()
-                        keys, owner, ids, spare, held = [], [], [], [], 0
-            if held > 1_000_000:
-                yield flush()
-                keys, owner, ids, spare, held = [], [], [], [], 0
+                if held > 1_000_000 or len(ids) > 40_000:  # a slice adds far fewer than 20,000
+                    yield flush()
+                    keys, owner, ids, spare, named, held = [], [], [], [], [], 0
         yield flush()
         trim()
 
     return _rows(docs).mapInArrow(run, _SKETCHED)
 
 
-_MATCHED = "kind int, a long, b long, band int, n long"
+_MATCHED = "kind int, a long, b long, band long, n long"
 
 
 def _match(key: tuple, table: pa.Table) -> pa.Table:
-    """A bucket's pairs of sets over rare keys (kind 1, counted) and its hot keys' members (kind 2); of bucket -1 the spare blocks (kind 0)."""
+    """A bucket's pairs of sets over rare keys (kind 1, counted) and its hot keys' members (kind 2).  Of a negative bucket the spare blocks (kind 0) and the sets (kind 3: id, both halves of the name, size)."""
     trim()
     if key[0].as_py() < 0:
-        doc, band, left = (np.concatenate(x) for x in zip(*(np.frombuffer(b.as_py(), np.int64).reshape(3, -1) for b in table.column("blob"))))
-        return pa.table([pa.array(np.zeros(len(doc), np.int32)), pa.array(doc), pa.array(doc), pa.array(band.astype(np.int32)), pa.array(left)], names=["kind", "a", "b", "band", "n"])
+        spare, sets = [np.empty((3, 0), np.int64)], [np.empty((4, 0), np.int64)]
+        for blob in table.column("blob"):
+            b = np.frombuffer(blob.as_py(), np.int64)
+            spare.append(b[1 : 1 + 3 * b[0]].reshape(3, -1))
+            sets.append(b[1 + 3 * b[0] :].reshape(4, -1))
+        (doc, band, left), (name, size, h1, h2) = np.concatenate(spare, axis=1), np.concatenate(sets, axis=1)
+        columns = (np.repeat([0, 3], [len(doc), len(name)]).astype(np.int32), np.append(doc, name), np.append(doc, h1), np.append(band, h2), np.append(left, size))
+        return pa.table([pa.array(c) for c in columns], names=["kind", "a", "b", "band", "n"])
     names, docs, bands = [], [], []
     for blob in table.column("blob"):
         b = blob.as_py()
@@ -246,7 +243,7 @@ def _match(key: tuple, table: pa.Table) -> pa.Table:
     h = np.flatnonzero(hot)
     name = (k[h] | (np.uint64(key[0].as_py()) << np.uint64(48))).view(np.int64)
     return pa.table(
-        [pa.array(np.repeat([1, 2], [len(found), len(h)]).astype(np.int32)), pa.array(np.append(found[:, 0], d[h])), pa.array(np.append(found[:, 1], name)), pa.array(np.append(found[:, 2].astype(np.int32), band[h])), pa.array(np.append(n, np.ones(len(h), np.int64)))],
+        [pa.array(np.repeat([1, 2], [len(found), len(h)]).astype(np.int32)), pa.array(np.append(found[:, 0], d[h])), pa.array(np.append(found[:, 1], name)), pa.array(np.append(found[:, 2], band[h].astype(np.int64))), pa.array(np.append(n, np.ones(len(h), np.int64)))],
         names=["kind", "a", "b", "band", "n"],
     )
 
@@ -298,24 +295,61 @@ def cluster_links(sets: list[np.ndarray], side: list[int], percent: int) -> list
     return links
 
 
+def _odd_ids(docs: DataFrame) -> bool:
+    """Whether ids are null or occur twice."""
+    return not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
+
+
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs`` as a struct with a number of their own as ``doc_id``, written, so that the numbers stay."""
+    return written(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("doc_id"), F.col("text").cast("string").alias("text")), name)
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, buckets: int | None = None) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for every document with an id."""
+    """``(doc_id, n_shingles, component_id)`` for every document."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if not _odd_ids(docs):
+        return _components(docs, n, percent, buckets)
+    rows = _numbered(docs, "numbered")
+    found = written(_components(rows, n, percent, buckets).join(rows.select("doc_id", F.col("row.doc_id").alias("id")), "doc_id"), "classes")
+    least = found.groupBy("component_id").agg(F.min("id").alias("least"))
+    return found.join(least, "component_id").select(F.col("id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` less those that are near duplicates of a row with a smaller id (of equal ids, one stays; rows without an id go first)."""
+    if not _odd_ids(docs):
+        gone = written(_components(docs, n, percent).where("doc_id <> component_id").select("doc_id"), "duplicates")
+        kept = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id")).join(_side(gone), "doc_id", "left_anti")
+        return kept.select("row.*")
+    rows = _numbered(docs, "numbered")
+    found = _components(rows, n, percent).join(rows.select("doc_id", F.col("row.doc_id").cast("long").alias("id")), "doc_id")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")).alias("first"))
+    stay = written(first.select(F.col("first.doc_id").alias("doc_id")), "kept")
+    return rows.join(stay, "doc_id", "left_semi").select("row.*")
+
+
+def _side(ids: DataFrame) -> DataFrame:
+    """Ids to broadcast if there are few enough."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
+def _components(docs: DataFrame, n: int, percent: int, buckets: int | None = None) -> DataFrame:
+    """The same for documents whose ids are distinct and not null."""
     if buckets is None:  # about half a million keys each
-        buckets = max(8, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (8 << 20)))
-    sets = written(set_table(docs, n), "sets")
+        buckets = max(8, -(-(docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0) // (8 << 20)))
+    matched = written(sketch(docs, n, percent, buckets).groupBy("bucket").applyInArrow(_match, _MATCHED), "matched")
+    sets = matched.where("kind = 3").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("b").alias("h1"), F.col("band").alias("h2"))
     classes = sets.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     many = classes.where("copies > 1")
     same = written(sets.join(many, ["h1", "h2", "n_shingles"]).where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
-    matched = written(sketch(docs, n, percent, buckets).groupBy("bucket").applyInArrow(_match, _MATCHED), "matched")
     stars = candidates(matched)
     for side in ("a", "b"):
         stars = stars.join(same.select(F.col("doc_id").alias(side), F.col("rep").alias("rep")), side, "left").withColumn(side, F.coalesce("rep", side)).drop("rep")
     cluster = components(stars.select("a", "b"))
     sizes = cluster.groupBy("component").count()
     members = written(cluster.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", F.ceil(F.col("count") / CLUSTER_ROWS).cast("int").alias("cuts")), "members")
-    few = members.count() <= BROADCAST_IDS
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(F.broadcast(members) if few else members, "doc_id").select("doc_id", "text", "component", "cuts")
+    rows = _rows(docs).join(_side(members), "doc_id").select("doc_id", "text", "component", "cuts")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
