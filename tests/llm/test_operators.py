@@ -548,6 +548,21 @@ def test_top_inner_products(spark):
         wanted |= {(q, k, c, -x) for k, (x, c) in enumerate(best, 1)}
     assert {tuple(r) for r in got} == wanted
     assert topk_inner.top_inner_products(topk_inner.integer_vectors(df.where("false")), _mod("vec_id", 50)).count() == 0
+    null = spark.createDataFrame([(None, [1.0, 2.0]), (50, [1.0, 0.0]), (50, [2.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk_inner.top_inner_products(topk_inner.integer_vectors(null), _mod("vec_id", 50)).collect()] == [(50, 1, 1, 65536)]
+
+
+def test_top_inner_products_negative_and_huge(spark):
+    """Scores below zero, zero vectors and products beyond the doubles' exact range."""
+    rng = np.random.default_rng(8)
+    v = np.concatenate([-np.abs(rng.integers(1, 9, (60, 4))), np.abs(rng.integers(1, 9, (40, 4))), np.zeros((5, 4), np.int64), rng.integers(2**28, 2**29, (30, 4))])
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, v array<long>")
+    got = {tuple(r) for r in topk_inner.top_inner_products(df, _mod("vec_id", 5), k=3, block=20, query_block=7).collect()}
+    wanted = set()
+    for q in range(0, len(v), 5):
+        best = sorted((-sum(int(x) * int(y) for x, y in zip(v[q], v[c])), c) for c in range(len(v)) if c != q)[:3]
+        wanted |= {(q, k, c, -x) for k, (x, c) in enumerate(best, 1)}
+    assert got == wanted
 
 
 def _mod(c, n):

@@ -3,8 +3,10 @@
 Vectors are cut into blocks by quantiles of their length, longest first, a block
 of very many equal lengths being split by a hash; queries are cut into blocks
 too.  A first pass over the block of the longest vectors gives each query a
-threshold, its k-th best score so far.  Every other pair of blocks is then one
-bounded task.  In it the Cauchy-Schwarz bound ``|q| |v|`` ends the descending scan;
+threshold, its k-th best score so far.  Further passes take twice as many blocks as
+all before; a query goes only to blocks whose longest vector can reach its
+threshold by Cauchy-Schwarz, ``|q| |v|``, and what no query needs is not sent.  A pair of
+blocks is one bounded task.  In it the same bound ends the descending scan;
 partial sums over the leading axes of an SVD rotation, plus the product of the
 residual lengths, discard most of the rest; what remains is scored exactly
 in integers, and the threshold rises.  Bounds are widened by more than the rounding error, and ties
@@ -51,6 +53,9 @@ def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (q.astype(float) @ v.T.astype(float)).astype(np.int64) if most < 2**52 else q @ v.T
 
 
+_NONE = np.int64(-(2**63))
+
+
 def block_top(query_id: np.ndarray, q: np.ndarray, floor: np.ndarray, vec_id: np.ndarray, v: np.ndarray, k: int, rotation: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The best ``k`` of the vectors ``v`` for each query, less those that cannot reach the query's ``floor``."""
     length = np.sqrt((v.astype(float) ** 2).sum(axis=1))
@@ -59,32 +64,44 @@ def block_top(query_id: np.ndarray, q: np.ndarray, floor: np.ndarray, vec_id: np
     lead = min(LEADING, v.shape[1])
     turned = v.astype(float) @ rotation
     head, rest = turned[:, :lead], np.sqrt((turned[:, lead:] ** 2).sum(axis=1))
+    head = np.concatenate([head, rest[:, None]], axis=1)  # the bound is one product: leading sums plus the product of the residual lengths
     out = []
     for a in range(0, len(query_id), _TILE_Q):
-        ids, part, least = query_id[a : a + _TILE_Q], q[a : a + _TILE_Q], floor[a : a + _TILE_Q].astype(float).copy()
+        ids, part, least = query_id[a : a + _TILE_Q], q[a : a + _TILE_Q], floor[a : a + _TILE_Q].copy()
         long_q = np.sqrt((part.astype(float) ** 2).sum(axis=1))
         turned_q = part.astype(float) @ rotation
-        head_q, rest_q = turned_q[:, :lead], np.sqrt((turned_q[:, lead:] ** 2).sum(axis=1))
-        best_s = np.empty((0,), np.int64)
-        best_q = best_v = np.empty((0,), np.int64)
+        head_q = np.concatenate([turned_q[:, :lead], np.sqrt((turned_q[:, lead:] ** 2).sum(axis=1, keepdims=True))], axis=1)
+        best_s = best_q = best_v = np.empty((0,), np.int64)
         for b in range(0, len(vec_id), _TILE_V):
             slack = 1.0 + 1e-9 * long_q * length[b]
             alive = np.flatnonzero(long_q * length[b] + slack >= least)
             if not len(alive):
                 break  # every later vector is shorter still
             w = slice(b, b + _TILE_V)
-            bound = head_q[alive] @ head[w].T
-            bound += np.outer(rest_q[alive], rest[w])
-            bound += slack[alive, None]
-            may = bound >= least[alive, None]
-            may &= ids[alive, None] != vec_id[None, w]
-            row, col = np.nonzero(may)
-            if not len(row):
+            need = (least[alive] - slack[alive])[:, None]
+            may = head_q[alive] @ head[w].T >= need
+            n_may = np.count_nonzero(may)
+            if not n_may:
                 continue
-            if len(row) > may.size // 16:
-                score = _exact(part[alive], v[w])[row, col]
+            own = np.searchsorted(ids_sorted := np.sort(vec_id[w]), ids[alive])
+            mine = np.flatnonzero(ids_sorted[np.minimum(own, len(ids_sorted) - 1)] == ids[alive])  # queries that are candidates of this tile themselves
+            for i in mine.tolist():
+                may[i] &= vec_id[w] != ids[alive[i]]
+            if n_may > may.size // 64:  # exact scores of the whole tile, of which only the best k a query go on
+                score = np.where(may, _exact(part[alive], v[w]), _NONE)
+                if score.shape[1] > k:
+                    bar = np.maximum(least[alive], np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k])
+                else:
+                    bar = least[alive]
+                row, col = np.nonzero((score >= bar[:, None]) & (score > _NONE))
+                score = score[row, col]
             else:
-                score = np.concatenate([(part[alive[row[i : i + 65536]]] * v[b + col[i : i + 65536]]).sum(axis=1) for i in range(0, len(row), 65536)])
+                row, col = np.nonzero(may)
+                score = np.concatenate([np.empty(0, np.int64), *((part[alive[row[i : i + 65536]]] * v[b + col[i : i + 65536]]).sum(axis=1) for i in range(0, len(row), 65536))])
+                some = score >= least[alive[row]]
+                row, col, score = row[some], col[some], score[some]
+            if not len(row):
+                continue
             best_q, best_v, best_s = np.append(best_q, alive[row]), np.append(best_v, vec_id[b + col]), np.append(best_s, score)
             keep = np.lexsort((best_v, -best_s, best_q))
             best_q, best_v, best_s = best_q[keep], best_v[keep], best_s[keep]
@@ -98,7 +115,7 @@ def block_top(query_id: np.ndarray, q: np.ndarray, floor: np.ndarray, vec_id: np
     return out
 
 
-def _rotation(rows: DataFrame, dim: int) -> np.ndarray:
+def _rotation(rows: DataFrame, dim: int, n: int) -> np.ndarray:
     """Right singular vectors of a bounded sample, by way of its Gram matrix."""
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +125,9 @@ def _rotation(rows: DataFrame, dim: int) -> np.ndarray:
             total += m.T @ m
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
 
-    sample = rows.select("v", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(ROTATION_SAMPLE).select("v")
+    # a bound on the hash lets about twice the sample through, so little is ordered at any size
+    bound = min(1.0, 2 * ROTATION_SAMPLE / n) * float(1 << 63)
+    sample = rows.select("v", F.xxhash64("vec_id").alias("h")).where(F.shiftrightunsigned("h", 1) <= bound).orderBy("h").limit(ROTATION_SAMPLE).select("v")
     total = sum((np.frombuffer(bytes(r.m)).reshape(dim, dim) for r in sample.mapInArrow(gram, "m binary").collect()), np.zeros((dim, dim)))
     return np.linalg.svd(total)[0] if np.isfinite(total).all() else np.eye(dim)
 
@@ -130,7 +149,7 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 5, block:
 
 
 def _one_dimension(rows: DataFrame, dim: int, n: int, is_query: Column, k: int, block: int, query_block: int) -> DataFrame:
-    turn = _rotation(rows, dim)
+    turn = _rotation(rows, dim, n)
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     rows = rows.withColumn("norm", norm)
     cuts = max(1, n // block)
@@ -153,13 +172,12 @@ def _one_dimension(rows: DataFrame, dim: int, n: int, is_query: Column, k: int,
         for batch in batches:
             start, size = lookup[batch.column(3).to_numpy()].T
             h = batch.column(2).to_numpy().astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((start + (h % size.astype(np.uint64)).astype(np.int64)).astype(np.int32))], names=["vec_id", "v", "cb"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((start + (h % size.astype(np.uint64)).astype(np.int64)).astype(np.int32)), batch.column(4)], names=["vec_id", "v", "cb", "n2"])
 
-    hashed = numbered.withColumn("norm", F.xxhash64("vec_id").bitwiseAND(F.lit(2**62 - 1))).select("vec_id", "v", "norm", "q")
-    placed = hashed.mapInArrow(place, "vec_id long, v array<long>, cb int")
-    queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    hashed = numbered.select("vec_id", "v", F.xxhash64("vec_id").bitwiseAND(F.lit(2**62 - 1)).alias("norm"), "q", F.col("norm").alias("n2"))
+    placed = written(hashed.mapInArrow(place, "vec_id long, v array<long>, cb int, n2 double"), "placed")
+    queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.sqrt("norm").alias("length"))
     query_cuts = max(1, -(-queries.count() // query_block))
-    queries = queries.withColumn("qb", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(query_cuts)).cast("int"))
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
@@ -167,17 +185,53 @@ def _one_dimension(rows: DataFrame, dim: int, n: int, is_query: Column, k: int,
         got = block_top(right.column("query_id").to_numpy(), _matrix(right.column("q"), dim), right.column("floor").to_numpy(), left.column("vec_id").to_numpy(), _matrix(left.column("v"), dim), k, turn)
         return pa.table([pa.array(np.concatenate(x)) for x in zip(*got)], names=["query_id", "vec_id", "score"])
 
-    def grid(candidates: DataFrame, asked: DataFrame, low: int, high: int) -> DataFrame:
-        left = candidates.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_cuts - 1))))
-        right = asked.withColumn("cb", F.explode(F.sequence(F.lit(low), F.lit(high))))
+    def grid(candidates: DataFrame, asked: DataFrame, low: int) -> DataFrame | None:
+        """Each block of queries with each block of vectors down to the last that one of its queries needs; ``asked`` has that number as ``last``."""
+        needs = sorted(((r["last"], r.qb) for r in asked.groupBy("qb").agg(F.max("last").alias("last")).collect()), reverse=True)  # a row per block of queries
+        if not needs:
+            return None
+        spark = asked.sparkSession
+        place_of = spark.createDataFrame([(qb, i) for i, (_, qb) in enumerate(needs)], "qb int, place int")
+        asking = np.searchsorted(-np.array([x for x, _ in needs]), -np.arange(low, needs[0][0] + 1), side="right")
+        served = spark.createDataFrame([(low + i, int(c)) for i, c in enumerate(asking)], "cb int, asking int")
+        # the blocks of queries are numbered by what they need, so those that need a block of vectors are the first ones
+        left = candidates.join(F.broadcast(served), "cb").select("vec_id", "v", "cb", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("qb"))
+        right = asked.where(F.col("last") >= low).join(F.broadcast(place_of), "qb").select("query_id", "q", "floor", F.col("place").alias("qb"), F.explode(F.sequence(F.lit(low), F.col("last"))).alias("cb"))
         return left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInArrow(best, _FOUND)
 
-    head = written(grid(placed.where("cb = 0"), queries.withColumn("floor", F.lit(-9.3e18)), 0, 0), "top")
-    if first <= 1:
-        return head
-    floor = head.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
-    asked = queries.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-9.3e18)))
-    return head.unionAll(grid(placed.where("cb > 0"), asked, 1, first - 1))
+    dealt = F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(query_cuts)).cast("int")
+    head = grid(placed.where("cb = 0").drop("n2"), queries.withColumns({"floor": F.lit(int(_NONE)), "qb": dealt, "last": F.lit(0)}), 0)
+    if head is None:
+        return rows.sparkSession.createDataFrame([], _FOUND)
+    head = written(head, "top")
+    # further passes over twice as many blocks each: the thresholds rise from pass to pass, and what they rule out is never sent
+    longest = np.zeros(first)
+    for r in placed.groupBy("cb").agg(F.max("n2").alias("n2")).collect():  # a row per block
+        longest[r.cb] = np.sqrt(r.n2)
+    longest = np.maximum.accumulate(longest[::-1])[::-1]
+    low, parts_found = 1, [head]
+    while low < first:
+        high = min(first, 3 * low)
+        kth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        top = reduce(DataFrame.unionAll, parts_found).withColumn("k", kth).where(F.col("k") == k).select("query_id", F.col("score").alias("floor"))
+        until = high - 1
+
+        def reach(batches: Iterator[pa.RecordBatch], until: int = until) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                size, least = batch.column(2).to_numpy(), batch.column(3).to_numpy().astype(float)
+                # |q| |v| reaches the threshold down to this block; rounding is allowed for
+                need = (least - 1 - 1e-9 * np.abs(least)) / np.maximum(size, 1e-300) * (1 - 1e-9)
+                last = np.where(least <= 0, until, np.clip(len(longest) - np.searchsorted(longest[::-1], need, side="left") - 1, -1, until))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(last.astype(np.int32))], names=["query_id", "q", "length", "floor", "last"])
+
+        asked = queries.join(top, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(int(_NONE))))
+        asked = asked.mapInArrow(reach, "query_id long, q array<long>, length double, floor long, last int").where(F.col("last") >= low)
+        asked = written(asked.withColumn("qb", dealt), "asked")
+        more = grid(placed.where(f"cb >= {low} and cb < {high}").drop("n2"), asked, low)
+        if more is not None:
+            parts_found.append(written(more, "top"))
+        low = high
+    return reduce(DataFrame.unionAll, parts_found)
 
 
 def integer_vectors(embeddings: DataFrame, scale: int = 256) -> DataFrame:
