@@ -123,13 +123,21 @@ def slices(off: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         i = min(j, n)
 
 
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of an ascending array and the edges of their runs (one more)."""
+    start = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, np.int64)
+    return x[start], np.append(start, len(x))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; set here only where the session names none."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; set here only where the session names none and runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jdir.get() if jdir.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tickforge-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

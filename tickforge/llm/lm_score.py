@@ -12,7 +12,7 @@ corpus are one unknown word, in both models.  ``p(w | v) = mix * c(v, w) / c(v)
 start mark.
 
 All counts cover all documents.  Documents are dealt into groups by a hash of
-the id (that exchange occurs three times in one plan and runs once).  A group
+the id (that exchange occurs twice in one plan and runs once).  A group
 sends each distinct word, then each distinct bigram, once with its counts, in
 sorted numpy arrays to the bucket of its hash; the bucket answers each group with
 corpus counts in the order sent.  Nothing corpus-wide is broadcast but seven sums.
@@ -30,7 +30,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickforge.llm._common import group_count, mix, slices, text_buffers, trim, word_hashes
+from tickforge.llm._common import group_count, mix, runs, slices, text_buffers, trim, word_hashes, written
 
 MIX = 0.6
 _UNKNOWN, _START = np.uint64(1), np.uint64(2)
@@ -90,16 +90,15 @@ def _counted(keys: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _send(kind: int, g: int, keys: np.ndarray, counts: np.ndarray, buckets: int, sums: list[int] | None) -> pa.Table:
     bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # of the high bits: ascends with the keys
-    cut = np.searchsorted(bucket, np.arange(buckets + 1))
-    full = np.flatnonzero(np.diff(cut))
-    blobs = [_names(keys[cut[i] : cut[i + 1]]) + _packed(counts[:, cut[i] : cut[i + 1]]) for i in full]
+    full, cut = runs(bucket)
+    blobs = [_names(keys[i:j]) + _packed(counts[:, i:j]) for i, j in zip(cut[:-1], cut[1:])]
     n = len(full)
     extra = [] if sums is None else [sums]
     return pa.table(
         [
             pa.array([kind] * n + [0] * len(extra), pa.int32()),
             pa.array([g] * (n + len(extra)), pa.int32()),
-            pa.array([*full.tolist(), *([0] * len(extra))], pa.int32()),
+            pa.array([*full.tolist(), *([g % buckets] * len(extra))], pa.int32()),
             pa.array([*blobs, *([None] * len(extra))], pa.binary()),
             pa.array([*([None] * n), *extra], pa.list_(pa.int64())),
         ],
@@ -111,7 +110,9 @@ def _total(kind: int):
     """A bucket's answers: corpus counts in the order each group sent its keys; and the bucket's share of the sums."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, counts = [], []
+        given = [x for x in table.column("sums").to_pylist() if x is not None]  # of groups, on their way to the total
+        table = table.filter(pa.compute.equal(table.column("kind"), kind))
+        keys, counts = [np.empty(0, np.uint64)], [np.empty((2, 0), np.uint64)]
         for blob in table.column("blob"):
             b = blob.as_py()
             n = len(b) // 16
@@ -120,13 +121,13 @@ def _total(kind: int):
         distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         every = np.concatenate(counts, axis=1)
         total = np.stack([np.bincount(inverse, weights=c, minlength=len(distinct)) for c in every]).astype(np.uint64)
-        edge = np.cumsum([0, *map(len, keys)])
+        edge = np.cumsum([0, *map(len, keys[1:])])
         blobs = [_packed(total[:, inverse[a:b]]) for a, b in zip(edge[:-1], edge[1:])]
         rare = total[1] < 2
         words = total.sum(axis=1)
         sums = [int((~rare).sum()), int(words[0]), int(words[1]), int(total[0][rare].sum()), int(total[1][rare].sum()), 0, 0]
         n = len(blobs)
-        extra = [sums] if kind == 1 else []
+        extra = [np.sum([sums, *given], axis=0).tolist()] if kind == 1 else []
         return pa.table(
             [
                 pa.array([kind] * n + [0] * len(extra), pa.int32()),
@@ -212,10 +213,10 @@ def score_documents(docs: DataFrame, target: DataFrame, groups: int | None = Non
     dealt = rows.unionAll(marks).withColumn("g", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(groups)).cast("int"))
     by_group = lambda: dealt.groupBy("g")
     words = by_group().applyInArrow(_send_words(groups), _ROWS)
-    word_answers = words.where("kind = 1").groupBy("bucket").applyInArrow(_total(1), _ROWS)
+    # read three times, so written: the first pass over the texts runs once
+    word_answers = written(words.groupBy("bucket").applyInArrow(_total(1), _ROWS), "words")
     pairs = by_group().cogroup(word_answers.where("kind = 1").groupBy("g")).applyInArrow(_send_bigrams(groups), _ROWS)
     pair_answers = pairs.groupBy("bucket").applyInArrow(_total(2), _ROWS)
-    parts = words.where("kind = 0").unionAll(word_answers.where("kind = 0"))
-    total = parts.agg(F.array(*(F.sum(F.col("sums")[i]) for i in range(len(_SUMS)))).alias("total"))
+    total = word_answers.where("kind = 0").agg(F.array(*(F.sum(F.col("sums")[i]) for i in range(len(_SUMS)))).alias("total"))
     answers = word_answers.where("kind = 1").unionAll(pair_answers).select("kind", "g", "bucket", "blob").withColumn("total", total.scalar())
     return by_group().cogroup(answers.groupBy("g")).applyInArrow(_score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickforge.llm._common import components, mix, slices, text_buffers, trim, word_hashes, written
+from tickforge.llm._common import components, mix, runs, slices, text_buffers, trim, word_hashes, written
 
 CLUSTER_ROWS = 1500
 #: Up to so many ids (8 bytes each) are broadcast to pick texts; beyond, the join shuffles.
@@ -155,20 +155,19 @@ def sketch(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
             order = np.argsort(k)
             k, o = k[order], o[order]
             bucket = (k >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-            cut = np.searchsorted(bucket, np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(cut))
+            full, cut = runs(bucket)
             table = np.array(ids, dtype=np.int64)
             blobs = []
-            for i in full:
-                kk, oo = k[cut[i] : cut[i + 1]], o[cut[i] : cut[i + 1]]
+            for i, j in zip(cut[:-1], cut[1:]):
+                kk, oo = k[i:j], o[i:j]
                 used, place = np.unique(oo >> np.uint32(8), return_inverse=True)
                 blobs.append(b"".join((np.array([len(used), len(kk)], np.int64).tobytes(), table[used].tobytes(), (kk & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((kk >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes(), place.astype(np.uint16).tobytes(), (oo & np.uint32(0xFF)).astype(np.uint8).tobytes())))
             left = np.array(spare, dtype=np.int64).reshape(-1, 3)
             sets = np.stack([np.concatenate(x) for x in zip(*named)], axis=1) if named else np.empty((0, 4), np.int64)
-            part = [(mix(x[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64) for x in (left, sets)]
-            some = np.unique(np.concatenate(part))
-            blobs += [np.int64((part[0] == i).sum()).tobytes() + left[part[0] == i].T.tobytes() + sets[part[1] == i].T.tobytes() for i in some]
-            return pa.RecordBatch.from_arrays([pa.array([*full.tolist(), *(-1 - some).tolist()], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+            # whole flushes, of bounded size each, dealt over the buckets by their first document
+            some = int(mix(sets[:1, 0].astype(np.uint64))[0] % np.uint64(buckets)) if len(sets) else 0
+            blobs.append(np.int64(len(left)).tobytes() + left.T.tobytes() + sets.T.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([*full.tolist(), -1 - some], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
         held = 0
         for batch in batches:

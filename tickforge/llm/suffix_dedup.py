@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickforge.llm._common import BYTE_CODE, group_count, mix, powers, slices, text_buffers, trim
+from tickforge.llm._common import BYTE_CODE, group_count, mix, powers, runs, slices, text_buffers, trim
 
 SPAN = 50
 GRAM = 16
@@ -122,9 +122,8 @@ def _send_anchors(buckets: int):
         start = np.flatnonzero(np.append(True, name[1:] != name[:-1])) if len(name) else np.empty(0, np.int64)
         low, high = (np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)) if len(start) else (doc, doc)
         name = np.repeat(name[start], 1 + (low != high))  # twice: two documents here already
-        edge = np.searchsorted(name, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
-        full = np.flatnonzero(np.diff(edge))
-        blobs = [name[edge[i] : edge[i + 1]].astype(np.uint32).tobytes() for i in full]
+        full, edge = runs(name >> np.uint64(32))
+        blobs = [name[i:j].astype(np.uint32).tobytes() for i, j in zip(edge[:-1], edge[1:])]
         return pa.table([pa.array(full.astype(np.int32)), pa.array([key[0].as_py()] * len(full), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "g", "blob"])
 
     return run
@@ -178,13 +177,12 @@ def _send_surroundings(buckets: int):
         one = np.minimum.reduceat(one, start) * (doc[start] == np.maximum.reduceat(doc, start))
         kind, doc, bucket, order = kind[start], doc[start], bucket[start], order[start]
         edges, text = edges[order], text[order]
-        cut = np.searchsorted(bucket, np.arange(buckets + 1))
-        full = np.flatnonzero(np.diff(cut))
+        full, cut = runs(bucket)
         blobs = []
-        for i in full:
-            part = slice(cut[i], cut[i + 1])
+        for i, j in zip(cut[:-1], cut[1:]):
+            part = slice(i, j)
             head = b"".join(x[part].tobytes() for x in (kind, doc, one.astype(np.uint8), edges))
-            blobs.append(np.int64(cut[i + 1] - cut[i]).tobytes() + head + _squeezed(text[part]))
+            blobs.append(np.int64(j - i).tobytes() + head + _squeezed(text[part]))
         return pa.table([pa.array(full.astype(np.int32)), pa.array([key[0].as_py()] * len(full), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "g", "blob"])
 
     return run
