@@ -45,40 +45,52 @@ def _nearest(x: float) -> int:
 def time_faults(times: np.ndarray) -> tuple[int, int, int]:
     """``(missing, late, redundant)`` points by the ratio of each interval to the median interval.
 
-    A window of ten points moves over the series.  Its first interval decides: at
-    most half the usual one means a redundant point; two to nine times means a gap,
-    part of which later close points make up for (they came late), the rest is missing.
+    The rule sees ``TIME_WINDOW`` points from the one it stands on.  If the next point lies at most
+    half a usual interval ahead, that point is redundant.  If it lies two to nine ahead,
+    points are owed; close points seen after it, up to the next gap, pay for them (they came late), the rest
+    is missing.  Points so accounted for are passed over, and as many further ones come into sight.
     """
-    missing = late = redundant = 0
-    if len(times) < 2:
+    n = len(times)
+    if n < 2:
         return 0, 0, 0
-    base = float(np.median(np.diff(times)))
     with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = lambda a, b: float(np.float64(b - a) / base)
-        seen, nxt = list(times[:TIME_WINDOW].tolist()), min(TIME_WINDOW, len(times))
-        while len(seen) > 1:
-            r = ratio(seen[0], seen[1])
-            if r <= 0.5:
-                redundant += 1
-                del seen[1]
-            elif 2.0 <= r <= 9.0:
-                gap, came, j = _nearest(r - 1), 0, 2
-                while j < len(seen) and came < gap:
-                    later = ratio(seen[j - 1], seen[j])
-                    if later >= 2.0:
-                        break
-                    if later <= 0.5:
-                        came += 1
-                        del seen[j]
-                    else:
-                        j += 1
-                late += came
-                missing += gap - came
-            del seen[0]
-            refill = TIME_WINDOW - len(seen)
-            seen += times[nxt : nxt + refill].tolist()
-            nxt = min(len(times), nxt + refill)
-    return missing, late, redundant
+        base = np.median(np.diff(times))
+        place = times.astype(np.int64)
+        passed = np.zeros(n, bool)
+        total = np.zeros(3, np.int64)
+        here, in_sight = 0, min(n, TIME_WINDOW)
+        while here < n:
+            ahead = here + 1 + np.flatnonzero(~passed[here + 1 : in_sight])
+            if not len(ahead):
+                break
+            first = np.float64(place[ahead[0]] - place[here]) / base
+            used = ahead[:0]
+            if first <= 0.5:
+                used = ahead[:1]
+                total[2] += 1
+            elif 2.0 <= first <= 9.0:
+                owed = _nearest(first - 1)
+                used = _latecomers(place, ahead, base, owed)
+                total[:2] += owed - len(used), len(used)
+            passed[used] = True
+            in_sight = min(n, in_sight + 1 + len(used))
+            rest = here + 1 + np.flatnonzero(~passed[here + 1 : in_sight])
+            here = int(rest[0]) if len(rest) else n
+    return tuple(total.tolist())
+
+
+def _latecomers(place: np.ndarray, ahead: np.ndarray, base: float, most: int) -> np.ndarray:
+    """Of the points ahead, those at most half a usual interval after the last regular one, up to the next gap."""
+    regular, late = place[ahead[0]], []
+    for i in ahead[1:]:
+        step = np.float64(place[i] - regular) / base
+        if step >= 2.0 or len(late) == most:
+            break
+        if step <= 0.5:
+            late.append(i)
+        else:
+            regular = place[i]
+    return np.array(late, dtype=np.int64)
 
 
 def _outliers(x: np.ndarray) -> int:

@@ -91,6 +91,8 @@ REWRITES: dict[str, str | dict[int, str]] = {
     "exact_count": "count",
     "arrow_typeof": "typeof",
     "character_length": "length",
+    "st_asbinary": "st_asbinary_wkt",
+    "st_geomfromwkb": "st_geomfromwkb_wkt",
 }
 
 

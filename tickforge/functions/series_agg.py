@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from tickforge.functions.ticks import micros
 
 
+MAX_SAMPLE = 2000
+
+
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -45,8 +48,8 @@ def increase(df: DataFrame, keys: list[str], time: str, value: str, name: str =
 
 def sample(df: DataFrame, keys: list[str], value: str, k: int, name: str = "sample", seed: int | None = None) -> DataFrame:
     """``k`` random values per key (1 to 2000) as an array: the smallest random numbers, cut before the shuffle."""
-    if not 0 < k <= 2000:
-        raise ValueError("k must be from 1 to 2000")
+    if not 0 < k <= MAX_SAMPLE:
+        raise ValueError(f"k must be from 1 to {MAX_SAMPLE}")
     w = Window.partitionBy(*keys).orderBy("__r")
     picked = df.where(F.col(value).isNotNull()).select(*keys, value, F.rand(seed).alias("__r")).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k)
     return picked.groupBy(*keys).agg(F.collect_list(value).alias(name))

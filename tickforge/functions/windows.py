@@ -16,7 +16,8 @@ MAX_OVERLAP = 100
 MAX_WIDTH = 365 * 86_400_000_000
 
 
-def _checked(width: str | int, slide: str | int | None, start: str | int | None) -> tuple[int, int, int]:
+def window_limits(width: str | int, slide: str | int | None, start: str | int | None) -> tuple[int, int, int]:
+    """Width, slide and offset in microseconds, if they are within the limits of windows."""
     w = width if isinstance(width, int) else seconds_ticks(width)
     s = w if slide is None else slide if isinstance(slide, int) else seconds_ticks(slide)
     o = 0 if start is None else start if isinstance(start, int) else seconds_ticks(start)
@@ -37,7 +38,7 @@ def time_window(df: DataFrame, time: str, width: str | int, slide: str | int | N
     """
     if mode not in ("contain", "compat"):
         raise ValueError(f"unknown mode: {mode}")
-    w, s, o = _checked(width, slide, start)
+    w, s, o = window_limits(width, slide, start)
     t = F.col(time).cast("long") if ticks else micros(time)
     origin = F.lit(o % w if mode == "compat" else o % s)
     latest = t - F.pmod(t - origin, F.lit(s))

@@ -84,7 +84,12 @@ sql("strings_1", "SELECT p_partkey, ascii(p_name) AS a, bit_length(p_name) AS bl
 sql("strings_2", "SELECT p_partkey, octet_length(p_name) AS ol, replace(p_name, 'a', '_') AS rp, reverse(p_name) AS rv, right(p_name, 4) AS r4, right(p_name, -3) AS r3, rpad(p_brand, 12, '.') AS rd, split_part(p_type, ' ', 1) AS sp, starts_with(p_name, 'a') AS sw, repeat('ab', 3) AS rt, strpos(p_name, 'e') AS po, substr(p_name, 2) AS s2, substr(p_name, 0, 4) AS s04, to_hex(p_partkey) AS hx, translate(p_name, 'abc', 'xyz') AS tr, upper(p_name) AS up, chr(65 + p_size) AS ch FROM part",
     "SELECT p_partkey, octet_length(encode(p_name))::INTEGER AS ol, replace(p_name, 'a', '_') AS rp, reverse(p_name) AS rv, right(p_name, 4) AS r4, right(p_name, -3) AS r3, rpad(p_brand, 12, '.') AS rd, split_part(p_type, ' ', 1) AS sp, starts_with(p_name, 'a') AS sw, repeat('ab', 3) AS rt, instr(p_name, 'e') AS po, substr(p_name, 2) AS s2, substr(p_name, 1, 3) AS s04, lower(to_hex(p_partkey)) AS hx, translate(p_name, 'abc', 'xyz') AS tr, upper(p_name) AS up, chr(65 + p_size) AS ch FROM part")
 sql("digests", "SELECT p_partkey, lower(hex(sha256(p_name))) AS a, lower(hex(digest(p_name, 'md5'))) AS m FROM part", "SELECT p_partkey, sha256(p_name) AS a, md5(p_name) AS m FROM part")
-sql("regexp_replace", "SELECT p_partkey, regexp_replace(p_brand, '([A-Za-z]+).*', 'x$1') AS r FROM part", "SELECT p_partkey, regexp_replace(p_brand, '([A-Za-z]+).*', 'x\\1') AS r FROM part")
+sql("regexp_replace", "SELECT p_partkey, regexp_replace(p_brand, '([A-Za-z]+)(.*)', 'x\\1-\\2$', 'g') AS r, regexp_replace(p_name, '[aeiou]', '_') AS one, regexp_replace(p_name, '[aeiou]', '_', 'g') AS every FROM part", "SELECT p_partkey, regexp_replace(p_brand, '([A-Za-z]+)(.*)', 'x\\1-\\2$', 'g') AS r, regexp_replace(p_name, '[aeiou]', '_') AS one, regexp_replace(p_name, '[aeiou]', '_', 'g') AS every FROM part")
+sql("regexp_match", "SELECT p_partkey, regexp_match(p_brand, '([A-Za-z]+)#([0-9])')[0] AS a, regexp_match(p_brand, '([A-Za-z]+)#([0-9])')[1] AS b, regexp_match(p_name, 'xyzzy') IS NULL AS none FROM part", "SELECT p_partkey, regexp_extract(p_brand, '([A-Za-z]+)#([0-9])', 1) AS a, regexp_extract(p_brand, '([A-Za-z]+)#([0-9])', 2) AS b, true AS none FROM part")
+sql("extract_parts", "SELECT event_id, extract(dow FROM ts) AS d, extract(epoch FROM ts) AS e, extract(hour FROM ts + INTERVAL '1' HOUR) AS h, extract(doy FROM ts) AS y FROM events", "SELECT event_id, date_part('dow', ts)::DOUBLE AS d, epoch_us(ts) / 1000000.0::DOUBLE AS e, date_part('hour', ts + INTERVAL 1 HOUR)::DOUBLE AS h, date_part('doy', ts)::DOUBLE AS y FROM events")
+sql("to_timestamp_typed", "SELECT event_id, to_timestamp(s) AS a, to_timestamp(n) AS b, to_timestamp('2024-01-02T03:04:05Z') AS c FROM (SELECT event_id, CAST(ts AS STRING) AS s, event_id * 1000 AS n FROM events) t", "SELECT event_id, ts::TIMESTAMP AS a, make_timestamp(event_id) AS b, TIMESTAMP '2024-01-02 03:04:05' AS c FROM events")
+sql("weighted_percentile_sql", "SELECT event_type, approx_percentile_cont_with_weight(id, w, 0.5) AS p FROM (SELECT event_type, event_id AS id, event_id % 3 + 1 AS w FROM events) t GROUP BY event_type", "SELECT event_type, quantile_cont(id, 0.5) AS p FROM (SELECT event_type, event_id AS id, unnest(range(event_id % 3 + 1)) AS k FROM events) GROUP BY event_type")
+sql("mode_sql", "SELECT event_type, mode(x) AS m FROM (SELECT event_type, event_id % 5 AS x FROM events) t GROUP BY event_type", "SELECT event_type, x AS m FROM (SELECT event_type, event_id % 5 AS x, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, event_id % 5) AS k FROM events GROUP BY event_type, event_id % 5) WHERE k = 1")
 sql("math_1", "SELECT event_id, abs(value) AS a, round(acos(value / 1e9), 10) AS ac, round(asin(value / 1e9), 10) AS si, round(atan(value), 10) AS atn, round(atan2(value, 2.0), 10) AS a2, round(cbrt(value), 8) AS cb, ceil(value) AS ce, floor(value) AS fl, round(cos(value), 8) AS co, round(sin(value), 8) AS sn, round(tan(value / 1e6), 10) AS tn, signum(value) AS sg, trunc(value) AS tc, round(sqrt(abs(value)), 8) AS sq FROM events",
     "SELECT event_id, abs(value) AS a, round(acos(value / 1e9), 10) AS ac, round(asin(value / 1e9), 10) AS si, round(atan(value), 10) AS atn, round(atan2(value, 2.0), 10) AS a2, round(cbrt(value), 8) AS cb, ceil(value) AS ce, floor(value) AS fl, round(cos(value), 8) AS co, round(sin(value), 8) AS sn, round(tan(value / 1e6), 10) AS tn, sign(value)::DOUBLE AS sg, trunc(value) AS tc, round(sqrt(abs(value)), 8) AS sq FROM events")
 sql("math_2", "SELECT p_partkey, round(ln(p_retailprice), 9) AS l, round(log(p_retailprice), 9) AS l10, round(log2(p_retailprice), 9) AS l2, round(log(2.0, p_retailprice), 9) AS lb, round(exp(p_size / 10.0), 6) AS e, round(pi(), 10) AS p, round(radians(p_size), 10) AS rd, round(degrees(p_size / 10.0), 8) AS dg, round(power(p_size, 2.0), 4) AS pw, gcd(p_partkey, p_size) AS g, lcm(p_partkey, p_size) AS m, round(sinh(p_size / 10.0), 6) AS sh, round(cosh(p_size / 10.0), 6) AS ch, round(tanh(p_size / 10.0), 10) AS th, round(asinh(p_size), 10) AS ah, round(acosh(p_size + 1), 10) AS ach, round(atanh(p_size / 100.0), 10) AS ath FROM part",

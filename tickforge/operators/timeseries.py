@@ -90,7 +90,7 @@ def gauge(spark, sf_dir):
     return g.select("user_id", F.col("gauge.num_elements").alias("n"), round9(series_agg.delta("gauge")).alias("delta"), series_agg.time_delta("gauge").alias("time_delta"), F.round(series_agg.rate("gauge") * 1e6, 12).alias("rate"), series_agg.first_time("gauge").alias("first_time"), series_agg.first_val("gauge").alias("first_val"), series_agg.last_time("gauge").alias("last_time"), series_agg.last_val("gauge").alias("last_val"), round9(series_agg.idelta_left("gauge")).alias("idelta_left"), round9(series_agg.idelta_right("gauge")).alias("idelta_right"))
 
 
-sql("gauge_sql", "SELECT user_id, round(delta(g), 9) AS d, time_delta(g) AS td, round(idelta_right(g), 9) AS r FROM (SELECT user_id, gauge_agg(ts, value ORDER BY ts) AS g FROM events GROUP BY user_id) t", f"SELECT user_id, round(v[-1] - v[1], 9) AS d, t[-1] - t[1] AS td, round(v[-1] - v[greatest(1, len(v) - 1)], 9) AS r FROM ({_SORTED})")
+sql("gauge_sql", "SELECT user_id, round(delta(g), 9) AS d, bigint(1000000 * extract(epoch FROM (TIMESTAMP_NTZ '1970-01-01 00:00:00' + time_delta(g)))) AS td, round(rate(g) * 1e9, 6) AS p, first_time(g) AS ft, last_time(g) AS lt, round(idelta_right(g), 9) AS r FROM (SELECT user_id, gauge_agg(ts, value ORDER BY ts) AS g FROM events GROUP BY user_id) t", f"SELECT user_id, round(v[-1] - v[1], 9) AS d, t[-1] - t[1] AS td, CASE WHEN t[-1] <> t[1] THEN round((v[-1] - v[1]) / (t[-1] - t[1]) * 1e6, 6) END AS p, make_timestamp(t[1]) AS ft, make_timestamp(t[-1]) AS lt, round(v[-1] - v[greatest(1, len(v) - 1)], 9) AS r FROM ({_SORTED})")
 
 _SPANS = "SELECT user_id, event_type AS state, epoch_us(ts) AS a, coalesce(lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts), epoch_us(ts)) AS b FROM events"
 
