@@ -8,17 +8,17 @@ that also occurs earlier, in a smaller document or higher up in the same one.
 1. Winnowing.  Each line is hashed to 64 bits.  Of every window (the shortest long
    enough runs) the smallest hash is the fingerprint, so equal runs have equal
    fingerprints at equal places, and none is missed.  Neighbouring windows mostly share
-   theirs, so a document keeps a row per distinct fingerprint with the places of
-   its windows, about half as many as lines.
-2. Join.  Fingerprints that occur once drop out.  The places of the others are matched:
-   each window, named by two further 64-bit hashes of its lines, meets its earliest
-   place, a minimum that is combined before the shuffle; no pairs are made.
+   theirs; a document sends each distinct one once to be counted.
+2. Join.  Windows whose fingerprint occurs once drop out.  The others are dealt by
+   fingerprint, and there each place, named by two further 64-bit hashes of the window's
+   lines, is matched with the earliest one; no pairs are made.
 3. Extension.  Matches on one diagonal (same two documents, same distance) whose
    windows touch are joined both ways into one run, and the later of the two is deleted.
 
 Hot fingerprints and hot windows (a line or passage that a third of all documents share)
 are told by their counts.  At most ``HOT_KEYS`` of them can exist; these are
-broadcast, so their rows are matched where they lie instead of meeting in one task.
+broadcast, and the earliest places of their windows are minima combined before the
+shuffle, so their rows are matched where they lie instead of meeting in one task.
 
 Defined cases: null text stays null and has no lines; rows with equal ids are
 told apart by a hash of their text, equal rows count as one; a null id counts as the
@@ -38,7 +38,7 @@ from tickforge.llm._common import written
 
 WINDOW, LONG = 3, 200
 #: Keys with more than one part in this of all rows are hot, so there are at most this many.
-HOT_KEYS = 10_000
+HOT_KEYS = 100_000
 #: Up to so many bytes of line flags are broadcast; beyond, the join shuffles.
 BROADCAST_BYTES = 32 << 20
 _BLANK = " \t\r\f\x0b"
@@ -52,7 +52,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(texts: DataFrame, window: int, long: int) -> DataFrame:
-    """A row per document and distinct fingerprint: ``(doc, sub, print, twice, windows)``; a window is ``(k, n, at, a, b)``: its first counted line, its size, its line numbers and its name."""
+    """A row per window: ``(doc, sub, print, k, n, i, later, a, b, lead)``.
+
+    ``k`` is its first counted line, ``n`` its size, ``i`` the number of its first line and ``later`` those of the others unless
+    they follow each other; ``a`` and ``b`` name it.  ``lead`` is 1 on the document's first window of the fingerprint, 2 if
+    an equal window follows in the document, else 0.
+    """
     line = lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(x, F.lit(1)).alias("g"), F.length(x).alias("size"), i.alias("i"))
     hashes = F.transform(F.transform(F.split(F.col("text"), "\n", -1), lambda x: F.btrim(x, F.lit(_BLANK))), line)
     lines = texts.where("text is not null").select("doc", "sub", F.filter(hashes, lambda x: x["size"] > 0).alias("lines"))
@@ -91,47 +96,56 @@ def fingerprints(texts: DataFrame, window: int, long: int) -> DataFrame:
             group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(doc))))
             same = np.lexsort((b, a, group))
             again = (group[same][1:] == group[same][:-1]) & (a[same][1:] == a[same][:-1]) & (b[same][1:] == b[same][:-1])
-            twice = np.zeros(len(start), bool)
-            twice[group[same][1:][again]] = True
-            own = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(k, n)
-            places = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(at[own].astype(np.int32)))
-            rank = k - off[doc]
-            windows = pa.StructArray.from_arrays([pa.array(rank.astype(np.int32)), pa.array(n.astype(np.int32)), places, pa.array(a), pa.array(b)], names=["k", "n", "at", "a", "b"])
+            lead = np.zeros(len(doc), np.int8)
+            lead[start] = 1
+            lead[start[group[same][1:][again]]] = 2
+            loose = at[k + n - 1] - at[k] != n - 1  # blank lines between
+            size_later = np.where(loose, n - 1, 0)
+            own = np.arange(size_later.sum()) - np.repeat(np.cumsum(size_later) - size_later, size_later) + np.repeat(k + 1, size_later)
+            later = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size_later)).astype(np.int32)), pa.array(at[own].astype(np.int32)), mask=pa.array(~loose))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(doc[start])), batch.column(1).take(pa.array(doc[start])), pa.array(least[start]), pa.array(twice), pa.ListArray.from_arrays(pa.array(np.append(start, len(doc)).astype(np.int32)), windows)],
-                names=["doc", "sub", "print", "twice", "windows"],
+                [batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(least), pa.array((k - off[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(at[k].astype(np.int32)), later, pa.array(a), pa.array(b), pa.array(lead)],
+                names=["doc", "sub", "print", "k", "n", "i", "later", "a", "b", "lead"],
             )
 
-    return lines.mapInArrow(cut, "doc long, sub long, print long, twice boolean, windows array<struct<k: int, n: int, at: array<int>, a: long, b: long>>")
-
-
-def _meet(rows: DataFrame, keyed: DataFrame, on: list[str], n_rows: int) -> DataFrame:
-    """Join ``rows`` with ``keyed(on…, n, …)`` (one row a key, ``n`` its number of rows): hot keys by a broadcast of at most ``HOT_KEYS``, the rest by a shuffle."""
-    floor = n_rows // HOT_KEYS + 1000
-    hot = keyed.where(F.col("n") > floor)  # more than one part in HOT_KEYS each
-    by_place = rows.join(F.broadcast(hot.drop("n")), on)
-    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keyed.where(F.col("n") <= floor).drop("n"), on)
-    return by_place.unionByName(rest)
+    return lines.mapInArrow(cut, "doc long, sub long, print long, k int, n int, i int, later array<int>, a long, b long, lead byte")
 
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW, long: int = LONG) -> DataFrame:
     """The later places of repeated runs: ``(doc, sub, at, from_doc, from_sub, from_k, k)``; ``at`` are the run's line numbers, ``k`` and ``from_k`` its first counted line and that of its earlier place."""
     found = written(fingerprints(_keyed(docs), window, long), "fingerprints")
-    prints = written(found.groupBy("print").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").drop("twice"), "prints")
-    active = written(_meet(found, prints, ["print"], found.count()).select("doc", "sub", F.explode("windows").alias("w")).select("doc", "sub", "w.*"), "active")
+    prints = written(found.where("lead > 0").groupBy("print").agg(F.count("*").alias("n"), F.max("lead").alias("twice")).where("n > 1 or twice = 2").select("print", "n"), "prints")
+    floor = hot_floor(found.count())
+    hot = prints.where(F.col("n") > floor).select("print")  # more than one part in HOT_KEYS each
+    windows = found.drop("lead")
     place = F.struct("doc", "sub", "k")
-    first = written(active.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first <> last").select("a", "b", "first", "n"), "places")
-    later = _meet(active, first, ["a", "b"], active.count()).where(place > F.col("first"))
+    # fingerprints of bounded count: one exchange, in whose partitions the places of a window lie together
+    near = windows.join(F.broadcast(hot), "print", "left_anti").join(prints.where(F.col("n") <= floor).select("print").hint("merge"), "print")
+    order = Window.partitionBy("print", "a", "b").orderBy("doc", "sub", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = near.withColumn("first", F.first(place).over(order)).where(place > F.col("first"))
+    # hot fingerprints: earliest places by minima, hot windows again by a broadcast
+    far = windows.join(F.broadcast(hot), "print")
+    places = written(far.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first <> last").select("a", "b", "first", "n"), "places")
+    known = places.where(F.col("n") > floor).drop("n")
+    rest = far.join(F.broadcast(known.select("a", "b")), ["a", "b"], "left_anti").join(places.where(F.col("n") <= floor).drop("n").hint("merge"), ["a", "b"])
+    far = far.join(F.broadcast(known), ["a", "b"]).unionByName(rest).where(place > F.col("first"))
     # a run is what touches on one diagonal
+    at = F.concat(F.array("i"), F.coalesce("later", F.when(F.col("n") > 1, F.sequence(F.col("i") + 1, F.col("i") + F.col("n") - 1)), F.array().cast("array<int>")))
+    names = ["doc", "sub", "k", "n", at.alias("at"), "first", (F.col("k") - F.col("first.k")).alias("off")]
+    rows = near.select(*names).unionByName(far.select(*names))
     diagonal = Window.partitionBy("doc", "sub", "first.doc", "first.sub", "off").orderBy("k", "n")
-    rows = later.withColumn("off", F.col("k") - F.col("first.k"))
     reach = F.max(F.col("k") + F.col("n")).over(diagonal.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("run", F.sum(F.when(F.col("k") <= reach, 0).otherwise(1)).over(diagonal))
+    rows = rows.withColumn("reach", reach).withColumn("run", F.sum(F.when(F.col("k") <= F.col("reach"), 0).otherwise(1)).over(diagonal.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return rows.groupBy("doc", "sub", F.col("first.doc").alias("from_doc"), F.col("first.sub").alias("from_sub"), "off", "run").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"), F.min("first.k").alias("from_k"), F.min("k").alias("k")
     ).drop("off", "run")
 
 
+def hot_floor(n_rows: int) -> int:
+    """Keys with more rows than this are hot."""
+    return n_rows // HOT_KEYS + 5000
+
+
 def repeated_lines(docs: DataFrame, window: int = WINDOW, long: int = LONG) -> DataFrame:
     """``(doc, sub, gone, n_gone)``: per document that loses lines, a flag per line up to the last one that goes."""
     places = repeated_runs(docs, window, long).groupBy("doc", "sub").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
