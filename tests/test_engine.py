@@ -19,6 +19,7 @@ def engine(spark, tmp_path):
     return e
 
 
+# The statements, inputs and results below are worked examples of the dialect.
 def rows(df):
     return [tuple(r) for r in df.collect()]
 
@@ -179,3 +180,83 @@ def test_stream_table(engine):
     assert sorted(rows(engine.sql("SELECT t0, n FROM counts")), key=str) == [("", 1), ("a", 3), (None, 3)]
     with pytest.raises(SqlError):
         engine.sql("CREATE STREAM TABLE bad WITH (table = 'test') ENGINE = files")
+
+
+def test_nanoseconds_stay_apart(engine):
+    """Three points a nanosecond apart are three rows, also after DELETE, UPDATE and ALTER."""
+    engine.sql("CREATE TABLE fine(f BIGINT, TAGS(t))")
+    engine.sql("INSERT INTO fine(time, t, f) VALUES (1, 'a', 1), (2, 'a', 2), (3, 'a', 3), (3, 'b', 4)")
+    assert sorted(r[0] for r in rows(engine.sql("SELECT f FROM fine"))) == [1, 2, 3, 4]
+    engine.sql("UPDATE fine SET f = f + 10 WHERE t = 'a'")
+    engine.sql("DELETE FROM fine WHERE t = 'b'")
+    engine.sql("ALTER TABLE fine ADD FIELD g DOUBLE")
+    engine.sql("INSERT INTO fine(time, t, f) VALUES (2, 'a', 99)")
+    assert sorted(r[0] for r in rows(engine.sql("SELECT f FROM fine"))) == [11, 13, 99]
+
+
+def test_precision_of_a_database(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}")
+    e.sql("CREATE DATABASE m WITH PRECISION 'ms'")
+    e.sql("CREATE TABLE m.t(f BIGINT)")
+    e.sql("INSERT INTO m.t(time, f) VALUES (1, 1), (2, 2)")
+    e.sql("INSERT INTO m.t(time, f) VALUES ('1970-01-01 00:00:00.0021', 3)")
+    assert sorted(rows(e.sql("SELECT time, f FROM m.t"))) == [(dt.datetime(1970, 1, 1, 0, 0, 0, 1000), 1), (dt.datetime(1970, 1, 1, 0, 0, 0, 2000), 3)]
+    with pytest.raises(SqlError):
+        e.sql("ALTER DATABASE m SET PRECISION 'ns'")
+
+
+def test_catalog_names_and_ttl(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}")
+    e.sql("CREATE DATABASE d2")
+    e.sql("CREATE TABLE d2.t(f BIGINT CODEC(DELTA), TAGS(a))")
+    e.insert("d2.t", spark.sql("SELECT current_timestamp() - make_dt_interval(i) AS time, 'x' AS a, CAST(i AS BIGINT) AS f FROM (SELECT explode(sequence(0, 9)) AS i)"))
+    other = Engine(spark, f"file://{tmp_path}")
+    assert rows(other.sql("DESCRIBE TABLE d2.t")) == [("time", "TIMESTAMP", "TIME"), ("a", "STRING", "TAG"), ("f", "BIGINT", "FIELD")]
+    assert rows(other.sql("SELECT count(*) FROM d2.t AS x WHERE x.f > 3")) == [(6,)]
+    other.sql("ALTER DATABASE d2 SET TTL '5d'")
+    assert rows(other.sql("SELECT max(t.f) FROM d2.t")) == [(4,)]
+    assert rows(other.sql("SHOW SERIES ON d2 FROM t")) == [("t,a=x",)]
+    assert rows(other.sql("SELECT column_name, compression_codec, data_type FROM information_schema.columns WHERE database_name = 'd2' ORDER BY ordinal_position")) == [("time", "DEFAULT", "TIMESTAMP(NS)"), ("a", "DEFAULT", "STRING"), ("f", "DELTA", "BIGINT")]
+    other.sql("COMPACT DATABASE d2")
+    assert "Aggregate" not in other.table("d2.t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "rows: 5" in rows(other.sql("EXPLAIN ANALYZE SELECT * FROM d2.t"))[0][0]
+    other.sql("DROP TABLE d2.t")
+    for bad in ("SELECT * FROM d2.t", "CREATE TABLE nowhere.t(f BIGINT)", "ALTER DATABASE d2 SET TTL 'soon'"):
+        with pytest.raises(Exception):
+            other.sql(bad)
+
+
+def test_stream_table_after_a_rewrite(engine):
+    """A stream reads the folder of the moment it starts, and rewrites wait for it."""
+    engine.sql("CREATE STREAM TABLE src2 WITH (db = 'public', table = 'test', event_time_column = 'time') ENGINE = files")
+    engine.sql("DELETE FROM test WHERE t0 = 'a' AND t1 = 'b'")
+    engine.sql("INSERT INTO test(time, t0, f0) VALUES (9000, 'z', 7)")
+    engine.sql("CREATE TABLE copied(f0 BIGINT, TAGS(t0))")
+    engine.once = True
+    (key,) = rows(engine.sql("INSERT INTO copied(time, t0, f0) SELECT time, t0, f0 FROM src2 WHERE f0 IS NOT NULL"))[0]
+    for q in engine.spark.streams.active:
+        if q.id == key:
+            q.awaitTermination()
+    assert sorted(rows(engine.sql("SELECT t0, f0 FROM copied")), key=str) == [("", 1), ("a", 1), ("z", 7), (None, 1), (None, 1)]
+    engine.once = False
+    (key,) = rows(engine.sql("INSERT INTO copied(time, t0, f0) SELECT time, t0, f0 FROM src2 WHERE f0 IS NOT NULL"))[0]
+    with pytest.raises(SqlError, match="stream job"):
+        engine.sql("DELETE FROM test WHERE t0 = 'z'")
+    engine.sql(f"KILL QUERY '{key}'")
+    engine.sql("DELETE FROM test WHERE t0 = 'z'")
+
+
+def test_dialect_limits_and_names(engine):
+    for bad in ("SELECT time_window(time, INTERVAL '1000 seconds', INTERVAL '1 second') FROM test", "SELECT time_window(time, INTERVAL '366 days') FROM test", "SELECT sample(f0, 5000) FROM test"):
+        with pytest.raises(ValueError):
+            engine.sql(bad)
+    q = "SELECT regexp_match('ab12', '([a-z]+)([0-9]+)'), regexp_match('x', '[0-9]'), regexp_match('a1', '[0-9]'), regexp_replace('a.b.c', '\\.', '$'), ST_AsBinary('POINT(1 2)') IS NOT NULL, ST_GeomFromWKB(ST_AsBinary('POINT(1 2)'))"
+    assert rows(engine.sql(q)) == [(["ab", "12"], None, ["1"], "a$b.c", True, "POINT(1 2)")]
+
+
+def test_partitioned_external_table(engine, tmp_path):
+    engine.spark.sql("SELECT 1 AS a, 'x' AS p UNION ALL SELECT 2, 'y'").write.partitionBy("p").parquet(f"{tmp_path}/parted")
+    engine.sql(f"CREATE EXTERNAL TABLE parted(a INT) STORED AS PARQUET PARTITIONED BY (p) LOCATION 'file://{tmp_path}/parted'")
+    assert rows(engine.sql("SELECT a FROM parted WHERE p = 'y'")) == [(2,)]
+    with pytest.raises(SqlError, match="connection"):
+        engine.sql("COPY INTO test FROM 's3://b/x' CONNECTION = (nothing = 'x') FILE_FORMAT = (TYPE = 'CSV')")

@@ -5,6 +5,7 @@ import pytest
 
 from tickforge.functions import kernels as K
 
+# Inputs and results of worked examples.
 NAN = float("nan")
 TIMES = np.array([1, 3, 4, 6, 10, 13, 14, 16, 18, 19, 22, 24, 26, 31, 33])
 VALUES = np.array([12.34, 34.54, 1.43, 14.03, 12.30, 11.54, 112.20, 14.44, 134.02, 116.34, 1234.45, 10.36, 124.21, 6.34, NAN])

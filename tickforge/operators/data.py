@@ -152,7 +152,36 @@ def show_tag_values_sql(spark, sf_dir):
 
 @query("information_schema", "SELECT column_name, column_type FROM (VALUES ('time', 'TIME'), ('user_id', 'TAG'), ('event_type', 'TAG'), ('id', 'FIELD'), ('value', 'FIELD')) AS t(column_name, column_type)")
 def information_schema(spark, sf_dir):
-    return _engine(spark, sf_dir).information_columns().select("column_name", "column_type")
+    return _engine(spark, sf_dir).sql("SELECT column_name, column_type FROM information_schema.columns WHERE table_name = 'points' ORDER BY ordinal_position")
+
+
+@query("nanosecond_points", "SELECT n, f FROM (VALUES (1, 10), (2, 20), (3, 33), (1000, 40)) AS t(n, f)")
+def nanosecond_points(spark, sf_dir):
+    """Points that differ by a nanosecond stay apart, and one at the same nanosecond replaces the other."""
+    e = Engine(spark, scratch_dir(spark), database=f"db{uuid.uuid4().hex[:8]}")
+    e.sql("CREATE TABLE fine(n BIGINT, f BIGINT)")
+    e.sql("INSERT INTO fine(time, n, f) VALUES (1, 1, 10), (2, 2, 20), (3, 3, 30), (1000, 1000, 40)")
+    e.sql("INSERT INTO fine(time, f) VALUES (3, 33)")
+    return e.sql("SELECT CAST(n AS INT) AS n, CAST(f AS INT) AS f FROM fine")
+
+
+@query("qualified_names", f"SELECT p.user_id, count(*) AS n FROM {_MERGED} AS p GROUP BY p.user_id")
+def qualified_names(spark, sf_dir):
+    """A table of another database by its full name, read by a second engine that knows it from the catalog."""
+    root, db = scratch_dir(spark), f"db{uuid.uuid4().hex[:8]}"
+    e = Engine(spark, root)
+    e.sql(f"CREATE DATABASE {db} WITH TTL 'INF' PRECISION 'us'")
+    e.sql(f"CREATE TABLE {db}.points(id BIGINT, value DOUBLE, TAGS(user_id, event_type))")
+    rows = table(spark, sf_dir, "events").select(F.col("ts").alias("time"), F.col("user_id").cast("string").alias("user_id"), "event_type", F.col("event_id").alias("id"), "value")
+    e.insert(f"{db}.points", rows)
+    return Engine(spark, root).sql(f"SELECT points.user_id, count(*) AS n FROM {db}.points GROUP BY points.user_id")
+
+
+@query("information_schema_tables", "SELECT 'points' AS table_name, 'BASE TABLE' AS table_type, 'NS' AS precision, '3d' AS ttl")
+def information_schema_tables(spark, sf_dir):
+    e = _engine(spark, sf_dir)
+    e.sql(f"ALTER DATABASE {e.database} SET TTL '3d' SHARD 6")
+    return e.sql("SELECT t.table_name, t.table_type, d.precision, d.ttl FROM information_schema.tables AS t JOIN information_schema.databases AS d ON t.table_database = d.database_name")
 
 
 @query("topk_sql", f"SELECT value, id FROM {_MERGED} ORDER BY value DESC NULLS LAST LIMIT 7")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from tickforge.functions.ticks import from_nanos
+
 TRIGGER = "6 seconds"
 
 
@@ -26,8 +28,11 @@ class StreamTable:
     event_time: str
     delay: str = "0 seconds"
     fmt: str = "parquet"
+    nanos: str | None = None  # a column of nanoseconds that stands for the event time
 
     def __post_init__(self) -> None:
+        if self.nanos is not None:
+            return
         if self.event_time not in self.schema.names:
             raise ValueError("the event-time column is not in the table")
         if self.schema[self.event_time].dataType.typeName() not in ("timestamp", "timestamp_ntz"):
@@ -36,6 +41,8 @@ class StreamTable:
     def read(self, spark: SparkSession) -> DataFrame:
         pattern = f"{self.path[:-1]}[{self.path[-1]}]"  # a pattern, as a stream takes no single file by its plain name
         stream = spark.readStream.format(self.fmt).schema(self.schema).load(pattern)
+        if self.nanos is not None:
+            stream = stream.select(from_nanos(F.col(self.nanos)).alias(self.event_time), *(c for c in self.schema.names if c != self.nanos))
         return stream.withColumn(self.event_time, F.col(self.event_time).cast("timestamp_ltz")).withWatermark(self.event_time, self.delay)
 
 
