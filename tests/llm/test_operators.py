@@ -180,6 +180,18 @@ def test_remove_repeats_edges(spark, none):
     assert {tuple(x) for x in suffix_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA), 3).drop("kept").collect()} == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("hot", [3, 200])
+def test_remove_repeats_hot_anchor(spark, monkeypatch, hot):
+    """Rules of equal signs in otherwise different documents, some of which share more."""
+    monkeypatch.setattr(suffix_dedup, "HOT_KINDS", hot)
+    r = random.Random(10)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows = [(i, f"{word()} {word()} {r.choice(['', 'one common sentence of some length stands here '])}{'=' * r.choice([16, 20, 40, 60])} {r.choice(['', 'and another one that many hold '])}{word()} {word()} {word()}", None, "", 0) for i in range(240)]
+    rows += [(500, "=" * 200, None, "", 0), (501, "=" * 49, None, "", 0), (502, "x" + "=" * 70, None, "", 0)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA), 3)
+    assert {tuple(x) for x in got.drop("kept").collect()} == brute_repeats(rows)
+
+
 # -- lines -----------------------------------------------------------------------------------
 def brute_lines(rows, window, long=200):
     seen, out = set(), {}

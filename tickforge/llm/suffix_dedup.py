@@ -15,7 +15,10 @@ document with a smaller id.  All such strings are found, on whole texts:
    pointer, pointer 16 bytes on), and those, reused, to 50-gram buckets by
    sorting on (own pointer, pointer 18 bytes on).  Buckets of one document drop
    out before the next sort.
-3. Answers.  Each group of documents learns per surroundings the smallest
+   A hot anchor (one with many different surroundings, such as a rule of equal signs) is
+   not gathered: its strings go, by 64-bit hashes and once per group of documents, to
+   buckets of their own hashes, which spread evenly.
+3. Answers.  Each group of documents learns per surroundings (or hot string) the smallest
    document that has them and which of that document's 35 strings start in a
    still smaller one, and cuts its texts.
 
@@ -50,6 +53,8 @@ _SLICE = 1 << 18
 #: Buckets per group of documents.
 _SPREAD = 4
 _LAST = np.int64(2**63 - 1)
+#: An anchor with more different surroundings in a group of documents, or in more than half as many groups, is hot.
+HOT_KINDS = 200
 
 
 def _sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -93,6 +98,22 @@ class Anchors:
         return mix(h + mix((at - low).astype(np.uint64) * np.uint64(131) + (high - at).astype(np.uint64)))
 
 
+    def strings(self) -> np.ndarray:
+        """Hashes of the 50 bytes from each position on (past the last whole string they mean nothing)."""
+        n = len(self.buf)
+        m = max(0, n - SPAN + 1)
+        return mix((self.total[SPAN:] - self.total[:m]) * self.down[:m] + np.uint64(SPAN))
+
+    def covered(self, i: np.ndarray) -> np.ndarray:
+        """Where the strings start that hold an anchor of ``i``."""
+        change = np.zeros(len(self.buf) + 2, np.int32)
+        first, last = self.low[i], np.minimum(self.at[i], self.high[i] - SPAN)
+        ok = first <= last
+        np.add.at(change, first[ok], 1)
+        np.add.at(change, last[ok] + 1, -1)
+        return np.flatnonzero(np.cumsum(change) > 0)
+
+
 def _anchored(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray, Anchors]]:
     trim()
     buf, off = text_buffers(table.column("text"))
@@ -112,16 +133,21 @@ def _named(gram: np.ndarray, buckets: int) -> np.ndarray:
 
 def _send_anchors(buckets: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        names, docs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        names, docs, kinds = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
         for _, _, ids, a in _anchored(table):
             names.append(_named(a.gram, buckets))
             docs.append(ids[a.doc])
-        name, doc = np.concatenate(names), np.concatenate(docs)
+            kinds.append(a.kinds(slice(None)))
+        name, doc, kind = np.concatenate(names), np.concatenate(docs), np.concatenate(kinds)
         order = np.argsort(name, kind="stable")
-        name, doc = name[order], doc[order]
+        name, doc, kind = name[order], doc[order], kind[order]
         start = np.flatnonzero(np.append(True, name[1:] != name[:-1])) if len(name) else np.empty(0, np.int64)
         low, high = (np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)) if len(start) else (doc, doc)
-        name = np.repeat(name[start], 1 + (low != high))  # twice: two documents here already
+        size = np.diff(np.append(start, len(name)))
+        hot = np.zeros(len(start), bool)
+        for i in np.flatnonzero((size > HOT_KINDS) & (low != high)):
+            hot[i] = len(np.unique(kind[start[i] : start[i] + size[i]])) > HOT_KINDS
+        name = np.repeat(name[start], 1 + (low != high) + hot)  # twice: two documents here already; three times: hot
         full, edge = runs(name >> np.uint64(32))
         blobs = [name[i:j].astype(np.uint32).tobytes() for i, j in zip(edge[:-1], edge[1:])]
         return pa.table([pa.array(full.astype(np.int32)), pa.array([key[0].as_py()] * len(full), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "g", "blob"])
@@ -132,13 +158,24 @@ def _send_anchors(buckets: int):
 def _repeated_anchors(table: pa.Table) -> pa.Table:
     parts = [np.frombuffer(b.as_py(), np.uint32) for b in table.column("blob")]
     every = np.sort(np.concatenate(parts))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    out = []
+    twice, count = np.unique(every, return_counts=True)
+    many = count > HOT_KINDS
+    for p in parts:  # sorted, three times is hot
+        many |= np.isin(twice, p[2:][p[2:] == p[:-2]])
+    twice, many = twice[count > 1], many[count > 1]
+    out: list[list[bytes]] = [[], []]
     for p in parts:
         p = np.unique(p)
         k = np.minimum(np.searchsorted(twice, p), max(0, len(twice) - 1))
-        out.append(p[twice[k] == p].tobytes() if len(twice) else b"")
-    return pa.table([table.column("g"), table.column("bucket"), pa.array(out, pa.binary())], names=["g", "bucket", "blob"])
+        known = twice[k] == p if len(twice) else np.zeros(len(p), bool)
+        for hot in (0, 1):
+            out[hot].append(p[known & (many[k] == bool(hot))].tobytes() if len(twice) else b"")
+    g, bucket = table.column("g").combine_chunks(), table.column("bucket").combine_chunks()
+    keep = [i for i, x in enumerate(out[1]) if x]
+    return pa.table(
+        [pa.concat_arrays([g, g.take(pa.array(keep, pa.int64()))]), pa.concat_arrays([bucket, bucket.take(pa.array(keep, pa.int64()))]), pa.array([*out[0], *(out[1][i] for i in keep)], pa.binary()), pa.array([False] * len(g) + [True] * len(keep))],
+        names=["g", "bucket", "blob", "hot"],
+    )
 
 
 def _squeezed(text: np.ndarray) -> bytes:
@@ -147,10 +184,21 @@ def _squeezed(text: np.ndarray) -> bytes:
 
 def _send_surroundings(buckets: int):
     def run(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
-        active = np.sort(np.concatenate([np.empty(0, np.uint64), *((np.uint64(b) << np.uint64(32)) | np.frombuffer(x.as_py(), np.uint32).astype(np.uint64) for b, x in zip(answer.column("bucket").to_pylist(), answer.column("blob")))]))
+        named = [(h, (np.uint64(b) << np.uint64(32)) | np.frombuffer(x.as_py(), np.uint32).astype(np.uint64)) for b, x, h in zip(answer.column("bucket").to_pylist(), answer.column("blob"), answer.column("hot").to_pylist())]
+        active, hot = (np.sort(np.concatenate([np.empty(0, np.uint64), *(x for h, x in named if h == want)])) for want in (False, True))
         got: list[tuple[np.ndarray, ...]] = []
-        for _, _, ids, a in _anchored(table) if len(active) else ():
+        strings = [np.empty(0, np.uint64)]
+        holders = [np.empty(0, np.int64)]
+        for _, _, ids, a in _anchored(table) if len(active) + len(hot) else ():
             name = _named(a.gram, buckets)
+            if len(hot):
+                k = np.minimum(np.searchsorted(hot, name), len(hot) - 1)
+                if len(pick := np.flatnonzero(hot[k] == name)):
+                    at = a.covered(pick)
+                    strings.append(a.strings()[at])
+                    holders.append(ids[np.searchsorted(a.off, at, side="right") - 1])
+            if not len(active):
+                continue
             k = np.minimum(np.searchsorted(active, name), len(active) - 1)
             pick = np.flatnonzero(active[k] == name)
             kind, doc = a.kinds(pick), ids[a.doc[pick]]
@@ -168,8 +216,9 @@ def _send_surroundings(buckets: int):
             text[clipped] *= (place >= a.low[pick[clipped], None]) & (place < a.high[pick[clipped], None])
             edges = np.stack([a.at[pick] - a.low[pick], a.high[pick] - a.at[pick]], axis=1).astype(np.uint8)
             got.append((kind, doc, a.gram[pick], one, edges, text))
+        packed = [_hot_rows(key[0].as_py(), np.concatenate(strings), np.concatenate(holders), buckets)]
         if not got:
-            return pa.table([pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.binary())], names=["bucket", "g", "blob"])
+            return packed[0]
         kind, doc, gram, one, edges, text = (np.concatenate(x) for x in zip(*got))
         order = np.lexsort((doc, kind, gram))  # ascends with the buckets; equal anchors side by side compress well
         kind, doc, bucket, one = kind[order], doc[order], _bucket(gram[order], buckets), one[order]
@@ -183,11 +232,45 @@ def _send_surroundings(buckets: int):
             part = slice(i, j)
             head = b"".join(x[part].tobytes() for x in (kind, doc, one.astype(np.uint8), edges))
             blobs.append(np.int64(j - i).tobytes() + head + _squeezed(text[part]))
-        return pa.table([pa.array(full.astype(np.int32)), pa.array([key[0].as_py()] * len(full), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "g", "blob"])
+        packed.append(pa.table([pa.array(full.astype(np.int32)), pa.array([key[0].as_py()] * len(full), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "g", "blob"]))
+        return pa.concat_tables(packed)
 
     return run
 
 
+def _hot_rows(g: int, string: np.ndarray, doc: np.ndarray, buckets: int) -> pa.Table:
+    """A group's hot strings, once each with their smallest document, by buckets of their hashes (numbered from -1 down)."""
+    order = np.lexsort((doc, string))
+    string, doc = string[order], doc[order]
+    start = np.flatnonzero(np.append(True, string[1:] != string[:-1])) if len(string) else np.empty(0, np.int64)
+    one = (doc[start] == np.maximum.reduceat(doc, start)).astype(np.uint8) if len(start) else np.empty(0, np.uint8)
+    string, doc = string[start], doc[start]
+    full, cut = runs(_bucket(string, buckets))
+    blobs = [string[i:j].tobytes() + doc[i:j].tobytes() + one[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])]
+    return pa.table([pa.array(-1 - full.astype(np.int64)).cast(pa.int32()), pa.array([g] * len(full), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "g", "blob"])
+
+
+def _hot_answers(table: pa.Table) -> pa.Table:
+    """Per group the hot strings that a smaller document has than some of its own, with that document."""
+    parts = []
+    for b in table.column("blob"):
+        b = b.as_py()
+        n = len(b) // 17
+        parts.append((np.frombuffer(b, np.uint64, n), np.frombuffer(b, np.int64, n, 8 * n), np.frombuffer(b, np.uint8, n, 16 * n)))
+    string, doc = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    order = np.lexsort((doc, string))
+    start = np.flatnonzero(np.append(True, string[order][1:] != string[order][:-1]))
+    least = np.empty(len(string), np.int64)
+    least[order] = np.repeat(doc[order][start], np.diff(np.append(start, len(string))))
+    out, a = [], 0
+    for s, d, one in parts:
+        mine = least[a : a + len(s)]
+        useful = (mine != d) | (one == 0)
+        out.append(s[useful].tobytes() + mine[useful].tobytes())
+        a += len(s)
+    return pa.table([table.column("g"), pa.array(out, pa.binary()), pa.array([True] * len(out))], names=["g", "blob", "hot"])
+
+
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     n = int(np.frombuffer(blob, np.int64, 1)[0])
     at = np.cumsum([8, 8 * n, 8 * n, n, 2 * n])
@@ -247,8 +330,10 @@ def earlier_strings(doc: np.ndarray, edges: np.ndarray, text: np.ndarray) -> np.
     return bits
 
 
-def _answers(table: pa.Table) -> pa.Table:
+def _answers(key: tuple, table: pa.Table) -> pa.Table:
     trim()
+    if key[0].as_py() < 0:
+        return _hot_answers(table)
     groups = table.column("g").to_pylist()
     parts = [_unpack(b.as_py()) for b in table.column("blob")]
     kind, doc, one = (np.concatenate([p[i] for p in parts]) for i in range(3))
@@ -267,11 +352,17 @@ def _answers(table: pa.Table) -> pa.Table:
         mine = np.flatnonzero((owner == i) & useful) if len(groups) < 4 else np.flatnonzero(useful[(s := slice(*np.searchsorted(owner, [i, i + 1])))]) + s.start
         w = which[mine]
         out.append(kind[mine].tobytes() + doc[first][w].tobytes() + bits[w].tobytes())
-    return pa.table([pa.array(groups, pa.int32()), pa.array(out, pa.binary())], names=["g", "blob"])
+    return pa.table([pa.array(groups, pa.int32()), pa.array(out, pa.binary()), pa.array([False] * len(out))], names=["g", "blob", "hot"])
 
 
 def _cut(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
-    parts = [np.frombuffer(x.as_py(), np.uint64).reshape(3, -1) for x in answer.column("blob")]
+    told = list(zip(answer.column("hot").to_pylist(), answer.column("blob")))
+    string, holder = (np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(x.as_py(), np.uint64).reshape(2, -1)[i] for h, x in told if h)]) for i in range(2))
+    order = np.argsort(string)
+    string, holder = string[order], holder[order].view(np.int64)
+    sieve = np.zeros(1 << 22, bool)
+    sieve[string & np.uint64((1 << 22) - 1)] = True
+    parts = [np.frombuffer(x.as_py(), np.uint64).reshape(3, -1) for h, x in told if not h]
     kind, least, bits = (np.concatenate([np.empty(0, np.uint64), *(p[i] for p in parts)]) for i in range(3))
     order = np.argsort(kind)
     kind, least, bits = kind[order], least[order].view(np.int64), bits[order]
@@ -292,6 +383,14 @@ def _cut(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
                 s = a.at[hit[own]][(bits[k[own]] >> np.uint64(b)) & np.uint64(1) == 1] - REACH + b
                 np.add.at(change, s, 1)
                 np.add.at(change, s + SPAN, -1)
+        if len(string) and len(a.buf) >= SPAN:
+            h = a.strings()
+            at = np.flatnonzero(sieve[h & np.uint64((1 << 22) - 1)])
+            k = np.minimum(np.searchsorted(string, h[at]), len(string) - 1)
+            d = np.searchsorted(a.off, at, side="right") - 1
+            gone = (string[k] == h[at]) & (at + SPAN <= a.off[d + 1]) & (ids[d] > holder[k])
+            np.add.at(change, at[gone], 1)
+            np.add.at(change, at[gone] + SPAN, -1)
         drop = np.cumsum(change[:-1]) > 0
         edge = drop.copy()
         edge[1:] &= ~drop[:-1]
@@ -315,7 +414,7 @@ def remove_repeats(docs: DataFrame, groups: int | None = None) -> DataFrame:
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("g", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(groups)).cast("int"))
     by_group = lambda: dealt.groupBy("g")
     anchors = by_group().applyInArrow(_send_anchors(groups * _SPREAD), _BLOB)
-    active = anchors.groupBy("bucket").applyInArrow(_repeated_anchors, "g int, bucket int, blob binary")
+    active = anchors.groupBy("bucket").applyInArrow(_repeated_anchors, "g int, bucket int, blob binary, hot boolean")
     around = by_group().cogroup(active.groupBy("g")).applyInArrow(_send_surroundings(groups * _SPREAD), _BLOB)
-    answers = around.groupBy("bucket").applyInArrow(_answers, "g int, blob binary")
+    answers = around.groupBy("bucket").applyInArrow(_answers, "g int, blob binary, hot boolean")
     return by_group().cogroup(answers.groupBy("g")).applyInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
