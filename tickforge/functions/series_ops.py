@@ -1,8 +1,9 @@
 """Kernels applied per series: data-quality scores, time and value repair, value filling.
 
-Each series (the rows of one key) is one group, since these algorithms follow the
-order of a whole series; key by the tags that identify a series.  The fills and
-``validity`` that Spark can express are window expressions and have no such bound.
+Each series (the rows of one key) is one group where an algorithm follows the
+order of a whole series; key by the tags that identify a series.  The fills
+``mean``, ``previous`` and ``linear``, and :func:`validity`, are window expressions and
+aggregations and have no such bound.
 """
 
 from __future__ import annotations
@@ -51,6 +52,42 @@ def data_quality(df: DataFrame, keys: list[str], time: str, value: str, ticks: b
     return points.groupBy(*(keys or ["__all"])).applyInPandas(score, _keys_ddl(df, keys) + "completeness double, consistency double, timeliness double, validity double")
 
 
+def validity(df: DataFrame, keys: list[str], time: str, value: str, ticks: bool = False) -> DataFrame:
+    """The validity score per series, by windows and medians; rows without a value are left out.
+
+    A quarter of the share of outliers (further than three scaled median deviations from the median)
+    among values, steps, speeds and changes of speed is taken from 1.  Values that are not finite
+    are replaced on the line through their neighbours; a series without two finite values has the score NULL.
+    """
+    key = keys or ["__all"]
+    p = _points(df, keys, time, value, ticks).where("v is not null")
+    order = Window.partitionBy(*key).orderBy("t", "v")
+    # the two finite points that the line goes through: one on each side, or beyond the ends the two nearest
+    good = F.when(~F.isnan("v") & (F.abs("v") != float("inf")), F.struct("t", "v"))
+    p = p.withColumn("g", good)
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    finite = F.count("g").over(Window.partitionBy(*key))
+    p = p.withColumns({"a": F.last("g", True).over(before), "b": F.first("g", True).over(after), "n": F.count("*").over(Window.partitionBy(*key)), "finite": finite})
+    p = p.withColumns({"a2": F.last(F.when(F.col("g").isNotNull(), F.col("a")), True).over(before), "b2": F.first(F.when(F.col("g").isNotNull(), F.col("b")), True).over(after)})
+    one, two = F.coalesce(F.when(F.col("b").isNull(), F.col("a2")).otherwise(F.col("a")), F.col("b")), F.when(F.col("a").isNull(), F.col("b2")).otherwise(F.coalesce("b", "a"))
+    line = one["v"] + (two["v"] - one["v"]) * ((F.col("t") - one["t"]) / (two["t"] - one["t"]))
+    p = p.where("finite >= 2").select(*key, "t", "n", F.when(F.col("g").isNotNull(), F.col("v")).otherwise(line).alias("v"))
+    order = Window.partitionBy(*key).orderBy("t", "v")
+    p = p.withColumns({"dv": F.col("v") - F.lag("v").over(order), "dt": F.col("t") - F.lag("t").over(order)})
+    p = p.withColumn("sp", F.when(F.col("dt") != 0, F.col("dv") / F.col("dt")))
+    p = p.withColumn("ds", F.col("sp") - F.lag("sp").over(order))
+    kinds = F.array(*(F.struct(F.lit(i).alias("kind"), F.col(c).alias("x")) for i, c in enumerate(("v", "dv", "sp", "ds"))))
+    long = p.select(*key, "n", F.explode(kinds).alias("m")).select(*key, "n", "m.*").where("x is not null")
+    # medians per series and kind: two aggregations, joined back by series
+    middle = long.groupBy(*key, "kind").agg(F.median("x").alias("mid"), F.first("n").alias("n"))
+    away = long.drop("n").join(middle, [*key, "kind"]).withColumn("away", F.abs(F.col("x") - F.col("mid")))
+    spread = away.groupBy(*key, "kind").agg(F.median("away").alias("mad"))
+    bad = away.join(spread, [*key, "kind"]).groupBy(*key).agg(F.sum(F.when(F.col("away") > 3.0 * K.MAD_FACTOR * F.col("mad"), 1).otherwise(0)).alias("bad"), F.first("n").alias("n"))
+    scores = bad.select(*key, (1.0 - 0.25 * F.col("bad") / F.col("n")).alias("validity"))
+    every = _points(df, keys, time, value, ticks).where("v is not null").select(*key).distinct()
+    return every.join(scores, key, "left").select(*keys, "validity")
+
+
 def _generated(df: DataFrame, keys: list[str], time: str, value: str, ticks: bool, work) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t", kind="stable")

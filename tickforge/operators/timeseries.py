@@ -138,13 +138,12 @@ def _outliers(of: str, rows: str) -> str:
 
 @query(
     "quality_validity",
-    "WITH p AS (SELECT user_id, epoch_us(ts)::DOUBLE AS t, value AS v, lag(value) OVER w AS pv, lag(epoch_us(ts)) OVER w AS pt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, v - pv AS dv, (v - pv) / (t - pt) AS sp FROM p), q AS (SELECT *, sp - lag(sp) OVER (PARTITION BY user_id ORDER BY t) AS ds FROM s), c AS (SELECT user_id AS k, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 2) "
-    f"SELECT c.k AS user_id, round(1 - 0.25 * (a.n + b.n + d.n + e.n) / c.n, 9) AS validity FROM c JOIN {_outliers('v', 'q')} a ON a.k = c.k JOIN {_outliers('dv', 'q')} b ON b.k = c.k JOIN {_outliers('sp', 'q')} d ON d.k = c.k JOIN {_outliers('ds', 'q')} e ON e.k = c.k",
+    "WITH p AS (SELECT user_id, epoch_us(ts)::DOUBLE AS t, value AS v, lag(value) OVER w AS pv, lag(epoch_us(ts)) OVER w AS pt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, v - pv AS dv, (v - pv) / (t - pt) AS sp FROM p), q AS (SELECT *, sp - lag(sp) OVER (PARTITION BY user_id ORDER BY t) AS ds FROM s), c AS (SELECT user_id AS k, count(*) AS n FROM events GROUP BY user_id) "
+    f"SELECT c.k AS user_id, CASE WHEN c.n > 1 THEN round(1 - 0.25 * (a.n + b.n + d.n + coalesce(e.n, 0)) / c.n, 9) END AS validity FROM c LEFT JOIN {_outliers('v', 'q')} a ON a.k = c.k LEFT JOIN {_outliers('dv', 'q')} b ON b.k = c.k LEFT JOIN {_outliers('sp', 'q')} d ON d.k = c.k LEFT JOIN {_outliers('ds', 'q')} e ON e.k = c.k",
 )
 def quality_validity(spark, sf_dir):
     e = _events(spark, sf_dir)
-    long = e.groupBy("user_id").count().where("count > 2").select("user_id")
-    return series_ops.data_quality(e.join(long, "user_id", "left_semi"), ["user_id"], "ts", "value").select("user_id", F.round("validity", 9).alias("validity"))
+    return series_ops.validity(e, ["user_id"], "ts", "value").select("user_id", F.round("validity", 9).alias("validity"))
 
 
 @query("quality_scores")
@@ -198,6 +197,59 @@ def value_repair_greedy(spark, sf_dir):
     return series_ops.value_repair(_events(spark, sf_dir), ["user_id"], "ts", "value", "method=lsgreedy")
 
 
+# Worked examples of the dialect, series and results.
+_FILL = "(VALUES (2, NULL), (3, 101.0), (4, 102.0), (6, 104.0), (8, 126.0), (10, 108.0), (14, NULL), (15, 113.0), (16, 114.0), (18, 116.0), (20, NULL), (22, NULL), (26, 124.0), (28, 126.0), (30, 128.0)) AS s(t, v)"
+_GRID = "(VALUES (0, 1.0), (10, 2.0), (19, 3.0), (30, 4.0), (40, 5.0), (50, 6.0), (61, 7.0), (71, 8.0), (81, 9.0), (91, 10.0)) AS s(t, v)"
+_SCORED = "(VALUES (1, 12.34), (3, 34.54), (4, 1.43), (6, 14.03), (10, 12.30), (13, 11.54), (14, 112.20), (16, 14.44), (18, 134.02), (19, 116.34), (22, 1234.45), (24, 10.36), (26, 124.21), (31, 6.34), (33, CAST('NaN' AS DOUBLE))) AS s(t, v)"
+_AR = {2: 114.72727273, 14: 110.81413694, 20: 117.33359859, 22: 118.42039170}
+_MA = {2: 102.33333333, 14: 108.2, 20: 110.5, 22: 110.5}
+
+
+def _series(spark, values: str, nanos: bool = False):
+    return spark.sql(f"SELECT CAST(t AS BIGINT){' * 1000000000' if nanos else ''} AS t, CAST(v AS DOUBLE) AS v FROM {values}")
+
+
+def _filled(known: dict[int, float]) -> str:
+    cases = " ".join(f"WHEN t = {t} THEN {v}::DOUBLE" for t, v in known.items())
+    return f"SELECT t::BIGINT AS t, CASE {cases} ELSE v::DOUBLE END AS v FROM {_FILL}"
+
+
+@query("quality_worked", "SELECT 0.823529412::DOUBLE AS completeness, 0.866666667::DOUBLE AS consistency, 0.933333333::DOUBLE AS timeliness, 0.8::DOUBLE AS validity, 0.8::DOUBLE AS by_windows")
+def quality_worked(spark, sf_dir):
+    s = _series(spark, _SCORED)
+    scores = series_ops.data_quality(s, [], "t", "v", ticks=True).select(*(F.round(c, 9).alias(c) for c in series_ops.QUALITY))
+    return scores.withColumn("by_windows", series_ops.validity(s, [], "t", "v", ticks=True).select(F.round("validity", 9)).scalar())
+
+
+@query("value_fill_ar_worked", _filled(_AR))
+def value_fill_ar_worked(spark, sf_dir):
+    return series_ops.value_fill(_series(spark, _FILL), [], "t", "v", "method=AR", ticks=True).select(F.col("time").alias("t"), F.round("value", 8).alias("v"))
+
+
+@query("value_fill_ma_worked", _filled(_MA))
+def value_fill_ma_worked(spark, sf_dir):
+    return series_ops.value_fill(_series(spark, _FILL), [], "t", "v", "method=MA", ticks=True).select(F.col("time").alias("t"), F.round("value", 8).alias("v"))
+
+
+@query("timestamp_repair_worked", "SELECT (10 * i)::BIGINT AS t, CASE WHEN i < 10 THEN i + 1.0::DOUBLE END AS v FROM range(11) AS r(i)")
+def timestamp_repair_worked(spark, sf_dir):
+    out = series_ops.timestamp_repair(_series(spark, _GRID, nanos=True), [], "t", "v", ticks=True, ticks_per_ms=1_000_000)
+    return out.select((F.col("time") / 1_000_000_000).cast("long").alias("t"), F.nanvl("value", F.lit(None).cast("double")).alias("v"))
+
+
+_REPAIRED = "SELECT t::BIGINT AS t, (98 + t)::DOUBLE AS v FROM " + _FILL
+
+
+@query("value_repair_screen_worked", _REPAIRED)
+def value_repair_screen_worked(spark, sf_dir):
+    return series_ops.value_repair(_series(spark, _FILL), [], "t", "v", "method=screen", ticks=True).select(F.col("time").alias("t"), F.round("value", 8).alias("v"))
+
+
+@query("value_repair_greedy_worked", _REPAIRED)
+def value_repair_greedy_worked(spark, sf_dir):
+    return series_ops.value_repair(_series(spark, _FILL), [], "t", "v", "method=lsgreedy", ticks=True).select(F.col("time").alias("t"), F.round("value", 8).alias("v"))
+
+
 @query("weighted_percentile", "WITH r AS (SELECT event_type, value, sum(user_id) OVER (PARTITION BY event_type ORDER BY value) AS run, sum(user_id) OVER (PARTITION BY event_type) AS total FROM events WHERE user_id > 0) SELECT event_type, min(value) AS percentile FROM r WHERE run >= total * 0.9 GROUP BY event_type")
 def weighted_percentile(spark, sf_dir):
     return series_ops.weighted_percentile(_events(spark, sf_dir), ["event_type"], "value", "user_id", 0.9)
