@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.accumulators import AccumulatorParam
 
 from tickforge.llm import _common, decontaminate, langid, line_dedup, lm_score, packing, parity_join, secrets, suffix_dedup, token_store, tokens, topk_inner
@@ -634,3 +635,98 @@ def test_decontamination_of_short_and_dense_items(spark):
     assert set(_found(spark, short, "He asked: what is the capital of France? Paris.", "the capital of trade is what it is", "")) == {0}
     dense = "Solve 3 x + 4 y = 12 and 5 x - 2 y = 7"
     assert set(_found(spark, dense, "Now " + dense.lower() + " for me", "Solve 8 x + 1 y = 2 and 3 x - 9 y = 4")) == {0}
+
+
+def _canonical(text):
+    """The three forms of a text, by a scan of its own over the tokens."""
+    units = {u.lower() for u in decontaminate.UNITS}
+    words, tokens, named, first = [], [], [], True
+    for m in regex.finditer(r"([.!?\n][^\p{L}\p{N}]*)?([0-9]+(?:[.,:/][0-9]+)*|\p{L}+(?:['’]\p{L}+)*)", text):
+        if m.start(2) < (words[-1][1] if words else 0):  # a unit that its number has taken
+            continue
+        word, end, number = m[2], m.end(2), m[2][0] in "0123456789"
+        if number:
+            tail = regex.match(r"(\s?)(%|°|€|\$|£|\p{L}+/?\p{L}*)", text[end:])
+            kind = "<num>"
+            if tail:
+                best = max((u for u in units if text[end + len(tail[1]) :].lower().startswith(u) and not regex.match(r"[\p{L}\p{N}]", text[end + len(tail[1]) + len(u) :][:1] or " ")), key=len, default="")
+                best = tail[2] if tail[2] in "%°€$£" else best
+                if best:
+                    word, end, kind = text[m.start(2) : end + len(tail[1]) + len(best)], end + len(tail[1]) + len(best), "<qty>"
+            token = name = kind
+        else:
+            capital = len(word) > 1 and word[0] != word[0].lower() and word[1:] == word[1:].lower()
+            token = "<name>" if capital and not first and not m[1] else word.lower()
+            name = "<name>" if capital else token
+        words.append((word.lower(), end))
+        tokens.append(token)
+        named.append(name)
+        first = False
+    return [w for w, _ in words], tokens, named
+
+
+def brute_contaminated(docs, items, window=8, literals=5, run=13, share=0.5):
+    out = set()
+    for item, text in set(items):
+        forms = _canonical(text or "")
+        n = len(forms[0])
+        w = min(n, window)
+        for doc, body in set(docs):
+            own = _canonical(body or "")
+            diagonals = collections.defaultdict(dict)
+            for at in range(n - w + 1) if n else ():
+                a = [tuple(f[at : at + w]) for f in forms]
+                plain = [sum(not t.startswith("<") for t in x) for x in a]
+                chosen = {a[0]} | ({a[1]} if plain[1] >= literals else set()) | ({a[2]} if plain[1] >= literals and plain[2] >= literals - 1 else set())
+                for p in range(len(own[0]) - w + 1):
+                    if chosen & {tuple(f[p : p + w]) for f in own}:
+                        slots = {(forms[0][at + i], own[0][p + i]) for i in range(w) if forms[1][at + i].startswith("<") or forms[0][at + i] != own[0][p + i]}
+                        if len({x for x, _ in slots}) == len(slots):
+                            diagonals[p - at][at] = slots
+            covered, whole, longest, slots = set(), set(), 0, set()
+            for found in diagonals.values():
+                every = set().union(*found.values())
+                slots |= every
+                covered |= {i for at in found for i in range(at, at + w)}
+                if len({x for x, _ in every}) == len(every):
+                    whole |= set(found)
+                    continue
+                ats = sorted(found)
+                for i, j in itertools.combinations_with_replacement(range(len(ats)), 2):
+                    joint = set().union(*(found[x] for x in ats[i : j + 1]))
+                    if all(y - x <= w for x, y in zip(ats[i:j], ats[i + 1 : j + 1])) and len({x for x, _ in joint}) == len(joint):
+                        longest = max(longest, ats[j] + w - ats[i])
+            start = None
+            for at in sorted(whole):
+                start = at if start is None or at - before > w else start
+                before = at
+                longest = max(longest, at + w - start)
+            if covered and (longest >= run or len(covered) >= share * n):
+                out.add((doc, item, n, len(covered), longest, len(slots), sum(x != y for x, y in slots)))
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [0, decontaminate.BROADCAST_WINDOWS])
+def test_decontamination_equals_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
+    r = random.Random(21)
+    items = [(1, ITEM), (2, "What is the capital of France?"), (3, "Solve 3 x + 4 y = 12 and 5 x - 2 y = 7"), (4, "Tom has 5 apples. Ann has 7 pears. Bob has 9 plums. How many pieces of fruit have they?"), (5, None), (6, ""), (1, ITEM), (7, "The mill wheel turns 12.5 times a minute, how often does it turn in 3 hours and 20 min of work?")]
+    names, docs = ["Olga", "Hans", "Maria", "Peter", "Ann", "Tom"], []
+    for i in range(150):
+        text = r.choice([t for _, t in items if t])
+        for old in regex.findall(r"[0-9]+", text) if r.random() < 0.6 else ():
+            text = text.replace(old, str(r.randint(2, 99)), r.choice([1, -1]))
+        for old in names if r.random() < 0.5 else ():
+            text = text.replace(old, r.choice(names), r.choice([1, -1]))
+        w = text.split(" ")
+        for _ in range(r.choice([0, 0, 1, 2])):
+            w[r.randrange(len(w))] = r.choice(["stone", "Stone", "7", "km", "old.", "of"])
+        cut = r.randrange(len(w)) if r.random() < 0.3 else 0
+        docs.append((i, " ".join(["Well then.", *w[cut:], *r.choice([[], ["and", "so", "on"], text.split(" ")])])))
+    docs += [(900, None), (901, ""), (902, "one"), (None, ITEM), (8, ITEM), (8, ITEM)]
+    df = spark.createDataFrame([(d, t, None, "", 0) for d, t in docs], SCHEMA)
+    bench = spark.createDataFrame([(i, t, 5, "h", "words") for i, t in items], "item_id long, text string, pos int, h string, words string")  # columns that clash with inner names
+    got = {(x.doc_id, x.item_id, x.n_item_tokens, x.n_covered, x.longest_run, x.n_slots, x.n_changed) for x in decontaminate.contaminated(df, bench).collect()}
+    wanted = brute_contaminated(docs, items)
+    assert got == wanted, (sorted(got - wanted, key=str)[:3], sorted(wanted - got, key=str)[:3])
+    assert 40 < len(got) < 300

@@ -12,7 +12,8 @@ however many numbers they hold; the second needs ``literals`` words that are no
 placeholders, the third one less of its own.  An item of fewer than ``window`` tokens is one window,
 found as a whole under the same rules.  The benchmark's windows are joined with those of
 every text.  The benchmark side is broadcast only if it has at most
-``BROADCAST_WINDOWS`` windows (counted first); else the join shuffles.
+``BROADCAST_WINDOWS`` windows (counted first); else hashes and places alone are shuffled, and
+the words of the texts that were hit are fetched after it.
 
 Slots.  Windows of one text and item on one diagonal (equal distance of places)
 must map slot values consistently: a value of the item always to the same value of
@@ -129,7 +130,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
     # windows at the end of a text are shorter and then match at most short items; the outer form below keeps the
     # optimizer from computing the hashes twice, for a filter and for the rows
     hashes = F.when(F.size("words") > 0, F.concat(*(_hashes(f"h_{form}", size) for size in sizes for form in FORMS)))
-    found = _token_hashes(template(texts).drop("text")).withColumn("hashes", hashes).select("doc_id", "text_hash", "words", F.posexplode_outer("hashes").alias("pos", "h"))
+    parsed = _token_hashes(template(texts).drop("text"))
+    found = parsed.withColumn("hashes", hashes).select("doc_id", "text_hash", "words", F.posexplode_outer("hashes").alias("pos", "h"))
+    if not few:
+        hit = found.drop("words").join(side.select("h").distinct(), "h")
+        same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
+        found = hit.join(parsed.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "words").dropDuplicates(["__id", "__hash"]), same)
     place = F.col("pos") % F.size("words")
     zipped = F.zip_with("item_values", F.slice("words", place + 1, F.col("w")), lambda a, b: F.struct(a["a"].alias("a"), b.alias("b"), (a["slot"] | (a["a"] != b)).alias("slot")))
     pairs = F.array_distinct(F.transform(F.filter(zipped, lambda p: p["slot"]), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"))))
