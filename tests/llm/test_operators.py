@@ -388,6 +388,35 @@ def test_token_store(spark, docs, rows, none, tmp_path):
     assert "doc_id" in part._jdf.queryExecution().executedPlan().toString() and part.count() == 1
 
 
+def test_token_files_hold_indexes_filters_and_runs(spark, none, tmp_path):
+    """ORC footers: row indexes, Bloom filters on the id, integer run-length encoding; a filter on the id reads few rows."""
+    r = random.Random(2)
+    rows = [(i * 7, " ".join(r.choice(["alpha", "beta", "gamma"]) for _ in range(r.randint(0, 30))), None, "", 0) for i in range(6000)]
+    path = f"file://{tmp_path}/orc"
+    token_store.write_tokens(spark.createDataFrame(rows + rows[:3], SCHEMA), path, tokens.public_file("word_bpe_49k.json"), stripe_bytes=1 << 16, row_index_stride=1000, rows_per_file=3001)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files = sorted(tmp_path.glob("orc/*.orc"))
+    assert len(files) == 3
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(f)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000 and reader.getStripes().size() >= 1
+        read = reader.rows()
+        every = spark.sparkContext._gateway.new_array(jvm.boolean, 6)
+        for k in range(6):
+            every[k] = True
+        index = read.readRowIndex(0, every, every)
+        assert index.getBloomFilterIndex()[1] is not None and index.getBloomFilterIndex()[2] is None and index.getRowGroupIndex()[1].getEntryCount() >= 1
+        kinds = [str(c.getKind()) for c in read.readStripeFooter(reader.getStripes()[0]).getColumnsList()]
+        assert kinds[1] == kinds[3] == "DIRECT_V2" and kinds[5] in ("DIRECT_V2", "DICTIONARY_V2")
+    one = spark.read.orc(path).where("doc_id = 28000")
+    assert len(one.collect()) == 1
+    scan = one._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().get("numOutputRows").get().value() <= 2000
+    digest = token_store.token_digest(token_store.read_tokens(spark, path)).collect()
+    assert len(digest) == 6003 and len([d for d in digest if d.doc_id == 0]) == 2
+    assert sum(d.n_tokens for d in digest) == max(d.start + d.n_tokens for d in digest)
+
+
 # -- secrets ------------------------------------------------------------------------------------------
 def test_base_spans():
     text = 'API_Key: "abcdefgh1" token=short secret = abc password:x12345678 AKIAABCDEFGHIJKL12 AKIAX ' + "0" * 31 + "g" + "a1" * 16

@@ -24,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickforge.llm._common import shared_dir, trim
+from tickforge.llm._common import shared_dir, trim, written
 from tickforge.llm.tokens import encoder, public_file
 
 _STORED = "doc_id long, part int, local_start long, ids array<int>"
-ROWS_PER_FILE = 20_000
+#: A file holds about so many rows, or fewer if their texts are long.
+ROWS_PER_FILE, BYTES_PER_FILE = 20_000, 64 << 20
+#: Up to so many files their starts (16 bytes each) are broadcast; beyond, the join shuffles.
+BROADCAST_FILES = 1_000_000
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 1, stripe_bytes: int = 16 << 20, row_index_stride: int = 1000, rows_per_file: int = ROWS_PER_FILE) -> None:
@@ -49,7 +52,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
         trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    files = max(1, -(-docs.count() // rows_per_file))
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    files = max(1, -(-size.n // rows_per_file), -(-(size.bytes or 0) // BYTES_PER_FILE))
     runs = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
     (
         runs.mapInArrow(encode, _STORED)
@@ -69,10 +73,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     A filter on ``doc_id`` reaches the file statistics, row indexes and Bloom filters.
     """
     stored = spark.read.schema(_STORED).orc(path)
-    totals = stored.groupBy("part").agg(F.max(F.col("local_start") + F.size("ids")).alias("n"))
+    totals = written(stored.groupBy("part").agg(F.max(F.col("local_start") + F.size("ids")).alias("n")), "starts")
     before = totals.select("part", (F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("base"))
-    # one row per file, a few dozen bytes each: its size is bounded by the number of files
-    return stored.join(F.broadcast(before), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "ids")
+    few = totals.count() <= BROADCAST_FILES  # one row per file
+    return stored.join(F.broadcast(before) if few else before, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "ids")
 
 
 def token_digest(tokens: DataFrame) -> DataFrame:
