@@ -30,6 +30,40 @@ def test_pipeline(spark, tmp_path):
     assert {(r.doc_id, r.piece, r.length, r.ids_crc32) for r in whole.collect()} == {(r[0], r[1], r[3], r[4]) for r in packed}
 
 
+CLASHES = ["lang_pred", "score", "n_removed", "n_lines", "counts", "doc", "sub", "row", "text_hash", "bucket", "component_id", "n_shingles", "h", "g", "item_id", "row_id", "piece", "start", "__h", "__id", "x"]
+
+
+def test_stages_with_awkward_tables(spark, tmp_path):
+    """Columns named like inner ones, null and repeated ids, repeated rows, null and empty texts, in every stage."""
+    base = corpus(seed=6, n=30)
+    rows = [(d, t, lang, "s", len(t or ""), *[f"c{k}" for k in range(len(CLASHES))]) for d, t, lang, *_ in base]
+    again = [rows[0], rows[0], (rows[1][0], "another text that stands under an id twice, quite unlike the first one", *rows[1][2:]), *[(None, *r[1:]) for r in rows[2:4]], (None, None, *rows[0][2:])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    spark.createDataFrame(rows + again, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, ITEM, "a", "b"), (1, ITEM, "a", "b"), (None, None, None, None)], "item_id long, text string, h string, words string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    given = {tuple(r)[5:] for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.schema == docs.schema, name
+        found = out.collect()
+        assert {tuple(r)[5:] for r in found} <= given and 5 < len(found) <= docs.count(), name
+        docs = spark.createDataFrame(found, docs.schema)
+    texts = [r.text for r in found]
+    assert len(texts) == len(set(texts)) and any("stands under an id twice" in t for t in texts)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in packed if r.piece == 0) == sorted(str(r.doc_id) for r in found)
+
+
+def test_stages_with_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    rows = [r for r in corpus(seed=7, n=12) if r[1]]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).count() == len(rows)
+
+
 def test_registered_queries():
     import __spark_entry__ as entry
 

@@ -172,6 +172,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
-    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    rows = docs.withColumn("__h", F.xxhash64(F.col("text").cast("string")))
-    return rows.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left_anti").drop("__h")
+    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("hash") == F.col("bad_hash")), "left_anti").select("row.*")
