@@ -260,3 +260,46 @@ def test_partitioned_external_table(engine, tmp_path):
     assert rows(engine.sql("SELECT a FROM parted WHERE p = 'y'")) == [(2,)]
     with pytest.raises(SqlError, match="connection"):
         engine.sql("COPY INTO test FROM 's3://b/x' CONNECTION = (nothing = 'x') FILE_FORMAT = (TYPE = 'CSV')")
+
+
+def test_accounts(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}")
+    for q in ("CREATE TENANT t1 WITH comment = 'first'", "CREATE USER u1 WITH PASSWORD = 'hidden', comment = 'x'", "CREATE USER IF NOT EXISTS u1", "CREATE ROLE r1 INHERIT member", "CREATE ROLE r2", "ALTER TENANT default ADD USER u1 AS r1", "GRANT READ ON DATABASE public TO ROLE r1", "GRANT ALL ON DATABASE public TO r2", "ALTER TENANT t1 SET comment = 'other'"):
+        e.sql(q)
+    e = Engine(spark, f"file://{tmp_path}")
+    assert rows(e.sql("SELECT * FROM cluster_schema.tenants ORDER BY tenant_name")) == [("default", "comment=system tenant"), ("t1", "comment=other")]
+    assert rows(e.sql("SELECT * FROM cluster_schema.users ORDER BY user_name")) == [("root", True, "granted_admin=true"), ("u1", False, "comment=x,password=*****")]
+    assert rows(e.sql("SELECT * FROM information_schema.roles ORDER BY role_name")) == [("member", "system", None), ("owner", "system", None), ("r1", "custom", "member"), ("r2", "custom", None)]
+    assert rows(e.sql("SELECT * FROM information_schema.members ORDER BY user_name")) == [("root", "owner"), ("u1", "r1")]
+    assert rows(e.sql("SELECT database_name, privilege_type, role_name FROM information_schema.database_privileges ORDER BY role_name")) == [("public", "Read", "r1"), ("public", "All", "r2")]
+    e.sql("REVOKE ALL ON DATABASE public FROM r2")
+    e.sql("DROP ROLE r1")
+    assert rows(e.sql("SELECT * FROM information_schema.database_privileges")) == [] and rows(e.sql("SELECT user_name FROM information_schema.members")) == [("root",)]
+    for bad in ("CREATE ROLE r3 INHERIT r2", "DROP USER nobody", "GRANT READ ON DATABASE public TO owner", "GRANT READ ON DATABASE nowhere TO r2", "ALTER TENANT t1 ADD USER nobody AS owner", "CREATE TENANT t1"):
+        with pytest.raises(SqlError):
+            e.sql(bad)
+
+
+def test_recover_database(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}")
+    e.sql("CREATE DATABASE gone")
+    e.sql("CREATE TABLE gone.t(f BIGINT)")
+    e.sql("INSERT INTO gone.t(time, f) VALUES (1, 5)")
+    e.sql("DROP DATABASE gone AFTER '7d'")
+    with pytest.raises(Exception):
+        e.sql("SELECT * FROM gone.t")
+    e = Engine(spark, f"file://{tmp_path}")
+    e.sql("RECOVER DATABASE gone")
+    assert rows(e.sql("SELECT f FROM gone.t")) == [(5,)]
+    e.sql("DROP DATABASE gone")
+    with pytest.raises(SqlError):
+        e.sql("RECOVER DATABASE gone")
+
+
+def test_remote_write_rejections():
+    import pyarrow as pa
+
+    assert protocols.parse_write_request(pa.Codec("snappy").compress(b"", asbytes=True)) == []
+    for bad in (b"\x0a\x7f", b"\x0b", b"\x0a\x00"):
+        with pytest.raises(protocols.LineError):
+            protocols.parse_write_request(pa.Codec("snappy").compress(bad, asbytes=True))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tickforge import model
@@ -57,6 +59,46 @@ def prom_read(spark, sf_dir):
     return found["events"].select("event_id", "ts", "value")
 
 
+def _write_requests(batches):
+    """A remote-write request per event, as a client sends it."""
+    number = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + number(n >> 7)
+    held = lambda tag, body: bytes([tag << 3 | 2]) + number(len(body)) + body
+    for batch in batches:
+        out = []
+        for kind, user, ms, value in zip(*(c.to_pylist() for c in batch.columns)):
+            labels = b"".join(held(1, held(1, k.encode()) + held(2, v.encode())) for k, v in (("__name__", "activity"), ("kind", kind), ("user", user)))
+            out.append(pa.Codec("snappy").compress(held(1, labels + held(2, b"\x09" + struct.pack("<d", value) + b"\x10" + number(ms))), asbytes=True))
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+
+
+@query("prom_write", "SELECT 'activity' AS metric, event_type AS kind, user_id::VARCHAR AS user_name, epoch_us(ts) // 1000 AS time_ms, value FROM events")
+def prom_write(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_type", F.col("user_id").cast("string"), F.unix_millis(F.col("ts").cast("timestamp_ltz")), "value")
+    found = protocols.prom_write(events.mapInArrow(_write_requests, "value binary"))
+    return found.select("metric", F.col("labels")["kind"].alias("kind"), F.col("labels")["user"].alias("user_name"), "time_ms", "value")
+
+
+def _spans(spark, sf_dir):
+    """Spans made of the events: a trace per user, a service per kind of event."""
+    text = lambda k, v: F.struct(F.lit(k).alias("key"), F.struct(v.alias("stringValue")).alias("value"))
+    e = table(spark, sf_dir, "events")
+    start = F.unix_micros(F.col("ts").cast("timestamp_ltz")) * 1000
+    span = F.struct(F.col("user_id").cast("string").alias("traceId"), F.col("event_id").cast("string").alias("spanId"), F.lit("").alias("parentSpanId"), F.concat(F.lit("op"), F.col("event_id") % 3).alias("name"), F.lit("2").alias("kind"), start.cast("string").alias("startTimeUnixNano"), (start + F.col("event_id")).cast("string").alias("endTimeUnixNano"), F.array(text("parity", (F.col("event_id") % 2).cast("string"))).alias("attributes"))
+    request = F.struct(F.array(F.struct(F.struct(F.array(text("service.name", F.col("event_type"))).alias("attributes")).alias("resource"), F.array(F.struct(F.array(span).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans"))
+    return protocols.otlp_spans(e.select(F.to_json(request).alias("value")))
+
+
+@query("ingest_otlp", "SELECT user_id::VARCHAR AS trace_id, event_id::VARCHAR AS span_id, event_type AS service_name, 'op' || event_id % 3 AS operation, epoch_us(ts) * 1000 AS start_ns, event_id AS duration_ns, (event_id % 2)::VARCHAR AS parity FROM events")
+def ingest_otlp(spark, sf_dir):
+    return _spans(spark, sf_dir).select("trace_id", "span_id", "service_name", "operation", "start_ns", "duration_ns", F.col("tags")["parity"].alias("parity"))
+
+
+@query("find_traces", "WITH s AS (SELECT user_id::VARCHAR AS trace_id, event_id::VARCHAR AS span_id, event_type AS k, event_id, epoch_us(ts) AS t FROM events), c AS (SELECT trace_id, max(t) AS m FROM s WHERE k = (SELECT min(event_type) FROM events) AND event_id % 3 = 1 AND event_id % 2 = 1 AND event_id >= 100 GROUP BY trace_id ORDER BY m DESC, trace_id LIMIT 5) SELECT trace_id, span_id FROM s WHERE trace_id IN (SELECT trace_id FROM c)")
+def find_traces(spark, sf_dir):
+    kind = table(spark, sf_dir, "events").agg(F.min("event_type")).first()[0]
+    return protocols.find_traces(_spans(spark, sf_dir), kind, "op1", {"parity": "1"}, min_duration_ns=100, limit=5).select("trace_id", "span_id")
+
+
 # -- files ----------------------------------------------------------------------------------
 def _round_trip(fmt: str, **options: object):
     def build(spark, sf_dir):

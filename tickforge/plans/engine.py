@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tickforge.functions import gis, scalars, selectors, series_ops
 from tickforge.functions.ticks import from_nanos, micros
 from tickforge.model import SeriesTable, delete_where, latest, show_series, show_tag_values, update, written_rows
-from tickforge.plans import rewrite
+from tickforge.plans import accounts, rewrite
 from tickforge.plans.tokens import SqlError, Token, arguments, closing, join, tokenize, unquote
 from tickforge.session import configure
 from tickforge.sources import files
@@ -60,6 +60,10 @@ class Stored:
     codecs: dict[str, str] = field(default_factory=dict)
 
 
+def _stored_from(t: dict) -> Stored:
+    return Stored(SeriesTable(**(t["table"] | {"tags": tuple(t["table"]["tags"])})), **{k: v for k, v in t.items() if k != "table"})
+
+
 class Engine:
     """SQL over series tables in a session."""
 
@@ -72,6 +76,8 @@ class Engine:
         self.externals: dict[str, DataFrame] = {}
         self.streams: dict[str, dict[str, str]] = {}  # stream tables: what their WITH says
         self.reading: dict[str, tuple[str, str]] = {}  # running jobs and the tables they read
+        self.accounts = accounts.Accounts({tenant: {"comment": "system tenant"}}, {user: {"granted_admin": "true"}}, {}, {tenant: {user: "owner"}})
+        self.dropped: dict[str, list] = {}  # databases on their way out: until when they can be recovered, options, tables
         self.once = False  # whether stream jobs handle what is there and stop
         scalars.register(spark)
         gis.register(spark)
@@ -93,13 +99,16 @@ class Engine:
             text = self.spark.read.option("wholetext", "true").text(f"{self.root}/catalog.json").first()[0]
             known = json.loads(text)
             self.options |= known["options"]
+            self.dropped = known.get("dropped", {})
+            if "accounts" in known:
+                self.accounts = accounts.Accounts(**known["accounts"])
             for d, tables in known["databases"].items():
-                self.databases[d] = {n: Stored(SeriesTable(**(t["table"] | {"tags": tuple(t["table"]["tags"])})), **{k: v for k, v in t.items() if k != "table"}) for n, t in tables.items()}
+                self.databases[d] = {n: _stored_from(t) for n, t in tables.items()}
         self._publish_all()
 
     def _save(self) -> None:
         """Write the catalog beside the old one and put it in its place."""
-        text = json.dumps({"options": self.options, "databases": {d: {n: asdict(t) for n, t in ts.items()} for d, ts in self.databases.items()}})
+        text = json.dumps({"options": self.options, "dropped": self.dropped, "accounts": asdict(self.accounts), "databases": {d: {n: asdict(t) for n, t in ts.items()} for d, ts in self.databases.items()}})
         fs, path = self._file("catalog.json")
         _, new = self._file(f"catalog-{uuid.uuid4().hex}.tmp")
         out = fs.create(new, True)
@@ -124,9 +133,13 @@ class Engine:
         d, _, t = name.rpartition(".")
         return (d, t.lower()) if d in self.databases else (self.database, name.lower())
 
-    def metadata(self, name: str) -> DataFrame:
-        """A view of ``information_schema``."""
+    def metadata(self, name: str, schema: str = "information_schema") -> DataFrame:
+        """A view of ``information_schema`` or ``cluster_schema``."""
         tenant = self.session["current_tenant"]
+        if f"{schema}.{name}" in accounts.VIEWS:
+            return self._rows(self.accounts.rows(f"{schema}.{name}", tenant, self.session["current_role"]), accounts.VIEWS[f"{schema}.{name}"])
+        if schema != "information_schema":
+            raise SqlError(f"table not found: {schema}.{name}")
         every = [(d, s) for d, ts in self.databases.items() for s in ts.values()]
         if name == "databases":
             rows = [(tenant, d, o["ttl"], int(o["shard"]), o["vnode_duration"], int(o["replica"]), o["precision"].upper()) for d, o in self.options.items()]
@@ -256,6 +269,10 @@ class Engine:
             ("ALTER DATABASE", self._alter_database),
             ("DROP DATABASE", self._drop_database),
             ("COMPACT DATABASE", self._compact),
+            ("RECOVER DATABASE", self._recover),
+            *((f"{verb} {what}", self._account) for verb in ("CREATE", "DROP", "ALTER") for what in ("TENANT", "USER", "ROLE")),
+            ("GRANT ", self._account),
+            ("REVOKE ", self._account),
             ("SHOW DATABASES", lambda _: self._rows([(d,) for d in sorted(self.databases)], "database_name string")),
             ("SHOW TABLES", lambda _: self._rows([(s.table.name,) for s in self.databases[self.database].values()], "table_name string")),
             ("SHOW SERIES", self._show_series),
@@ -305,9 +322,9 @@ class Engine:
             t, name = tokens[i], unquote(tokens[i]).lower()
             dotted = tokens[i + 1 : i + 2] == ["."] and i + 2 < len(tokens) and out and (out[-1] == "," or out[-1].isword("FROM", "JOIN"))
             view = unquote(tokens[i + 2]).lower() if dotted else ""
-            if dotted and name == "information_schema":
-                self.metadata(view).createOrReplaceTempView(f"tf_information_schema_{view}")
-                out.append(Token(f"tf_information_schema_{view}", "word"))
+            if dotted and name in ("information_schema", "cluster_schema"):
+                self.metadata(view, name).createOrReplaceTempView(f"tf_{name}_{view}")
+                out.append(Token(f"tf_{name}_{view}", "word"))
                 i += 3
             elif dotted and view in self.databases.get(name, {}):
                 self._publish(f"{name}.{view}")
@@ -454,10 +471,35 @@ class Engine:
         return self._done()
 
     def _drop_database(self, tokens: list[Token]) -> DataFrame:
-        name = unquote(tokens[4 if tokens[2].isword("IF") else 2]).lower()
-        if self.databases.pop(name, None) is None and not tokens[2].isword("IF"):
+        """``DROP DATABASE [IF EXISTS] d [AFTER '7d']``; with a time it can be recovered until then."""
+        i = 4 if tokens[2].isword("IF") else 2
+        name = unquote(tokens[i]).lower()
+        tables = self.databases.pop(name, None)
+        if tables is None and i == 2:
             raise SqlError(f"database not found: {name}")
-        self.options.pop(name, None)
+        options = self.options.pop(name, None)
+        if tables is not None and i + 2 < len(tokens) and tokens[i + 1].isword("AFTER"):
+            span = unquote(tokens[i + 2]).lower()
+            if not re.fullmatch(r"\d+[dhm]", span):
+                raise SqlError(f"unknown span of time: {span}")
+            self.dropped[name] = [time.time() + int(span[:-1]) * SPANS[span[-1]] / 1e6, options, {n: asdict(t) for n, t in tables.items()}]
+        self._save()
+        return self._done()
+
+    def _recover(self, tokens: list[Token]) -> DataFrame:
+        i = 4 if tokens[2].isword("IF") else 2
+        name = unquote(tokens[i]).lower()
+        until, options, tables = self.dropped.pop(name, (0, None, None))
+        if until < time.time():
+            if i == 4:
+                return self._done()
+            raise SqlError(f"no database to recover: {name}")
+        self.options[name], self.databases[name] = options, {n: _stored_from(t) for n, t in tables.items()}
+        self._save()
+        return self._done()
+
+    def _account(self, tokens: list[Token]) -> DataFrame:
+        self.accounts.run(tokens, set(self.databases), self.session["current_tenant"])
         self._save()
         return self._done()
 

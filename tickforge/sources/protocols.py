@@ -9,9 +9,11 @@ kept as text with their type letter and typed by :func:`measurement`.
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -224,3 +226,131 @@ def prom_read(tables: dict[str, DataFrame], matchers: list[tuple[str, str, str]]
     if missing:
         raise KeyError(f"no such table: {missing[0]}")
     return {t: tables[t].where(keep).orderBy(time) for t in chosen}
+
+
+# -- Prometheus remote write ---------------------------------------------------------------------
+def _varint(data: bytes, at: int) -> tuple[int, int]:
+    value = shift = 0
+    while True:
+        if at >= len(data):
+            raise LineError("a message ends inside a number")
+        byte = data[at]
+        value |= (byte & 0x7F) << shift
+        at, shift = at + 1, shift + 7
+        if byte < 0x80:
+            return value, at
+
+
+def _message(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """The fields of a protobuf message: number, and a whole number or the bytes."""
+    at = 0
+    while at < len(data):
+        tag, at = _varint(data, at)
+        wire = tag & 7
+        if wire == 0:
+            value, at = _varint(data, at)
+        elif wire in (1, 5):
+            size = 8 if wire == 1 else 4
+            value, at = data[at : at + size], at + size
+        elif wire == 2:
+            size, at = _varint(data, at)
+            value, at = data[at : at + size], at + size
+        else:
+            raise LineError(f"unknown wire type: {wire}")
+        if at > len(data):
+            raise LineError("a message ends inside a field")
+        yield tag >> 3, value
+
+
+def parse_write_request(body: bytes) -> list[tuple[str, dict[str, str], int, float]]:
+    """The samples ``(metric, labels, time in ms, value)`` of a snappy-compressed write request."""
+    size, _ = _varint(body, 0)
+    plain = pa.Codec("snappy").decompress(body, decompressed_size=size, asbytes=True) if size else b""
+    out = []
+    for number, series in _message(plain):
+        if number != 1:
+            continue
+        labels, samples = {}, []
+        for part, value in _message(series):
+            if part == 1:
+                pair = dict(_message(value))
+                labels[pair.get(1, b"").decode()] = pair.get(2, b"").decode()
+            elif part == 2:
+                pair = dict(_message(value))
+                at = pair.get(2, 0)
+                samples.append((at - (1 << 64) if at >= 1 << 63 else at, struct.unpack("<d", pair.get(1, bytes(8)))[0]))
+        if "__name__" not in labels:
+            raise LineError("a series names its metric")
+        name = labels.pop("__name__")
+        out += [(name, labels, at, value) for at, value in samples]
+    return out
+
+
+def prom_write(requests: DataFrame, column: str = "value") -> DataFrame:
+    """Samples of remote-write requests (a binary each): ``(metric, labels map, time_ms, value)``, partition by partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [r for body in batch.column(0) if body.is_valid for r in parse_write_request(body.as_py())]
+            metric, labels, at, value = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(metric, pa.string()), pa.array([list(x.items()) for x in labels], pa.map_(pa.string(), pa.string())), pa.array(at, pa.int64()), pa.array(value, pa.float64())], names=["metric", "labels", "time_ms", "value"])
+
+    return requests.select(column).mapInArrow(run, "metric string, labels map<string,string>, time_ms long, value double")
+
+
+# -- OTLP traces and queries over them ----------------------------------------------------------------
+# The JSON form of an export request, as far as spans need it.
+_VALUE = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>"
+_ATTRIBUTES = f"array<struct<key:string,value:{_VALUE}>>"
+_SPAN = f"struct<traceId:string,spanId:string,parentSpanId:string,name:string,kind:string,startTimeUnixNano:string,endTimeUnixNano:string,attributes:{_ATTRIBUTES},status:struct<code:string,message:string>>"
+OTLP = f"resourceSpans array<struct<resource:struct<attributes:{_ATTRIBUTES}>,scopeSpans:array<struct<scope:struct<name:string,version:string>,spans:array<{_SPAN}>>>>>"
+
+
+def _attributes(pairs: Column) -> Column:
+    """Attributes as a map of text; of a key that comes twice the last counts."""
+    value = lambda v: F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"))
+    last = F.filter(F.coalesce(pairs, F.array().cast(_ATTRIBUTES)), lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["key"] == x["key"]))
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["key"].alias("key"), value(x["value"]).alias("value"))))
+
+
+def otlp_spans(requests: DataFrame, column: str = "value") -> DataFrame:
+    """Spans of OTLP export requests in JSON (a text each), one row a span; built-in functions only."""
+    parsed = requests.select(F.from_json(column, OTLP).alias("r")).select(F.explode("r.resourceSpans").alias("r"))
+    scoped = parsed.select(_attributes(F.col("r.resource.attributes")).alias("resource"), F.explode("r.scopeSpans").alias("s")).select("resource", F.col("s.scope.name").alias("scope"), F.explode("s.spans").alias("p"))
+    ns = lambda c: F.col(c).cast("long")
+    return scoped.select(
+        F.col("p.traceId").alias("trace_id"),
+        F.col("p.spanId").alias("span_id"),
+        F.nullif(F.col("p.parentSpanId"), F.lit("")).alias("parent_span_id"),
+        F.coalesce(F.col("resource")["service.name"], F.lit("unknown")).alias("service_name"),
+        F.col("p.name").alias("operation"),
+        F.col("p.kind").alias("kind"),
+        "scope",
+        ns("p.startTimeUnixNano").alias("start_ns"),
+        (ns("p.endTimeUnixNano") - ns("p.startTimeUnixNano")).alias("duration_ns"),
+        F.col("p.status.code").alias("status"),
+        _attributes(F.col("p.attributes")).alias("tags"),
+        "resource",
+    )
+
+
+def trace_services(spans: DataFrame) -> DataFrame:
+    return spans.select("service_name").distinct()
+
+
+def trace_operations(spans: DataFrame, service: str, kind: str | None = None) -> DataFrame:
+    rows = spans.where(F.col("service_name") == service)
+    return (rows if kind is None else rows.where(F.col("kind") == kind)).select("operation", "kind").distinct()
+
+
+def find_traces(spans: DataFrame, service: str, operation: str | None = None, tags: dict[str, str] | None = None, start_ns: int | None = None, end_ns: int | None = None, min_duration_ns: int | None = None, max_duration_ns: int | None = None, limit: int | None = None) -> DataFrame:
+    """All spans of the traces that hold a span as asked for; with ``limit`` of the newest so many traces."""
+    keep = F.col("service_name") == service
+    for given, test in ((operation, F.col("operation") == operation), (start_ns, F.col("start_ns") >= start_ns), (end_ns, F.col("start_ns") <= end_ns), (min_duration_ns, F.col("duration_ns") >= min_duration_ns), (max_duration_ns, F.col("duration_ns") <= max_duration_ns)):
+        keep = keep if given is None else keep & test
+    for key, value in (tags or {}).items():
+        keep &= F.coalesce(F.col("tags")[key], F.col("resource")[key]) == value
+    chosen = spans.where(keep).groupBy("trace_id").agg(F.max("start_ns").alias("newest"))
+    if limit is not None:
+        chosen = chosen.orderBy(F.desc("newest"), "trace_id").limit(limit)
+    return spans.join(chosen.select("trace_id"), "trace_id", "left_semi")
