@@ -65,10 +65,11 @@ def validity(df: DataFrame, keys: list[str], time: str, value: str, ticks: bool
     # the two finite points that the line goes through: one on each side, or beyond the ends the two nearest
     good = F.when(~F.isnan("v") & (F.abs("v") != float("inf")), F.struct("t", "v"))
     p = p.withColumn("g", good)
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    # what follows is what precedes in descending order: a frame without end would be computed anew for each row
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*key).orderBy(F.desc("t"), F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)
     finite = F.count("g").over(Window.partitionBy(*key))
-    p = p.withColumns({"a": F.last("g", True).over(before), "b": F.first("g", True).over(after), "n": F.count("*").over(Window.partitionBy(*key)), "finite": finite})
-    p = p.withColumns({"a2": F.last(F.when(F.col("g").isNotNull(), F.col("a")), True).over(before), "b2": F.first(F.when(F.col("g").isNotNull(), F.col("b")), True).over(after)})
+    p = p.withColumns({"a": F.last("g", True).over(before), "b": F.last("g", True).over(after), "n": F.count("*").over(Window.partitionBy(*key)), "finite": finite})
+    p = p.withColumns({"a2": F.last(F.when(F.col("g").isNotNull(), F.col("a")), True).over(before), "b2": F.last(F.when(F.col("g").isNotNull(), F.col("b")), True).over(after)})
     one, two = F.coalesce(F.when(F.col("b").isNull(), F.col("a2")).otherwise(F.col("a")), F.col("b")), F.when(F.col("a").isNull(), F.col("b2")).otherwise(F.coalesce("b", "a"))
     line = one["v"] + (two["v"] - one["v"]) * ((F.col("t") - one["t"]) / (two["t"] - one["t"]))
     p = p.where("finite >= 2").select(*key, "t", "n", F.when(F.col("g").isNotNull(), F.col("v")).otherwise(line).alias("v"))
@@ -118,7 +119,8 @@ def fill_by_window(df: DataFrame, keys: list[str], time: str, value: str, method
     p = _points(df, keys, time, value, ticks)
     good = F.when(~F.isnan("v") & (F.abs("v") != float("inf")), F.col("v"))
     order = Window.partitionBy(*key).orderBy("t")
-    before, after, whole = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy(*key)
+    before, whole = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*key)
+    after = Window.partitionBy(*key).orderBy(F.desc("__i")).rowsBetween(Window.unboundedPreceding, 0)
     if method == "mean":
         out = F.coalesce(good, F.avg(good).over(whole))
     elif method == "previous":
@@ -126,7 +128,7 @@ def fill_by_window(df: DataFrame, keys: list[str], time: str, value: str, method
     else:
         p = p.withColumn("__i", F.row_number().over(order))
         at = F.when(good.isNotNull(), F.struct("__i", "v"))
-        left, right = F.last(at, True).over(before), F.first(at, True).over(after)
+        left, right = F.last(at, True).over(before), F.last(at, True).over(after)
         p = p.withColumns({"__l": left, "__r": right})
         a, b = F.col("__l"), F.col("__r")
         line = a["v"] + (b["v"] - a["v"]) * ((F.col("__i") - a["__i"]) / (b["__i"] - a["__i"]))
