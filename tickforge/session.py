@@ -29,9 +29,11 @@ def session(name: str = "tickforge", **options: str) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder that all executors share: under ``spark.checkpoint.dir``, or a temporary one where the session names none."""
+    """A new folder that all executors share: under ``spark.checkpoint.dir``, or a temporary one where the session names none and runs on one machine."""
     import tempfile
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{base.rstrip('/')}/tickforge-{uuid.uuid4().hex}" if base else "file://" + tempfile.mkdtemp(prefix="tickforge-")
