@@ -322,6 +322,16 @@ def test_packing(docs, rows, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_packing_and_scores_of_repeated_rows(spark):
+    """Rows that repeat, with equal or no ids, are documents of their own."""
+    rows = [(1, "one two three", None, "", 0)] * 3 + [(1, "four five", None, "", 0), (None, "six", None, "", 0), (None, "six", None, "", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = packing.pack_documents(df).collect()
+    assert sorted(str(x.doc_id) for x in got) == ["1"] * 4 + ["None"] * 2 and len({(x.sequence_id, x.offset) for x in got}) == 6
+    scored = lm_score.score_documents(df, spark.createDataFrame([(1,)], "doc_id long"), groups=2).collect()
+    assert sorted((str(x.doc_id), x.n_tokens) for x in scored) == [("1", 2), ("1", 3), ("1", 3), ("1", 3), ("None", 1), ("None", 1)]
+
+
 def test_packing_rounds(spark):
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 2049, 3000).tolist()
@@ -565,6 +575,50 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= x.score <= 1 for x in got.values())
 
 
+def _grams(text):
+    """N-grams of a text as sets of bytes: ASCII other than letters reads as a space, letters in lower case."""
+    raw = bytes(32 if c < 128 and not chr(c).isalpha() else c + 32 if 65 <= c <= 90 else c for c in text.encode())
+    return {raw[i : i + n] for n in (2, 3, 4) for i in range(len(raw) - n + 1)}
+
+
+def test_language_kernel_equals_sets():
+    """Distinct n-grams, kernel values and predictions against sets and a plain ridge regression."""
+    r = random.Random(3)
+    texts = ["", "a", "Ab", "the cat, the hat", "日本語のテキスト", "aaaa aaaa"] + ["".join(r.choice("abcdef gh") for _ in range(r.randint(1, 90))) for _ in range(60)]
+    raw = [t.encode() for t in texts]
+    off = np.cumsum([0, *map(len, raw)])
+    keys, edge = langid.grams(np.frombuffer(b"".join(raw), np.uint8), off)
+    sets = [_grams(t) for t in texts]
+    assert np.diff(edge).tolist() == [len(s) for s in sets]
+    mine = [keys[a:b] for a, b in zip(edge[:-1], edge[1:])]
+    vocabulary, marks = langid.landmark_rows(mine[3:20])
+    kernel = langid.found_in(vocabulary, keys, edge) @ marks.T / np.sqrt(np.maximum(np.diff(edge), 1))[:, None]
+    wanted = np.array([[len(a & b) / math.sqrt(max(1, len(a)) * max(1, len(b))) for b in sets[3:20]] for a in sets])
+    assert np.allclose(kernel, wanted, atol=1e-5)
+    labels = ["xyz"[i % 3] for i in range(len(texts))]
+    model = langid.fit(kernel, labels, vocabulary, marks)
+    value, vector = np.linalg.eigh(wanted[3:20])
+    keep = value > 1e-6 * value.max()
+    z = wanted @ (vector[:, keep] / np.sqrt(value[keep]))
+    y = np.where(np.array(labels)[:, None] == np.array(["x", "y", "z"]), 1.0, -1.0)
+    zc, yc = z - z.mean(axis=0), y - y.mean(axis=0)
+    w = np.linalg.solve(zc.T @ zc + 1e-2 * len(z) * np.eye(z.shape[1]) / z.shape[1], zc.T @ yc)
+    assert np.allclose(model.values(keys, edge), zc @ w + y.mean(axis=0), atol=2e-2)
+
+
+def test_language_repeated_long_and_many_labels(spark):
+    """Rows that repeat are predicted each and alike; very long texts are read whole; no label is left out."""
+    r = random.Random(5)
+    rows = [(i, " ".join(f"{chr(97 + i % 26)}{chr(97 + (i % 260) // 26)}{r.choice('xy')}" for _ in range(30)), f"l{i % 260:03d}", "", 0) for i in range(260 * 14)]
+    rows += [(9999, rows[5][1], None, "", 0)] * 2 + [(9998, rows[7][1] * 3000, None, "", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = langid.train(df)
+    assert len(model.languages) == 260
+    got = langid.predict(df.where("doc_id >= 9998"), model).collect()
+    assert len(got) == 3 and len({(x.lang_pred, x.score) for x in got if x.doc_id == 9999}) == 1
+    assert {x.lang_pred for x in got if x.doc_id == 9998} == {"l007"}
+
+
 def test_language_without_labels(spark, none):
     df = spark.createDataFrame([(1, "some text", None, "", 0)], SCHEMA)
     assert [tuple(r)[2:] for r in langid.identify(df).collect()] == [("und", 0.0)]

@@ -161,6 +161,18 @@ def forget(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs``, dealt anew if its files make fewer tasks than there are cores; tables of many files or splits stay as they are.
+
+    For work that is heavy per text and needs no shuffle of its own: one small file would keep one core busy.
+    """
+    spark = docs.sparkSession
+    files, cores = len(docs.inputFiles()), spark.sparkContext.defaultParallelism
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return docs if files == 0 or max(files, size // split) >= cores else docs.repartition(2 * cores)
+
+
 def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 

@@ -36,6 +36,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickforge.llm._common import spread
+
 WINDOW, LITERALS, RUN, SHARE = 8, 5, 13, 0.5
 #: The forms of a text whose windows are hashed.
 FORMS = ("words", "tokens", "named")
@@ -126,7 +128,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
     side = _item_windows(benchmark, window, literals)
     few = side.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     sizes = sorted({window, *(r.w for r in side.where(F.col("w") < window).select("w").distinct().collect())})
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").withColumn("text_hash", F.xxhash64("text"))
+    texts = spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").withColumn("text_hash", F.xxhash64("text"))
     # windows at the end of a text are shorter and then match at most short items; the outer form below keeps the
     # optimizer from computing the hashes twice, for a filter and for the rows
     hashes = F.when(F.size("words") > 0, F.concat(*(_hashes(f"h_{form}", size) for size in sizes for form in FORMS)))

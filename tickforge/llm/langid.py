@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tickforge.llm._common import slices, text_buffers, trim, written
+from tickforge.llm._common import slices, spread, text_buffers, trim, written
 
 SIZES = (2, 3, 4)
 SAMPLE_DOCS, SAMPLE_BYTES = 1600, 1 << 16
@@ -184,7 +184,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, landmarks: int = LAND
 def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None = None) -> DataFrame:
     """``docs(doc_id, text)`` with ``lang_pred`` and ``score`` (the best value moved from [-1, 1] to [0, 1])."""
     kept = ["doc_id", "text"] if keep is None else keep
-    rows = docs.select(*kept)
+    rows = spread(docs.select(*kept))
     at = kept.index("text")
     out_fields = [f for f in rows.schema.fields if keep is not None or f.name != "text"]
     names = [f.name for f in out_fields]

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickforge.llm._common import written
+from tickforge.llm._common import spread, written
 
 WINDOW, LONG = 3, 200
 #: Keys with more than one part in this of all rows are hot, so there are at most this many.
@@ -48,7 +48,7 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 def _keyed(docs: DataFrame) -> DataFrame:
     """``(doc, sub, text)``: ``doc`` and ``sub`` tell rows apart, the id (null: the smallest) and a hash of the text."""
     text = F.col("text").cast("string")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).alias("sub"), text.alias("text"))
+    return spread(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).alias("sub"), text.alias("text"))
 
 
 def fingerprints(texts: DataFrame, window: int, long: int) -> DataFrame:

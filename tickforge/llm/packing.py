@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickforge.llm._common import trim, written
+from tickforge.llm._common import spread, trim, written
 from tickforge.llm.tokens import encoder, public_file
 
 CAPACITY = 2048
@@ -55,7 +55,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, end_id: int = 0, capacity
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["row_id", "doc_id", "piece", "start", "length", "ids_crc32"])
         trim()
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = spread(docs).select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(cut, _PIECES)
 
 

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickforge.llm._common import components, mix, runs, slices, text_buffers, trim, word_hashes, written
+from tickforge.llm._common import components, mix, runs, slices, spread, text_buffers, trim, word_hashes, written
 
 CLUSTER_ROWS = 1500
 #: Up to so many ids (8 bytes each) are broadcast to pick texts; beyond, the join shuffles.
@@ -194,7 +194,7 @@ def sketch(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
         yield flush()
         trim()
 
-    return _rows(docs).mapInArrow(run, _SKETCHED)
+    return spread(_rows(docs)).mapInArrow(run, _SKETCHED)
 
 
 _MATCHED = "kind int, a long, b long, band long, n long"

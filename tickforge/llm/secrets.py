@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickforge.llm._common import SPACE, mix, powers, slices, text_buffers, trim
+from tickforge.llm._common import SPACE, mix, powers, slices, spread, text_buffers, trim
 
 # The base patterns and the order of kinds.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -507,7 +507,7 @@ def scan(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(shape))], names=["doc_id", "spans"])
         trim()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
 
 
