@@ -92,6 +92,8 @@ def gauge(spark, sf_dir):
 
 sql("gauge_sql", "SELECT user_id, round(delta(g), 9) AS d, bigint(1000000 * extract(epoch FROM (TIMESTAMP_NTZ '1970-01-01 00:00:00' + time_delta(g)))) AS td, round(rate(g) * 1e9, 6) AS p, first_time(g) AS ft, last_time(g) AS lt, round(idelta_right(g), 9) AS r FROM (SELECT user_id, gauge_agg(ts, value ORDER BY ts) AS g FROM events GROUP BY user_id) t", f"SELECT user_id, round(v[-1] - v[1], 9) AS d, t[-1] - t[1] AS td, CASE WHEN t[-1] <> t[1] THEN round((v[-1] - v[1]) / (t[-1] - t[1]) * 1e6, 6) END AS p, make_timestamp(t[1]) AS ft, make_timestamp(t[-1]) AS lt, round(v[-1] - v[greatest(1, len(v) - 1)], 9) AS r FROM ({_SORTED})")
 
+sql("gauge_ends_sql", "SELECT user_id, round(d, 9) AS d, ft, round(lv, 9) AS lv, round(p * 1e9, 6) AS p FROM (SELECT user_id, delta(gauge_agg(ts, value)) AS d, first_time(gauge_agg(ts, value ORDER BY ts)) AS ft, last_val(gauge_agg(ts, value)) AS lv, rate(gauge_agg(ts, value)) AS p FROM events GROUP BY user_id) t", f"SELECT user_id, round(v[-1] - v[1], 9) AS d, make_timestamp(t[1]) AS ft, round(v[-1], 9) AS lv, CASE WHEN t[-1] <> t[1] THEN round((v[-1] - v[1]) / (t[-1] - t[1]) * 1e6, 6) END AS p FROM ({_SORTED})")
+
 _SPANS = "SELECT user_id, event_type AS state, epoch_us(ts) AS a, coalesce(lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts), epoch_us(ts)) AS b FROM events"
 
 

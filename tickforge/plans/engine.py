@@ -144,7 +144,7 @@ class Engine:
         if name == "databases":
             rows = [(tenant, d, o["ttl"], int(o["shard"]), o["vnode_duration"], int(o["replica"]), o["precision"].upper()) for d, o in self.options.items()]
         elif name == "tables":
-            rows = [(tenant, d, s.table.name, "BASE TABLE", "TSKV", "") for d, s in every]
+            rows = [(tenant, d, s.table.name, "BASE TABLE", "SERIES", "") for d, s in every]
             rows += [(tenant, self.database, n, "BASE TABLE", "EXTERNAL", "") for n in self.externals] + [(tenant, self.database, n, "BASE TABLE", "STREAM", "") for n in self.streams]
         elif name == "columns":
             rows = []

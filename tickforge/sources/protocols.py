@@ -28,6 +28,8 @@ class LineError(ValueError):
 
 def _split(text: str, stop: str, quotes: bool = False) -> list[str]:
     """Split on an unescaped character, outside double quotes if those count; escapes stay."""
+    if "\\" not in text and not (quotes and '"' in text):
+        return text.split(stop)
     out, start, quoted, i = [], 0, False, 0
     while i < len(text):
         c = text[i]
