@@ -247,7 +247,7 @@ def test_stream_table_after_a_rewrite(engine):
 
 
 def test_dialect_limits_and_names(engine):
-    for bad in ("SELECT time_window(time, INTERVAL '1000 seconds', INTERVAL '1 second') FROM test", "SELECT time_window(time, INTERVAL '366 days') FROM test", "SELECT sample(f0, 5000) FROM test"):
+    for bad in ("SELECT time_window(time, INTERVAL '1000 seconds', INTERVAL '1 second') FROM test", "SELECT time_window(time, INTERVAL '366 days') FROM test", "SELECT sample(f0, 5000) FROM test", "SELECT locf(f0) FROM test", "SELECT duration_in(compact_state_agg(time, f1), '2', '1970-01-01') FROM test", "SELECT state_at(compact_state_agg(time, f1), '1970-01-01') FROM test"):
         with pytest.raises(ValueError):
             engine.sql(bad)
     q = "SELECT regexp_match('ab12', '([a-z]+)([0-9]+)'), regexp_match('x', '[0-9]'), regexp_match('a1', '[0-9]'), regexp_replace('a.b.c', '\\.', '$'), ST_AsBinary('POINT(1 2)') IS NOT NULL, ST_GeomFromWKB(ST_AsBinary('POINT(1 2)'))"
