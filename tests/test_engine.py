@@ -303,3 +303,18 @@ def test_remote_write_rejections():
     for bad in (b"\x0a\x7f", b"\x0b", b"\x0a\x00"):
         with pytest.raises(protocols.LineError):
             protocols.parse_write_request(pa.Codec("snappy").compress(bad, asbytes=True))
+
+
+def test_sliding_windows_in_sql(engine):
+    """Four points 5 ms apart, windows of 10 ms every 6 ms: eight rows; with a start of 1 ms they move with it."""
+    engine.sql("CREATE TABLE m2(f0 BIGINT, TAGS(t0))")
+    engine.sql("INSERT INTO m2(time, t0, f0) VALUES ('1999-12-31 00:00:00.000', 'a', 111), ('1999-12-31 00:00:00.005', 'b', 222), ('1999-12-31 00:00:00.010', 'c', 333), ('1999-12-31 00:00:00.015', 'd', 444)")
+    day = dt.datetime(1999, 12, 31)
+    ms = lambda t: round((t - day).total_seconds() * 1000)
+    q = "WITH tmp AS (SELECT time_window(time, interval '10 milliseconds', interval '6 milliseconds'{}) AS window, * FROM m2) SELECT * FROM tmp ORDER BY window.start, time"
+    got = engine.sql(q.format(""))
+    assert got.columns == ["window", "time", "t0", "f0"]
+    assert [(ms(r.window.start), ms(r.window.end), ms(r.time)) for r in got.collect()] == [(-6, 4, 0), (-6, 4, 5), (0, 10, 0), (0, 10, 5), (0, 10, 10), (6, 16, 10), (6, 16, 15), (12, 22, 15)]
+    got = engine.sql(q.format(", '1970-01-01T00:00:00.001Z'"))
+    assert [(ms(r.window.start), ms(r.time)) for r in got.collect()] == [(-11, 0), (-5, 0), (-5, 5), (1, 5), (1, 10), (7, 10), (7, 15), (13, 15)]
+    assert sorted((ms(r[0].start), r[1]) for r in engine.sql("SELECT time_window(time, INTERVAL '10 milliseconds', INTERVAL '6 milliseconds') AS w, count(*) AS n FROM m2 WHERE f0 > 111 GROUP BY w").collect()) == [(-6, 1), (0, 2), (6, 2), (12, 1)]

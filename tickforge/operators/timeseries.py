@@ -37,6 +37,9 @@ def window_sliding_compat(spark, sf_dir):
     return windows.time_window(_events(spark, sf_dir), "ts", "10 minutes", "4 minutes", mode="compat").groupBy(F.col("_window.start").alias("start")).agg(F.count("*").alias("n"))
 
 
+sql("window_sliding_sql", "SELECT w.start AS start, count(*) AS n FROM (SELECT time_window(ts, INTERVAL '10 minutes', INTERVAL '4 minutes') AS w, * FROM events WHERE value > 0) t GROUP BY w.start", f"SELECT make_timestamp(t - t % 240000000 - i * 240000000) AS start, count(*) AS n FROM {_SLIDES} WHERE value > 0 GROUP BY 1")
+
+
 @query("date_bin", "SELECT make_timestamp(epoch_us(ts) - (epoch_us(ts) - 60000000) % 300000000) AS bin, count(*) AS n FROM events GROUP BY 1")
 def date_bin(spark, sf_dir):
     return _events(spark, sf_dir).groupBy(windows.date_bin("5 minutes", "ts", 60_000_000).alias("bin")).agg(F.count("*").alias("n"))

@@ -311,7 +311,7 @@ class Engine:
         special = self._generating(tokenize(text)) or self._selecting(tokenize(text))
         if special is not None:
             return special
-        ready = rewrite.select(text, self.variables, self.session)
+        ready = rewrite.select(text, self.variables, self.session, streaming)
         return self.spark.sql(rewrite.integer_division(ready, self._analyses) if "/" in ready else ready)
 
     def _qualified(self, tokens: list[Token]) -> list[Token]:
