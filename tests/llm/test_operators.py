@@ -686,10 +686,10 @@ def test_decontamination(spark, none):
     assert decontaminate.contaminated(docs, items.where("false")).count() == 0
 
 
-def test_decontamination_runs_no_python(spark, docs):
+def test_decontamination_runs_no_python(spark, docs, tmp_path):
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
-    items.write.mode("overwrite").saveAsTable("items_for_plan")
-    plan = decontaminate.contaminated(docs.limit(0), spark.table("items_for_plan"))._jdf.queryExecution().toString()
+    items.write.parquet(f"file://{tmp_path}/items")
+    plan = decontaminate.contaminated(docs.limit(0), spark.read.parquet(f"file://{tmp_path}/items"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan.replace("docs", ""))
 
 

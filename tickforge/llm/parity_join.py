@@ -17,7 +17,8 @@ or from a large family of copies.  Other keys give pairs, counted per pair.  A
 set with ``e`` empty and ``h`` hot blocks must share ``s + 1 - e - h`` others with
 a linked one, so pairs with fewer are dropped; sets for which that number is not
 positive (and only those) are joined over their hot keys, each with the smallest
-such set of the key, never in all pairs.  This loses no link, and common passages
+such set of the key, never in all pairs.  As two of them must share a number of hot keys, the
+first few of each, in one order for all, are enough (a prefix filter).  This loses no link, and common passages
 do not chain documents together.  What is left makes candidate clusters
 (:func:`components`).  Equal sets are one class before that.
 
@@ -249,14 +250,15 @@ def _match(key: tuple, table: pa.Table) -> pa.Table:
 
 def candidates(matched: DataFrame) -> DataFrame:
     """Edges ``(a, b)`` that lose no link, from the rows of :func:`_match`."""
-    hot = matched.where("kind = 2").select(F.col("a").alias("doc"), F.col("b").alias("name"), "band")
+    hot = matched.where("kind = 2").groupBy(F.col("a").alias("doc"), "band").agg(F.sort_array(F.collect_list("b")).alias("names"))  # at most a name a block
     spare = matched.where("kind = 0").groupBy(F.col("a").alias("doc"), "band").agg(F.max("n").alias("left"))
-    rest = spare.join(hot.groupBy("doc", "band").agg(F.count("*").alias("hot")), ["doc", "band"], "left").select("doc", "band", (F.col("left") - F.coalesce("hot", F.lit(0))).alias("left"))
+    rest = spare.join(hot, ["doc", "band"], "left").select("doc", "band", (F.col("left") - F.coalesce(F.size("names"), F.lit(0))).alias("left"), "names")
     pairs = matched.where("kind = 1").groupBy("a", "b", "band").agg(F.sum("n").alias("n")).where("a <> b")
     for side in ("a", "b"):
         pairs = pairs.join(rest.select(F.col("doc").alias(side), "band", F.col("left").alias(f"left_{side}")), [side, "band"])
     near = pairs.where(F.col("n") > F.greatest("left_a", "left_b")).select("a", "b")
-    open_ = hot.join(rest.where("left < 0"), ["doc", "band"]).select("name", "doc")
+    # two such sets that share no rare key share at least ``names + left + 1`` hot ones, the first of which is among the first ``-left`` of both
+    open_ = rest.where("left < 0 and names is not null").select(F.explode(F.slice("names", 1, (-F.col("left")).cast("int"))).alias("name"), "doc")
     lead = open_.groupBy("name").agg(F.min("doc").alias("lead"))
     return near.unionAll(open_.join(lead, "name").where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b"))).distinct()
 
