@@ -1,9 +1,11 @@
 """The pipeline on a small corpus, stage by stage against brute force."""
 
 import random
+import zlib
 
 import corpus_pipeline
 from tests.llm.test_operators import SCHEMA, brute_components, brute_lines, corpus
+from tickforge.llm import langid
 
 ITEM = "The quick wool merchant sold 14 bales to Anna and then walked 9 km home along the river road"
 
@@ -82,3 +84,27 @@ def test_language_stage_rejects_unlearnt_languages(spark):
     kept = {x.doc_id for x in corpus_pipeline.language_id(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
     assert {d for d in kept if d >= 1000} == set(range(1000, 1012))
     assert len(kept) >= 0.99 * 600 + 12
+
+
+def test_floors_are_learnt_from_every_held_out_text(spark):
+    r = random.Random(9)
+    parts = {"aa": ["th", "er", "on", "an", "re"], "bb": ["ung", "sch", "ich", "ein"], "cc": ["eau", "que", "oi", "ment"], None: ["zy", "wk", "vu", "xo"]}
+    share = lambda lang: " ".join("".join(r.choice(parts[lang if r.random() < mixed else None]) for _ in range(3)) for _ in range(30))
+    rows = []
+    for i in range(900):
+        mixed = r.random()
+        rows.append((i, share(lang := "aaaabc"[i % 6] + "aaaabc"[i % 6]), lang, "", 0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = langid.train(docs)
+    held = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 3 == 1]
+    brute = {}
+    for cut in langid.CUTS:
+        texts = spark.createDataFrame([(x[0], x[1][:cut]) for x in held if len(x[1]) >= cut], "doc_id long, text string")
+        score = {x.doc_id: x.score for x in langid.predict(texts, model).collect() if x.lang_pred != "und"}
+        n = {lang: sum(x[0] in score for x in held if x[2] == lang) for lang in model.languages}
+        if len(score) >= langid.LEAST_TEXTS:
+            weight = {x[0]: min(10, n[x[2]]) / n[x[2]] for x in held if x[0] in score}
+            reached = max(k for k in {int(s * langid.STEPS) for s in score.values()} if sum(w for d, w in weight.items() if int(score[d] * langid.STEPS) < k) <= 0.01 * sum(weight.values()))
+            brute[cut] = (1 / 3 + reached / langid.STEPS) / 2
+    assert len(brute) >= 2 and len(held) > 200
+    assert langid.floors(docs, model, sample_docs=30) == brute

@@ -37,6 +37,8 @@ SAMPLE_DOCS, SAMPLE_BYTES = 1600, 1 << 16
 LANDMARKS = 128
 #: Lengths in characters for which the least score of a known language is learnt, and the held-out texts this takes.
 CUTS, LEAST_TEXTS = (16, 64, 256, 1024), 20
+#: Scores are counted in so many steps for that; a text of full weight counts so much.
+STEPS, _WEIGHT = 1 << 14, 1 << 40
 _ROWS = 64
 _SLICE = 1 << 18
 
@@ -128,16 +130,14 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, held: bool, sample_docs: int, languages: list[str] | None = None) -> DataFrame | None:
-    """Labelled texts in or outside the held-out third, dealt evenly over the languages, ``(doc_id, lang, text)``.
+def sample(docs: DataFrame, sample_docs: int) -> DataFrame | None:
+    """Labelled texts outside the held-out third, dealt evenly over the languages, ``(doc_id, lang, text)``.
 
     A bound on the hash, from the label's count, thins each language before anything is ordered.
     """
     short = (F.octet_length(F.col("text").cast("string")) > SAMPLE_BYTES).cast("int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), F.col("text").cast("string").alias("text"), short.alias("big"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (held_out() if held else ~held_out()))
-    if languages is not None:
-        rows = rows.where(F.col("lang").isin(languages))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
     known = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(1 - F.col("big")).alias("n_short")).collect()  # a row per language
     if not known:
         return None
@@ -151,7 +151,7 @@ def sample(docs: DataFrame, held: bool, sample_docs: int, languages: list[str] |
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, landmarks: int = LANDMARKS) -> LanguageModel | None:
     """Fit on a bounded sample of labelled documents outside the held-out third."""
-    texts = sample(docs, False, sample_docs)
+    texts = sample(docs, sample_docs)
     if texts is None:
         return None
     texts = written(texts, "languages")
@@ -181,11 +181,14 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, landmarks: int = LAND
     return fit(np.stack([np.frombuffer(bytes(r["row"]), np.float32) for r in rows]), [r.lang for r in rows], vocabulary, marks)
 
 
-def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None = None) -> DataFrame:
-    """``docs(doc_id, text)`` with ``lang_pred`` and ``score`` (the best value moved from [-1, 1] to [0, 1])."""
+def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None = None, inside: str | None = None) -> DataFrame:
+    """``docs(doc_id, text)`` with ``lang_pred`` and ``score`` (the best value moved from [-1, 1] to [0, 1]).
+
+    ``inside`` names a kept struct that holds ``text``, which then is not sent to Python a second time.
+    """
     kept = ["doc_id", "text"] if keep is None else keep
     rows = spread(docs.select(*kept))
-    at = kept.index("text")
+    at = kept.index(inside or "text")
     out_fields = [f for f in rows.schema.fields if keep is not None or f.name != "text"]
     names = [f.name for f in out_fields]
     schema = StructType([*out_fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
@@ -194,7 +197,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            column = batch.column(at)
+            column = batch.column(at) if inside is None else batch.column(at).field("text")
             buf, off = text_buffers(column)
             pred, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             for i, j in slices(off, _SLICE):
@@ -221,22 +224,39 @@ def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None
 
 
 def floors(docs: DataFrame, model: LanguageModel, sample_docs: int = SAMPLE_DOCS) -> dict[int, float]:
-    """The least score of a known language per length of :data:`CUTS`, learnt from a bounded sample of the held-out texts cut to that length.
+    """The least score of a known language per length of :data:`CUTS`, learnt from all held-out labelled texts cut to that length.
 
     The values of a text unlike every language sum to 2 less the number of languages, so at chance the score is one part
-    in that number.  The floor lies halfway between chance and the score that 99 of 100 held-out texts reach.
+    in that number.  The floor lies halfway between chance and the score (a multiple of one part in :data:`STEPS`) that 99 of
+    100 held-out texts reach.  No text is left out; those of a language with more than its part of ``sample_docs`` weigh
+    as much as that part together, so a large language does not set the floor alone.
     Shorter texts, lengths with few held-out texts, and a model of one language have no floor.
     """
-    chance = 1 / len(model.languages)
-    texts = sample(docs, True, sample_docs, model.languages)
-    if texts is None:
+    if len(model.languages) < 2:
         return {}
+    chance, each = 1 / len(model.languages), max(8, sample_docs // len(model.languages))
+    rows = docs.where(held_out()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = rows.where(F.col("lang").isin(model.languages) & F.col("text").isNotNull())
     cuts = F.filter(F.array(*map(F.lit, CUTS)), lambda c: c <= F.length("text"))
-    starts = texts.select("text", F.explode(cuts).alias("cut")).select("cut", F.expr("substring(text, 1, cut)").alias("text"))
-    found: dict[int, list[float]] = {}
-    for r in predict(starts, model, keep=["cut", "text"]).where("lang_pred <> 'und'").select("cut", "score").collect():
-        found.setdefault(r.cut, []).append(r.score)
-    return {c: (chance + float(np.quantile(v, 0.01))) / 2 for c, v in found.items() if len(v) >= LEAST_TEXTS and len(model.languages) > 1}
+    starts = rows.select("lang", "text", F.explode(cuts).alias("cut")).select("cut", "lang", F.expr("substring(text, 1, cut)").alias("text"))
+    scored = predict(starts, model, keep=["cut", "lang", "text"]).where("lang_pred <> 'und'")
+    bins = scored.groupBy("cut", "lang", F.floor(F.col("score") * STEPS).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    of_lang = Window.partitionBy("cut", "lang")
+    # whole numbers, so that sums do not hang on their order
+    weight = F.floor(F.col("n") * (F.least(F.lit(each), F.sum("n").over(of_lang)) * _WEIGHT / F.sum("n").over(of_lang)))
+    weighed = bins.withColumn("weight", weight).groupBy("cut", "bin").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"))
+    found: dict[int, list[tuple[int, int, int]]] = {}
+    for r in weighed.collect():  # a row per length and step at most
+        found.setdefault(r.cut, []).append((r.bin, r.n, r.weight))
+    out = {}
+    for cut, steps in found.items():
+        if sum(n for _, n, _ in steps) < LEAST_TEXTS:
+            continue
+        steps.sort()
+        below = np.cumsum([0, *(w for _, _, w in steps)])
+        reached = max(b for (b, _, _), under in zip(steps, below) if 100 * int(under) <= int(below[-1]))
+        out[cut] = (chance + reached / STEPS) / 2
+    return out
 
 
 def identify(docs: DataFrame) -> DataFrame:
