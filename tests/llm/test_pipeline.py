@@ -3,9 +3,12 @@
 import random
 import zlib
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_operators import SCHEMA, brute_components, brute_lines, corpus
-from tickforge.llm import langid
+from tickforge.llm import _common, langid
 
 ITEM = "The quick wool merchant sold 14 bales to Anna and then walked 9 km home along the river road"
 
@@ -108,3 +111,23 @@ def test_floors_are_learnt_from_every_held_out_text(spark):
             brute[cut] = (1 / 3 + reached / langid.STEPS) / 2
     assert len(brute) >= 2 and len(held) > 200
     assert langid.floors(docs, model, sample_docs=30) == brute
+
+
+def test_stages_send_texts_once_and_in_small_batches(spark):
+    rows = [r for r in corpus(seed=10, n=30) if r[1]]
+    docs, key = spark.createDataFrame(rows, SCHEMA), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    sizes = lambda b: (pa.RecordBatch.from_arrays([pa.array([x.num_rows])], names=["n"]) for x in b)
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "benchmark decontamination":  # no Python
+            continue
+        spark.conf.unset(key)
+        stage(spark, docs, "")
+        assert max(r.n for r in spark.range(0, 3000, 1, 1).mapInArrow(sizes, "n long").collect()) <= _common.BATCH_ROWS, name
+    spark.conf.set(key, "7")
+    sent = corpus_pipeline.language_id(spark, docs, "")
+    assert spark.conf.get(key) == "7"
+    spark.conf.unset(key)
+    plan = sent._jdf.queryExecution().analyzed().toString()
+    assert "cast(text" not in plan and " AS text" not in plan.split("MapInArrow")[-1]
+    other = corpus_pipeline.language_id(spark, docs.withColumn("text", F.col("text").cast("binary")), "")  # cast for the model, returned as it is
+    assert sorted((r.doc_id, bytes(r.text).decode()) for r in other.collect()) == sorted((r.doc_id, r.text) for r in sent.collect())

@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 19
 #: Text per group when documents are dealt into groups that fit one Python call.
 GROUP_BYTES = 8 << 20
+#: Rows per Arrow batch where whole texts travel; Spark's 10,000 hold the memory of an executor several times over.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _rng = np.random.default_rng(20240229)
 _ODD = np.uint64(1)
@@ -173,6 +176,12 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs if files == 0 or max(files, size // split) >= cores else docs.repartition(2 * cores)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session hold at most :data:`BATCH_ROWS` rows; a smaller bound stays.  Results do not depend on it."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
