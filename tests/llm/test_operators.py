@@ -698,6 +698,23 @@ def _found(spark, item, *texts):
     return {r.doc_id: r for r in decontaminate.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
 
 
+def test_decontamination_window_hashes(spark):
+    """Equal hashes for equal windows of one size only, also of repeated tokens; no window's tokens are copied to hash it."""
+    r = random.Random(11)
+    lists = [[r.randint(0, 2) for _ in range(n)] for n in (1, 2, 5, 8, 9, 40, 40)] + [[1] * 20]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, h array<long>")
+    named = df.select("i", *(decontaminate._hashes("h", w).alias(f"w{w}") for w in range(1, 9)))
+    assert "xxhash64(slice" not in named._jdf.queryExecution().analyzed().toString()
+    seen = {}
+    for row in named.collect():
+        tokens = lists[row.i]
+        for w in range(1, 9):
+            assert len(row[f"w{w}"]) == len(tokens)
+            for at in range(len(tokens) - w + 1):
+                assert seen.setdefault(row[f"w{w}"][at], tuple(tokens[at : at + w])) == tuple(tokens[at : at + w])
+    assert len(seen) == len(set(seen.values()))
+
+
 def test_decontamination_cuts_at_slot_conflicts(spark):
     """A conflict on a diagonal ends a run; the consistent parts count."""
     got = _found(spark, ITEM, ITEM.replace("Maria", "Olga", 1))

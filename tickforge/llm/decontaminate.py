@@ -33,6 +33,8 @@ are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,9 +84,23 @@ def template(rows: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("named", F.zip_with("raw", "tokens", lambda x, t: F.when((x == t) | F.startswith(t, F.lit("<")), t).when(name(_bare(x)), "<name>").otherwise(t)))
 
 
-def _hashes(form: str, size: int | Column, short: int | Column = 0) -> Column:
-    """Hashes of the windows of ``size`` tokens, one per token but the last ``short``.  (Naming ``form`` twice keeps the optimizer from computing it per window.)"""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(form) - short, F.lit(1))), lambda i: F.xxhash64(F.slice(form, i, size)))
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _hashes(form: str, size: int) -> Column:
+    """Hashes of the windows of ``size`` tokens, one per token; those of the last ``size - 1`` places mean nothing.
+
+    Two windows that cover a longer one make its hash, so a window costs some three hashes of two numbers, not a copy of its tokens.
+    """
+    value, reach = F.col(form), 1
+    while reach < size:
+        step = min(reach, size - reach)
+        reach += step
+        both = lambda a, b: F.xxhash64(a, b, F.lit(reach))  # noqa: B023, E731  (called at once)
+        value = _bound(value, lambda p: F.zip_with(p, F.slice(p, F.lit(step + 1), F.size(p)), both))  # noqa: B023
+    return value
 
 
 def _token_hashes(rows: DataFrame) -> DataFrame:
@@ -95,7 +111,8 @@ def _item_windows(benchmark: DataFrame, window: int, literals: int) -> DataFrame
     """A row per item, place and form of window: ``(item_id, n, w, at, h, item_values)``; items shorter than a window are one window."""
     items = template(benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null").distinct())
     sized = _token_hashes(items).withColumn("n", F.size("tokens")).withColumn("w", F.least("n", F.lit(window)))
-    forms = F.arrays_zip(*(_hashes(f"h_{f}", F.col("w"), F.col("w") - 1).alias(f"h_{f}") for f in FORMS))
+    whole = lambda f: F.coalesce(*(F.when(F.col("w") == size, _hashes(f"h_{f}", size)) for size in range(1, window + 1)))
+    forms = F.arrays_zip(*(F.slice(whole(f), F.lit(1), F.col("n") - F.col("w") + 1).alias(f"h_{f}") for f in FORMS))
     placed = sized.withColumn("all", F.when(F.col("n") > 0, forms)).select("item_id", "n", "w", "words", "tokens", "named", F.posexplode_outer("all").alias("at", "x")).where("x is not null")
     cut = lambda form: F.slice(form, F.col("at") + 1, F.col("w"))
     count = lambda form: F.size(F.filter(cut(form), lambda t: ~F.startswith(t, F.lit("<"))))
@@ -111,14 +128,13 @@ def _parts(windows: Column, w: Column) -> Column:
     ``live`` are the windows of the run so far.  A window that contradicts some of them starts the run anew after the last of those.
     """
     zero = F.struct(F.filter(windows, lambda _: F.lit(False)).alias("live"), F.lit(0).alias("longest"))
-    bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  (computes ``value`` once)
     clash = lambda x, y: F.exists(x["pairs"], lambda p: F.exists(y["pairs"], lambda q: (p["a"] == q["a"]) & (p["b"] != q["b"])))
 
     def step(s: Column, x: Column) -> Column:
         far = x["at"] - w
         bad = F.aggregate(s["live"], F.lit(-1), lambda last, y: F.when((y["at"] < far) & (F.element_at(s["live"], -1)["at"] < far) | clash(x, y), y["at"]).otherwise(last))
-        live = bound(bad, lambda last: F.concat(F.filter(s["live"], lambda y: y["at"] > last), F.array(x)))
-        return bound(live, lambda now: F.struct(now.alias("live"), F.greatest(s["longest"], x["at"] + w - F.element_at(now, 1)["at"]).alias("longest")))
+        live = _bound(bad, lambda last: F.concat(F.filter(s["live"], lambda y: y["at"] > last), F.array(x)))
+        return _bound(live, lambda now: F.struct(now.alias("live"), F.greatest(s["longest"], x["at"] + w - F.element_at(now, 1)["at"]).alias("longest")))
 
     return F.aggregate(windows, zero, step)["longest"]
 
@@ -129,7 +145,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
     few = side.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     sizes = sorted({window, *(r.w for r in side.where(F.col("w") < window).select("w").distinct().collect())})
     texts = spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").withColumn("text_hash", F.xxhash64("text"))
-    # windows at the end of a text are shorter and then match at most short items; the outer form below keeps the
+    # windows past the end of a text match nothing; the outer form below keeps the
     # optimizer from computing the hashes twice, for a filter and for the rows
     hashes = F.when(F.size("words") > 0, F.concat(*(_hashes(f"h_{form}", size) for size in sizes for form in FORMS)))
     parsed = _token_hashes(template(texts).drop("text"))
