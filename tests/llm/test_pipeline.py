@@ -69,6 +69,22 @@ def test_stages_with_empty_tables(spark, tmp_path):
     assert corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).count() == len(rows)
 
 
+def test_decontamination_shuffles_no_text(spark, tmp_path):
+    rows = [(i, f"text number {i} of a few", "en", "x", 1) for i in range(20)] + [(None, "no id " + ITEM, "en", "x", 1), (7, "twice " + ITEM, "en", "x", 1), (21, None, "en", "x", 1)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = corpus_pipeline.decontaminate(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+        found = left.collect()
+        plan = left._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    assert sorted(map(str, found)) == sorted(map(str, (r for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect() if ITEM not in (r.text or ""))))
+
+
 def test_registered_queries():
     import __spark_entry__ as entry
 

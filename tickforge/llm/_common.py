@@ -22,6 +22,8 @@ SLICE_BYTES = 1 << 19
 GROUP_BYTES = 8 << 20
 #: Rows per Arrow batch where whole texts travel; Spark's 10,000 hold the memory of an executor several times over.
 BATCH_ROWS = 1000
+#: Up to so many ids (8 bytes each) are broadcast to pick texts; beyond, the join shuffles.
+BROADCAST_IDS = 1_000_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _rng = np.random.default_rng(20240229)
@@ -176,6 +178,11 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs if files == 0 or max(files, size // split) >= cores else docs.repartition(2 * cores)
 
 
+def few_beside(ids: DataFrame) -> DataFrame:
+    """Ids to broadcast if there are few enough."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def small_batches(spark: SparkSession) -> None:
     """From now on Arrow batches of this session hold at most :data:`BATCH_ROWS` rows; a smaller bound stays.  Results do not depend on it."""
     if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:

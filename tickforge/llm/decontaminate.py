@@ -38,7 +38,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickforge.llm._common import spread
+from tickforge.llm._common import few_beside, spread, written
 
 WINDOW, LITERALS, RUN, SHARE = 8, 5, 13, 0.5
 #: The forms of a text whose windows are hashed.
@@ -189,7 +189,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    """``docs`` without the documents that hold a benchmark item.  Those are written and counted first: if they are few enough, no text is shuffled to take them out."""
+    bad = written(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct(), "contaminated")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
-    return rows.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("hash") == F.col("bad_hash")), "left_anti").select("row.*")
+    return rows.join(few_beside(bad), F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("hash") == F.col("bad_hash")), "left_anti").select("row.*")

@@ -43,11 +43,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickforge.llm._common import components, mix, runs, slices, spread, text_buffers, trim, word_hashes, written
+from tickforge.llm._common import components, few_beside, mix, runs, slices, spread, text_buffers, trim, word_hashes, written
 
 CLUSTER_ROWS = 1500
-#: Up to so many ids (8 bytes each) are broadcast to pick texts; beyond, the join shuffles.
-BROADCAST_IDS = 1_000_000
 BAND_RATIO = 1.5
 #: A key of more sets than this is hot.
 RARE = 12
@@ -321,7 +319,7 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` less those that are near duplicates of a row with a smaller id (of equal ids, one stays; rows without an id go first)."""
     if not _odd_ids(docs):
         gone = written(_components(docs, n, percent).where("doc_id <> component_id").select("doc_id"), "duplicates")
-        kept = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id")).join(_side(gone), "doc_id", "left_anti")
+        kept = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id")).join(few_beside(gone), "doc_id", "left_anti")
         return kept.select("row.*")
     rows = _numbered(docs, "numbered")
     found = _components(rows, n, percent).join(rows.select("doc_id", F.col("row.doc_id").cast("long").alias("id")), "doc_id")
@@ -330,11 +328,6 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     return rows.join(stay, "doc_id", "left_semi").select("row.*")
 
 
-def _side(ids: DataFrame) -> DataFrame:
-    """Ids to broadcast if there are few enough."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-
-
 def _components(docs: DataFrame, n: int, percent: int, buckets: int | None = None) -> DataFrame:
     """The same for documents whose ids are distinct and not null."""
     if buckets is None:  # about half a million keys each
@@ -350,7 +343,7 @@ def _components(docs: DataFrame, n: int, percent: int, buckets: int | None = Non
     cluster = components(stars.select("a", "b"))
     sizes = cluster.groupBy("component").count()
     members = written(cluster.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", F.ceil(F.col("count") / CLUSTER_ROWS).cast("int").alias("cuts")), "members")
-    rows = _rows(docs).join(_side(members), "doc_id").select("doc_id", "text", "component", "cuts")
+    rows = _rows(docs).join(few_beside(members), "doc_id").select("doc_id", "text", "component", "cuts")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
