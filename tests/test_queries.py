@@ -40,3 +40,12 @@ def test_query(spark, duck, name):
     wanted = sorted(duck.sql(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL[name]})").fetchall(), key=str)
     assert len(found) == len(wanted)
     assert all(same(x, y) for a, b in zip(found, wanted) for x, y in zip(a, b)), next((a, b) for a, b in zip(found, wanted) if not all(map(same, a, b)))
+
+
+@pytest.mark.parametrize("name", ["topk", "bottom"])
+def test_selectors_with_ties(spark, tmp_path, name):
+    """Equal values over several files, the larger ids in the files read first."""
+    rows = [(i, float(i % 3)) for i in reversed(range(600))] + [(600, None)]
+    spark.createDataFrame(rows, "event_id long, value double").repartition(5, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    wanted = duckdb.sql(ORACLE_SQL[name].replace("events", f"'{tmp_path}/events.parquet/*.parquet'")).fetchall()
+    assert [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()] == wanted

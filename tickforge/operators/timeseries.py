@@ -128,12 +128,12 @@ sql("state_sql", "SELECT user_id, duration_in(s, 'click') AS total, duration_in(
 # -- selectors ------------------------------------------------------------------------------
 @query("topk", "SELECT event_id, value FROM events ORDER BY value DESC NULLS LAST, event_id LIMIT 10")
 def topk(spark, sf_dir):
-    return selectors.topk(_events(spark, sf_dir), "value", 10).select("event_id", "value")
+    return selectors.topk(_events(spark, sf_dir), "value", 10, ["event_id"]).select("event_id", "value")
 
 
 @query("bottom", "SELECT event_id, value FROM events ORDER BY value, event_id LIMIT 10")
 def bottom(spark, sf_dir):
-    return selectors.bottom(_events(spark, sf_dir), "value", 10).select("event_id", "value")
+    return selectors.bottom(_events(spark, sf_dir), "value", 10, ["event_id"]).select("event_id", "value")
 
 
 # -- data quality and repair ------------------------------------------------------------------
