@@ -318,3 +318,12 @@ def test_sliding_windows_in_sql(engine):
     got = engine.sql(q.format(", '1970-01-01T00:00:00.001Z'"))
     assert [(ms(r.window.start), ms(r.time)) for r in got.collect()] == [(-11, 0), (-5, 0), (-5, 5), (1, 5), (1, 10), (7, 10), (7, 15), (13, 15)]
     assert sorted((ms(r[0].start), r[1]) for r in engine.sql("SELECT time_window(time, INTERVAL '10 milliseconds', INTERVAL '6 milliseconds') AS w, count(*) AS n FROM m2 WHERE f0 > 111 GROUP BY w").collect()) == [(-6, 1), (0, 2), (6, 2), (12, 1)]
+
+
+def test_epoch_in_whole_numbers_is_exact(engine):
+    """Microseconds that a double of the seconds, times a million, falls short of."""
+    ticks = [520_500, 132_822_423, 2_118_539_003_609, 2_120_937_460_005, 8_742_425_620_101, -2_118_539_003_609]
+    for t in ticks:
+        at = (dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=t)).isoformat(" ")
+        e = f"extract(epoch FROM TIMESTAMP_NTZ '{at}')"
+        assert rows(engine.sql(f"SELECT bigint(1000000 * {e}), CAST(({e} + 1) * 1000000 AS BIGINT), bigint({e}), bigint({e} / 2), {e}")) == [(t, t + 1_000_000, int(t / 1e6), int(t / 1e6 / 2), t / 1e6)]
