@@ -119,6 +119,22 @@ def test_states(spark):
     assert rows(got) == [(80, 75, 10, 0, "run", None)]
 
 
+def test_quality_scores_in_sql_are_one_aggregate(spark, engine):
+    """All four scores of a series come from one pass over its points, in any order, nulls left out."""
+    t = [1, 3, 4, 6, 10, 13, 14, 16, 18, 19, 22, 24, 26, 31, 33]
+    v = [12.34, 34.54, 1.43, 14.03, 12.30, 11.54, 112.20, 14.44, 134.02, 116.34, 1234.45, 10.36, 124.21, 6.34, float("nan")]
+    points = [("a", x, y) for x, y in zip(t, v)] + [("a", 5, None), ("a", None, 5.0)] + [("b", x, y) for x, y in zip(t, v)]
+    frame = spark.createDataFrame(points[::-1], "k string, t long, v double")
+    worked = (0.823529412, 0.866666667, 0.933333333, 0.8)
+    assert sorted(rows(series_ops.data_quality(frame, ["k"], "t", "v", ticks=True).selectExpr("k", *(f"round({c}, 9)" for c in series_ops.QUALITY)))) == [("a", *worked), ("b", *worked)]
+    frame.selectExpr("k", "CAST(timestamp_micros(t) AS TIMESTAMP_NTZ) AS ts", "v").createOrReplaceTempView("points_of_quality")
+    got = spark.sql(rewrite.select("SELECT k, " + ", ".join(f"round({c}(ts, v), 9) AS {c}" for c in series_ops.QUALITY) + " FROM points_of_quality GROUP BY k"))
+    assert sorted(rows(got)) == [("a", *worked), ("b", *worked)]
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    made = next(line for line in plan.splitlines() if "Aggregate" in line)
+    assert made.split("], [")[1].count("tf_quality(") == 1, plan
+
+
 def test_options():
     with pytest.raises(ValueError, match="duplicate"):
         series_ops.parse_options("method=AR&method=MA", {"method": str})

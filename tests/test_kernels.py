@@ -1,5 +1,7 @@
 """Worked examples of the series kernels."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -24,6 +26,16 @@ def test_quality_needs_two_values(values):
         K.quality(np.arange(len(values)), np.array(values))
 
 
+def test_quality_holds_few_copies():
+    r = np.random.default_rng(3)
+    times, values = np.sort(r.integers(0, 10**12, 300_000)), r.normal(size=300_000)
+    tracemalloc.start()
+    K.quality(times, values)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3.5 * times.nbytes
+
+
 @pytest.mark.parametrize("how", [{}, {"method": "mode"}, {"method": "cluster"}, {"interval": 10 * 10**9}])
 def test_repair_times(how):
     t, v = K.repair_times(GRID, np.arange(1.0, 11.0), **how)

@@ -7,6 +7,7 @@ know nothing of Spark; :mod:`tickforge.functions.series_ops` applies them per se
 from __future__ import annotations
 
 import heapq
+from itertools import islice
 
 import numpy as np
 
@@ -14,6 +15,8 @@ import numpy as np
 MAD_FACTOR = 1.4826
 TIME_WINDOW = 10
 EDIT_COST = 100_000_000_000
+#: Times turned into other numbers at once.
+_PART = 1 << 14
 TOO_FEW = "At least two non-NaN values are needed"
 
 
@@ -50,62 +53,74 @@ def time_faults(times: np.ndarray) -> tuple[int, int, int]:
     points are owed; close points seen after it, up to the next gap, pay for them (they came late), the rest
     is missing.  Points so accounted for are passed over, and as many further ones come into sight.
     """
-    n = len(times)
-    if n < 2:
+    if len(times) < 2:
         return 0, 0, 0
-    with np.errstate(divide="ignore", invalid="ignore"):
-        base = np.median(np.diff(times))
-        place = times.astype(np.int64)
-        passed = np.zeros(n, bool)
-        total = np.zeros(3, np.int64)
-        here, in_sight = 0, min(n, TIME_WINDOW)
-        while here < n:
-            ahead = here + 1 + np.flatnonzero(~passed[here + 1 : in_sight])
-            if not len(ahead):
-                break
-            first = np.float64(place[ahead[0]] - place[here]) / base
-            used = ahead[:0]
-            if first <= 0.5:
-                used = ahead[:1]
-                total[2] += 1
-            elif 2.0 <= first <= 9.0:
-                owed = _nearest(first - 1)
-                used = _latecomers(place, ahead, base, owed)
-                total[:2] += owed - len(used), len(used)
-            passed[used] = True
-            in_sight = min(n, in_sight + 1 + len(used))
-            rest = here + 1 + np.flatnonzero(~passed[here + 1 : in_sight])
-            here = int(rest[0]) if len(rest) else n
-    return tuple(total.tolist())
-
-
-def _latecomers(place: np.ndarray, ahead: np.ndarray, base: float, most: int) -> np.ndarray:
-    """Of the points ahead, those at most half a usual interval after the last regular one, up to the next gap."""
-    regular, late = place[ahead[0]], []
-    for i in ahead[1:]:
-        step = np.float64(place[i] - regular) / base
+    base = float(np.median(np.diff(times), overwrite_input=True))
+    coming = (int(t) for k in range(0, len(times), _PART) for t in times[k : k + _PART].tolist())
+    missing = late = redundant = 0
+    here, ahead = next(coming), list(islice(coming, TIME_WINDOW - 1))
+    while ahead:
+        first, used = _ratio(ahead[0] - here, base), 0
+        if first <= 0.5:
+            del ahead[0]
+            used = 1
+            redundant += 1
+        elif 2.0 <= first <= 9.0:
+            owed = _nearest(first - 1)
+            paid = _latecomers(ahead, base, owed)
+            used = len(paid)
+            if paid:
+                ahead = [t for i, t in enumerate(ahead) if i not in paid]
+            missing += owed - used
+            late += used
+        ahead += islice(coming, 1 + used)
+        if not ahead:
+            break
+        here = ahead.pop(0)
+    return missing, late, redundant
+
+
+def _ratio(gap: int, base: float) -> float:
+    return gap / base if base else float("inf") if gap else float("nan")
+
+
+def _latecomers(ahead: list[int], base: float, most: int) -> list[int]:
+    """Places of the points ahead that lie at most half a usual interval after the last regular one, up to the next gap."""
+    regular, late = ahead[0], []
+    for i in range(1, len(ahead)):
+        step = _ratio(ahead[i] - regular, base)
         if step >= 2.0 or len(late) == most:
             break
         if step <= 0.5:
             late.append(i)
         else:
-            regular = place[i]
-    return np.array(late, dtype=np.int64)
+            regular = ahead[i]
+    return late
 
 
 def _outliers(x: np.ndarray) -> int:
-    return int((np.abs(x - np.median(x)) > 3.0 * mad(x)).sum()) if len(x) else 0
+    if not len(x):
+        return 0
+    away = x.copy()
+    np.abs(np.subtract(x, np.median(away, overwrite_input=True), out=away), out=away)
+    spread = MAD_FACTOR * float(np.median(away, overwrite_input=True))  # this changes only their order
+    return int(np.count_nonzero(away > 3.0 * spread))
 
 
 def quality(times: np.ndarray, values: np.ndarray) -> dict[str, float]:
     """The four data-quality scores of a series."""
-    special = int((~np.isfinite(values)).sum())
-    v, t, n = interpolate(times, values), times.astype(float), len(times)
+    n = len(times)
+    special = n - int(np.count_nonzero(np.isfinite(values)))
+    v = interpolate(times, values) if special or n < 2 else values
     missing, late, redundant = time_faults(times)
+    # one array at a time, as a series may be long
     with np.errstate(divide="ignore", invalid="ignore"):
+        bad = _outliers(v)
         step = np.diff(v)
-        speed = step / np.diff(t)
-        bad = sum(map(_outliers, (v, step, speed, np.diff(speed))))
+        bad += _outliers(step)
+        for k in range(0, n - 1, _PART):
+            step[k : k + _PART] /= np.diff(times[k : k + _PART + 1].astype(float))
+        bad += _outliers(step) + _outliers(np.diff(step))
     return {"completeness": 1.0 - (missing + special) / (n + missing), "consistency": 1.0 - redundant / n, "timeliness": 1.0 - late / n, "validity": 1.0 - 0.25 * bad / n}
 
 

@@ -1,19 +1,23 @@
 """Kernels applied per series: data-quality scores, time and value repair, value filling.
 
 Each series (the rows of one key) is one group where an algorithm follows the
-order of a whole series; key by the tags that identify a series.  The fills
+order of a whole series, and is held by one Python worker; key by the tags that identify a series.  The fills
 ``mean``, ``previous`` and ``linear``, and :func:`validity`, are window expressions and
 aggregations and have no such bound.
 """
 
 from __future__ import annotations
 
+from typing import Any
 from urllib.parse import parse_qsl
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from tickforge.functions import kernels as K
 from tickforge.functions.ticks import micros
@@ -44,12 +48,9 @@ def _keys_ddl(df: DataFrame, keys: list[str]) -> str:
 def data_quality(df: DataFrame, keys: list[str], time: str, value: str, ticks: bool = False) -> DataFrame:
     """``completeness, consistency, timeliness, validity`` per series; rows without a value are left out."""
 
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t", kind="stable")
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, **K.quality(pdf["t"].to_numpy(), pdf["v"].to_numpy())}])
-
     points = _points(df, keys, time, value, ticks).where("v is not null")
-    return points.groupBy(*(keys or ["__all"])).applyInPandas(score, _keys_ddl(df, keys) + "completeness double, consistency double, timeliness double, validity double")
+    scored = points.groupBy(*(keys or ["__all"])).agg(_SCORE("t", "v").alias("__q"))
+    return scored.select(*keys, *(F.col("__q")[i].alias(name) for i, name in enumerate(QUALITY)))
 
 
 def validity(df: DataFrame, keys: list[str], time: str, value: str, ticks: bool = False) -> DataFrame:
@@ -162,16 +163,26 @@ def weighted_percentile(df: DataFrame, keys: list[str], value: str, weight: str,
 QUALITY = ("completeness", "consistency", "timeliness", "validity")
 
 
-def register(spark: SparkSession) -> None:
-    """The quality scores as SQL aggregates ``tf_<name>(ticks, value)``; rows without a time or a value do not count."""
+def _scores(t: pa.Array, v: pa.Array) -> Any:
+    """The scores of :data:`QUALITY`, in that order, of points in any order; those without a time or a value do not count.
 
-    def scorer(which: str):
-        def score(t: pd.Series, v: pd.Series) -> float:
-            keep = t.notna() & v.notna()
-            order = np.argsort(t[keep].to_numpy(np.int64), kind="stable")
-            return float(K.quality(t[keep].to_numpy(np.int64)[order], v[keep].to_numpy(np.float64)[order])[which])
+    One call makes all four, and the points are copied once, to sort them: a series may be long.
+    """
+    if t.null_count or v.null_count:
+        keep = pc.and_(t.is_valid(), v.is_valid())
+        t, v = t.filter(keep), v.filter(keep)
+    times, values = t.to_numpy(zero_copy_only=False), v.to_numpy(zero_copy_only=False)
+    if (times[1:] < times[:-1]).any():
+        order = np.argsort(times, kind="stable")
+        times, values = times[order], values[order]
+        del order
+    found = K.quality(times, values)
+    return [found[name] for name in QUALITY]
 
-        return F.pandas_udf(score, "double")
 
-    for name in QUALITY:
-        spark.udf.register(f"tf_{name}", scorer(name))
+_SCORE = F.arrow_udf(_scores, ArrayType(DoubleType()))
+
+
+def register(spark: SparkSession) -> None:
+    """The quality scores as one SQL aggregate ``tf_quality(ticks, value)``, an array in the order of :data:`QUALITY`."""
+    spark.udf.register("tf_quality", _SCORE)
